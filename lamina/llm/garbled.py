@@ -225,7 +225,7 @@ def inverse_mappings():
         out[a] = one
         out[f"{a} twice"] = lambda t, one=one: one(one(t))
     out |= {"tcvn3": lambda t: t.translate(_tcvn3), "vni": undo_vni, "gbk": undo_gbk}
-    return out | {c: undo_double_byte(c) for c in DOUBLE_BYTE}
+    return out | {f"{c} as cp1252": undo_double_byte(c) for c in DOUBLE_BYTE}
 
 
 _tcvn3_mark = re.compile("[" + re.escape("".join(c for c in TCVN3 if c != "\xad")) + "]")
@@ -250,13 +250,13 @@ def readings(run: str):
             yield name, named[name](run)
     high = len(_high.findall(run))
     if high >= 3 and high * 3 > len(run):
-        for name in DOUBLE_BYTE:
+        for name in (f"{c} as cp1252" for c in DOUBLE_BYTE):
             if (other := named[name](run)) != run:
                 yield name, other
 
 
 #: Mappings of single letters change so many characters at least, blanks and soft hyphens aside.
-LEAST_CHANGED = {"tcvn3": 2, "vni": 3} | dict.fromkeys(DOUBLE_BYTE, 3)
+LEAST_CHANGED = {"tcvn3": 2, "vni": 3} | dict.fromkeys((f"{c} as cp1252" for c in DOUBLE_BYTE), 3)
 
 
 # Runs ------------------------------------------------------------------------------------
