@@ -229,7 +229,7 @@ def inverse_mappings():
 
 
 _tcvn3_mark = re.compile("[" + re.escape("".join(c for c in TCVN3 if c != "\xad")) + "]")
-_east = re.compile("[\u3000-\u9fff\ue000-\uffef]")
+_east = re.compile("[\u3400-\u9fff\ue000-\uf8ff]")
 _high = re.compile("[\x80-\u2122]")
 
 

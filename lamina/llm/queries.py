@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lamina.llm import garbled
+from lamina.llm import garbled, lookalike
 
 
 def queries():
     return {
         "p1_found": garbled.p1_found,
         "p1_restored": garbled.p1_restored,
+        "p3_found": lookalike.p3_found,
+        "p3_normalized": lookalike.p3_normalized,
     }
 
 
