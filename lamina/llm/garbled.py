@@ -106,6 +106,13 @@ class PairModel:
         self.chars = self.chars.astype(np.float32)
         self.prior = ((self.chars + 0.05) / total).astype(np.float32)
 
+    @classmethod
+    def shared(cls, pairs: np.ndarray, chars: np.ndarray, total: float) -> PairModel:
+        own = cls.__new__(cls)
+        own.pairs, own.chars, own.total = pairs, chars, total
+        own.prior = ((chars + 0.05) / total).astype(np.float32)
+        return own
+
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """Cost in bits of each character after the first."""
         c = codes & ((1 << CHAR_BITS) - 1)
@@ -371,9 +378,7 @@ def find_garbled(rows: DataFrame, model: PairModel, keep_text: bool = False) ->
     def run(batches):
         import pyarrow as pa
 
-        own = PairModel.__new__(PairModel)
-        own.pairs, own.chars, own.total = shared.value
-        own.prior = ((own.chars + 0.05) / own.total).astype(np.float32)
+        own = PairModel.shared(*shared.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             live = [i for i, t in enumerate(texts) if t]

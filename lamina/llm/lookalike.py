@@ -3,7 +3,8 @@
 Words with unusual characters are collected once each, exploded to positioned code
 points, broadcast-joined to the decomposition and look-alike tables, their combining
 marks ordered by class, recomposed and rebuilt; rows get their words back by position.
-Texts without any character of the tables can't change and skip all that.
+Texts without any character of the tables can't change and skip all that; the scan for
+such characters is one vectorised pass that also leaves out the cases of problem 1.
 
 Null texts stay null, empty texts empty; a row's key (source_table, row_id) is unique.
 """
@@ -11,9 +12,11 @@ Null texts stay null, empty texts empty; a row's key (source_table, row_id) is u
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lamina.llm import garbled
@@ -29,10 +32,18 @@ SPACES = "   -   　"
 FULL_WIDTH = "０-９Ａ-Ｚａ-ｚ"
 MARKS = "̀-ͯ"
 
-UNUSUAL = f"[{SPACES}{INVISIBLE}{FULL_WIDTH}{MARKS}{''.join(ALIKE)}]"
-IN_WORD = f"[[\\p{{L}}\\p{{N}}{MARKS}{INVISIBLE}]&&[^\\x{{10000}}-\\x{{10FFFF}}]]"
-PIECE = f"(?s)({IN_WORD}+|[{SPACES}]|[^\\p{{L}}\\p{{N}}{MARKS}{INVISIBLE}{SPACES}]+|.)"
 WORD_CHARS = f"[{INVISIBLE}{FULL_WIDTH}{MARKS}{''.join(ALIKE)}]"
+_word = re.compile(f"[\\w{MARKS}{INVISIBLE}]+|[{SPACES}]")
+_odd = re.compile(f"[{SPACES}{INVISIBLE}{FULL_WIDTH}{MARKS}{''.join(ALIKE)}]")
+
+
+@lru_cache(1)
+def unusual_codes() -> np.ndarray:
+    """Whether each character below 2**16 is one that the tables change."""
+    out = np.zeros(1 << 16, bool)
+    for c in range(0x80, 1 << 16):
+        out[c] = bool(_odd.match(chr(c)))
+    return out
 
 
 @lru_cache(1)
@@ -131,37 +142,81 @@ def one_form(words: DataFrame) -> DataFrame:
     return done.select("word", "fixed", kind.alias("kind"))
 
 
-def pieces(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("pieces", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))
-
+def cut_words(text: str) -> list[str]:
+    """The text in pieces, its unusual words and spaces at the odd places."""
+    out, at = [], 0
+    for m in _word.finditer(text):
+        if _odd.search(m[0]) and max(m[0]) < "\U00010000":
+            out += [text[at : m.start()], m[0]]
+            at = m.end()
+    out.append(text[at:])
+    return out
 
-def judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with unusual characters (key, text) with their unusual words' verdicts: (key, pos, fixed, case)."""
-    cut = pieces(rows.filter(F.col("text").rlike(UNUSUAL)))
-    spread = cut.select("key", "text", F.posexplode("pieces").alias("pos", "word")).filter(F.col("word").rlike(WORD_CHARS))
-    genuine = {"CYRILLIC": f"[\\p{{IsCyrillic}}&&[^{''.join(CYRILLIC)}]]", "GREEK": f"[\\p{{IsGreek}}&&\\p{{Ll}}&&[^{''.join(GREEK)}μπΩσαβγδελθ]]", "ARMENIAN": f"[\\p{{IsArmenian}}&&[^{''.join(ARMENIAN)}]]"}
-    spread = spread.withColumn("beside", F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(s)) for s, p in genuine.items()]))).drop("text")
-    words = one_form(spread.select("word").distinct())
-    case = (F.col("kind") == "sure") | (F.col("kind").isNotNull() & ~F.array_contains("beside", F.col("kind")))
-    return cut, spread.join(words, "word").select("key", "pos", F.when(case, F.col("fixed")).otherwise(F.col("word")).alias("fixed"), F.coalesce(case, F.lit(False)).alias("case"))
 
+def cut_unusual(rows: DataFrame, model: garbled.PairModel | None, every: bool = False) -> DataFrame:
+    """(key, pieces) of the rows (key, text) with unusual characters, or with ``every`` of all rows.
 
-def unusual_rows(rows: DataFrame) -> DataFrame:
+    Sentences that problem 1 finds garbled by ``model`` are left out, or with ``every`` left whole.
+    """
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast((model.pairs, model.chars, model.total)) if model else None
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = garbled.PairModel.shared(*shared.value) if shared else None
+        table = unusual_codes()
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            live = [i for i, t in enumerate(texts) if t]
+            cut = {}
+            if live:
+                codes, starts = garbled.codes_of([texts[i] for i in live])
+                odd = np.concatenate([[0], np.cumsum(table[codes & 0xFFFF] & (codes < 0x10000))])
+                ends = np.append(starts[1:] - 1, len(codes))
+                picked = [live[i] for i in np.flatnonzero(odd[ends] > odd[starts])]
+                if own and picked:
+                    names = keys.field(0)
+                    checked = [i for i in picked if names[i].as_py() == "sentences"]
+                    if checked:
+                        hot = garbled.suspicious(own, [texts[i] for i in checked])
+                        wrong = {i for i, h in zip(checked, hot) if h and garbled.restore_text(own, texts[i])[1]}
+                        picked = [i for i in picked if i not in wrong]
+                cut = {i: cut_words(texts[i]) for i in picked}
+            at = list(range(len(texts))) if every else sorted(cut)
+            out = [cut.get(i, None if texts[i] is None else [texts[i]]) for i in at]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.string()))], ["key", "pieces"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", "text").mapInArrow(run, f"key {kind}, pieces array<string>")
+
+
+def judged(cut: DataFrame) -> DataFrame:
+    """(key, pos, fixed, case) of the unusual words and spaces of ``cut`` (key, pieces)."""
+    genuine = {"CYRILLIC": f"[\\p{{IsCyrillic}}&&[^{''.join(CYRILLIC)}]]", "GREEK": f"[\\p{{IsGreek}}&&\\p{{Ll}}&&[^{''.join(GREEK)}μπΩσαβγδελθ]]", "ARMENIAN": f"[\\p{{IsArmenian}}&&[^{''.join(ARMENIAN)}]]"}
+    spread = cut.filter(F.size("pieces") > 1).select("key", "pieces", F.posexplode("pieces").alias("pos", "word")).filter("pos % 2 = 1")
+    other = F.array_join("pieces", "")
+    whole = F.col("word").rlike("^[" + "".join(CYRILLIC) + "]+$|^[" + "".join(GREEK) + "]+$|^[" + "".join(ARMENIAN) + "]+$")
+    beside = F.when(whole, F.array_compact(F.array(*[F.when(other.rlike(p), F.lit(s)) for s, p in genuine.items()])))
+    spread = spread.select("key", "pos", "word", beside.alias("beside"))
+    words = one_form(spread.select("word").filter(~F.col("word").rlike(f"^[{SPACES}]$")).distinct())
+    space = F.col("word").rlike(f"^[{SPACES}]$")
+    case = space | (F.col("kind") == "sure") | (F.col("kind").isNotNull() & ~F.coalesce(F.array_contains("beside", F.col("kind")), F.lit(False)))
+    fixed = F.when(space, F.lit(" ")).when(case, F.col("fixed")).otherwise(F.col("word"))
+    return spread.join(words, "word", "left").select("key", "pos", fixed.alias("fixed"), F.coalesce(case, F.lit(False)).alias("case"))
+
+
+def unusual_rows(rows: DataFrame, model: garbled.PairModel | None = None) -> DataFrame:
     """Keys of the rows (key, text) with characters that only look like the usual ones."""
-    _, verdicts = judged(rows)
-    spaced = rows.filter(F.col("text").rlike(f"[{SPACES}]")).select("key")
-    return verdicts.filter("case").select("key").union(spaced).distinct()
+    return judged(cut_unusual(rows, model)).filter("case").select("key").distinct()
 
 
-def normalized(rows: DataFrame) -> DataFrame:
+def normalized(rows: DataFrame, model: garbled.PairModel | None = None) -> DataFrame:
     """All rows (key, text) with the text in one form."""
-    cut, verdicts = judged(rows)
-    fixes = verdicts.filter("case").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("fixes"))
-    rebuilt = cut.join(fixes, "key", "left").select(
-        "key",
-        F.array_join(F.transform("pieces", lambda p, i: F.coalesce(F.when(p.rlike(f"^[{SPACES}]$"), F.lit(" ")), F.col("fixes")[i], p)), "").alias("text"),
-    )
-    return rows.filter(F.col("text").isNull() | ~F.col("text").rlike(UNUSUAL)).select("key", "text").unionByName(rebuilt)
+    cut = cut_unusual(rows, model, every=True)
+    fixes = judged(cut_unusual(rows, model)).filter("case").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("fixes"))
+    pieces = F.transform("pieces", lambda p, i: F.coalesce(F.col("fixes")[i], p))
+    return cut.join(fixes, "key", "left").select("key", F.when(F.col("fixes").isNull(), F.array_join("pieces", "")).otherwise(F.array_join(pieces, "")).alias("text"))
 
 
 def _key(name: str, column: str) -> Column:
@@ -175,12 +230,9 @@ def p3_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_found(spark, folder):
     s, a = p3_texts(spark, folder)
-    model = garbled.count_pairs(s.select("text"))
-    odd = s.filter(F.col("text").rlike(UNUSUAL))
-    wrong = garbled.find_garbled(odd, model)
-    return unusual_rows(s.unionAll(a)).join(wrong, "key", "left_anti").select("key.source_table", "key.row_id")
+    return unusual_rows(s.unionAll(a), garbled.count_pairs(s.select("text"))).select("key.source_table", "key.row_id")
 
 
 def p3_normalized(spark, folder):
     s, a = p3_texts(spark, folder)
-    return normalized(s.unionAll(a)).select("key.source_table", "key.row_id", "text")
+    return normalized(s.unionAll(a), garbled.count_pairs(s.select("text"))).select("key.source_table", "key.row_id", "text")
