@@ -1,21 +1,26 @@
 """Encoding of the corpus with a public byte-level BPE tokenizer (problem 8).
 
-Texts are cut into content-defined chunks by a rolling hash. Each distinct chunk of the
-corpus is encoded once; a document's chunks are then put together and every join is
-repaired: the text around it is encoded again, over a growing window, until the new
-encoding agrees with both chunks' own at the ends of a piece of the pre-tokenizer.
-Pieces before such a place and after it don't depend on each other, so the result is
-exactly the encoding of the whole text.
+Texts are cut into content-defined chunks by a rolling hash. A sketch of fixed size tells
+which chunks may be shared by several places of the corpus. Those are encoded once each
+and joined back; the chunks of one place only are encoded where they are. A document's
+chunks are then put together and every join is repaired: the text around it is encoded
+again, over a growing window, until the new encoding has a piece of the pre-tokenizer
+starting where the later chunk has one. What follows such a place doesn't depend on what
+came before, so the result is exactly the encoding of the whole text.
 
 A null text gives null, an empty text an empty list; repeated documents give a row each.
 """
 
 from __future__ import annotations
 
+import base64
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lamina.session import cut
 
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
@@ -26,19 +31,30 @@ WINDOW = 16
 EDGE = 8
 
 
-def vocabulary(path: str = TOKENIZERS, name: str = TOKENIZER) -> str:
-    """The tokenizer's file, of fixed size, as text to ship with the tasks."""
-    with open(f"{path}/{name}.json", encoding="utf-8") as f:
+def vocabulary(path: str = TOKENIZERS, name: str = TOKENIZER) -> bytes:
+    """The tokenizer's ranks, of fixed size, to ship with the tasks."""
+    with open(f"{path}/{name}.tiktoken", "rb") as f:
         return f.read()
 
 
+#: The pre-tokenizer of the public vocabulary (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache(2)
-def encoder(vocab: str):
-    from tokenizers import Tokenizer
+def encoder(vocab: bytes):
+    """A function from text to ids; special tokens' strings are ordinary text."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab.splitlines())}
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    t = Tokenizer.from_str(vocab)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+
+@lru_cache(1)
+def _pieces():
+    import regex
+
+    return regex.compile(PATTERN).finditer, regex.compile(r"(?<=\S) (?=\S)").search
 
 
 def chunk_bounds(text: str) -> list[int]:
@@ -67,121 +83,102 @@ def chunk_bounds(text: str) -> list[int]:
     return out + [n]
 
 
-def _chunks(batches):
+def cut_chunks(text: str) -> list[str]:
+    out, last = [], 0
+    for e in chunk_bounds(text):
+        out.append(text[last:e])
+        last = e
+    return out
+
+
+#: Slots of the sketch that counts chunks.
+SLOT_BITS = 24
+
+
+def slots_of(chunks: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(c) >> (64 - SLOT_BITS) for c in chunks), np.int64, len(chunks))
+
+
+def _count(batches):
     import pyarrow as pa
-    from pyspark import TaskContext
 
-    ctx = TaskContext.get()
-    row = (ctx.partitionId() if ctx else 0) << 40
+    seen = np.zeros(1 << SLOT_BITS, np.uint8)
     for batch in batches:
-        docs, texts = batch.column(0), batch.column(1).to_pylist()
-        at, uid, pos, parts = [], [], [], []
-        for i, t in enumerate(texts):
-            row += 1
-            last = 0
-            for k, e in enumerate([0] if not t else chunk_bounds(t)):
-                at.append(i)
-                uid.append(row)
-                pos.append(k)
-                parts.append(t if not t else t[last:e])
-                last = e
-        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), docs.take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(parts, pa.string())], ["uid", "doc_id", "pos", "chunk"])
-
-
-def _edges(encoding) -> tuple[list[int], list[int]]:
-    """Places of a chunk's first and last EDGE pieces as flat (character, token) pairs."""
-    words, offsets = encoding.word_ids, encoding.offsets
-    starts, previous = [], None
-    n = len(words)
-    for k in range(n):
-        if words[k] != previous:
-            previous = words[k]
-            starts.append((offsets[k][0], k))
-            if len(starts) > EDGE:
-                break
-    head = starts[1:]
-    tail, k = [], n
-    while k > 0 and len(tail) < EDGE:
-        w = words[k - 1]
-        while k > 0 and words[k - 1] == w:
-            k -= 1
-        tail.append((offsets[k][0], k))
-    return [x for p in head for x in p], [x for p in tail for x in p]
-
-
-ENCODED = "chunk string, ids array<int>, head array<int>, tail array<int>"
-
-
-def encode_chunks(chunks: DataFrame, vocab) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
+        chunks = [c for t in batch.column(0).to_pylist() if t for c in cut_chunks(t)]
+        slots, n = np.unique(slots_of(chunks), return_counts=True)
+        seen[slots] = np.minimum(2, seen[slots] + np.minimum(n, 2))
+    used = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used].astype(np.int32))], ["slot", "n"])
 
-        t = encoder(vocab.value)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            ids, heads, tails = [], [], []
-            for e in t.encode_batch(texts, add_special_tokens=False):
-                h, tl = _edges(e)
-                ids.append(e.ids)
-                heads.append(h)
-                tails.append(tl)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, kind), pa.array(heads, kind), pa.array(tails, kind)], ["chunk", "ids", "head", "tail"])
 
-    return chunks.mapInArrow(run, ENCODED)
+def shared_slots(docs: DataFrame) -> np.ndarray:
+    """Which slots hold chunks of more than one place, as bits: a table of fixed size."""
+    got = docs.select("text").mapInArrow(_count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot").toArrow()
+    out = np.zeros(1 << SLOT_BITS, bool)
+    out[got.column("slot").to_numpy()] = True
+    return np.packbits(out)
 
 
 class Piece:
-    """An encoded stretch of text with the places of its outer pieces."""
+    """An encoded stretch of text with its outer pieces as (character, token) starts, inner ones last."""
 
     __slots__ = ("text", "ids", "head", "tail")
 
     def __init__(self, text, ids, head, tail):
-        self.text, self.ids = text, ids
-        self.head = list(zip(head[::2], head[1::2]))
-        self.tail = list(zip(tail[::2], tail[1::2]))
-
-
-def join_pieces(a: Piece, b: Piece, t) -> Piece:
-    """``a`` and ``b`` as one, the join repaired until the new encoding agrees with both."""
-    for back in range(2, len(a.tail)):
+        self.text, self.ids, self.head, self.tail = text, ids, head, tail
+
+
+def encoded(text: str, encode) -> Piece:
+    """The chunk's ids and the starts of its first and last EDGE pieces."""
+    ids = encode(text)
+    find, boundary = _pieces()
+    head, token = [], 0
+    for m in islice(find(text), EDGE + 1):
+        if m.start():
+            head.append((m.start(), token))
+        token += len(encode(m[0]))
+    near = max(0, len(text) - 24 * EDGE)
+    m = boundary(text, near) if near else None  # a blank between two words always starts a piece
+    pieces = list(find(text, m.start())) if m else list(find(text))
+    tail, token = [], len(ids)
+    for m in reversed(pieces[-EDGE:]):
+        token -= len(encode(m[0]))
+        tail.append((m.start(), token))
+    return Piece(text, ids, head, tail)
+
+
+def join_pieces(a: Piece, b: Piece, encode) -> Piece:
+    """``a`` and ``b`` as one, the join repaired until the new encoding agrees with ``b``'s own pieces."""
+    find, _ = _pieces()
+    for back in range(1, len(a.tail)):
         start, kept = a.tail[back]
-        for end, dropped in b.head[2:]:
-            window = a.text[start:] + b.text[:end]
-            e = t.encode(window, add_special_tokens=False)
-            here = {}
-            previous = None
-            for k, w in enumerate(e.word_ids):
-                if w != previous:
-                    previous = w
-                    here[e.offsets[k][0]] = k
-            first = a.tail[back - 1][0] - start  # the window's first piece is whole in a, so it must end where a's does
-            if first not in here or e.ids[: here[first]] != a.ids[kept : a.tail[back - 1][1]]:
-                break
-            # A piece's start in b, well inside the window, that the new encoding has too.
-            for place, token in b.head[-3::-1]:
-                own = len(a.text) - start + place
-                if place < end and own in here and sum(x > own for x in here) >= 2:
-                    ids = a.ids[:kept] + e.ids[: here[own]] + b.ids[token:]
-                    shift, moved = len(a.text), kept + here[own] - token
-                    out = Piece(a.text + b.text, ids, [], [])
-                    out.head = a.head
-                    out.tail = [(p + shift, k + moved) for p, k in b.tail if k >= token]
-                    return out
-    e = t.encode(a.text + b.text, add_special_tokens=False)
-    return Piece(a.text + b.text, e.ids, *_edges(e))
-
-
-def join_all(parts, t) -> list[int] | None:
-    """Ids of a whole text from its encoded chunks in order; texts before the join needn't be kept whole."""
+        window = a.text[start:] + b.text[: b.head[-1][0]] if b.head else ""
+        own = len(a.text) - start
+        if len(b.head) < 4:
+            break
+        pieces = [(m.start(), m[0]) for m in find(window)]
+        new = {c for c, _ in pieces[:-2]}  # the last pieces may go on after the window
+        for place, token in b.head[:-1]:
+            if own + place in new:
+                between = [i for c, x in pieces if c < own + place for i in encode(x)]
+                ids = a.ids[:kept] + between + b.ids[token:]
+                moved = len(ids) - len(b.ids)
+                tail = [(p + len(a.text), k + moved) for p, k in b.tail if p >= place]
+                return Piece(a.text + b.text, ids, a.head, tail)
+    return encoded(a.text + b.text, encode)
+
+
+def join_all(pieces, encode) -> list[int]:
+    """Ids of a whole text from its encoded chunks in order."""
     out: list[int] = []
     current = None
-    for p in parts:
-        piece = Piece(*p)
+    for piece in pieces:
         if current is None:
             current = piece
             continue
-        current = join_pieces(current, piece, t)
+        current = join_pieces(current, piece, encode)
         if len(current.tail) > 4:  # what lies before the outer pieces is final
             place, token = current.tail[-1]
             out += current.ids[:token]
@@ -190,32 +187,120 @@ def join_all(parts, t) -> list[int] | None:
     return out + (current.ids if current else [])
 
 
-def encode_documents(docs: DataFrame, path: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs`` (doc_id, text; other columns are ignored)."""
-    spark = docs.sparkSession
-    vocab = spark.sparkContext.broadcast(vocabulary(path, name))
-    kind = dict(docs.dtypes)["doc_id"]
-    spread = docs.select("doc_id", "text").mapInArrow(_chunks, f"uid bigint, doc_id {kind}, pos int, chunk string")
-    encoded = encode_chunks(spread.select("chunk").filter("chunk is not null").distinct(), vocab)
-    row = F.struct("pos", "chunk", "ids", "head", "tail")
-    whole = spread.join(encoded, "chunk", "left").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(row)).alias("parts"))
+_STARTS = "array<struct<c:int,t:int>>"
+_PARTS = f"chunk string, ids array<int>, head {_STARTS}, tail {_STARTS}"
+
+
+def _arrow():
+    import pyarrow as pa
+
+    return pa.list_(pa.int32()), pa.list_(pa.struct([("c", pa.int32()), ("t", pa.int32())]))
+
+
+def _starts(pairs):
+    return [{"c": c, "t": t} for c, t in pairs]
+
 
-    def stitch(batches):
+def _encode_shared(vocab):
+    def run(batches):
         import pyarrow as pa
 
-        t = encoder(vocab.value)
+        encode, (ints, starts) = encoder(vocab.value), _arrow()
         for batch in batches:
+            done = [encoded(t, encode) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([p.ids for p in done], ints), pa.array([_starts(p.head) for p in done], starts), pa.array([_starts(p.tail) for p in done], starts)],
+                ["chunk", "ids", "head", "tail"],
+            )
+
+    return run
+
+
+def _scan(batches, shared):
+    """(document's place, text, chunks, which of them may be shared) of each batch's rows with text."""
+    bits = np.unpackbits(shared.value).astype(bool)
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        live = [(i, cut_chunks(t)) for i, t in enumerate(texts) if t]
+        flags = bits[slots_of([c for _, cs in live for c in cs])]
+        rows, at = [], 0
+        for i, chunks in live:
+            rows.append((i, texts[i], chunks, flags[at : at + len(chunks)]))
+            at += len(chunks)
+        yield batch, texts, rows
+
+
+def _alone(vocab, shared):
+    """Documents none of whose chunks is shared, and those without text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        encode, (ints, _) = encoder(vocab.value), _arrow()
+        for batch, texts, rows in _scan(batches, shared):
+            at = [i for i, t in enumerate(texts) if not t]
+            ids = [None if texts[i] is None else [] for i in at]
+            for i, text, _, flags in rows:
+                if not flags.any():
+                    at.append(i)
+                    ids.append(encode(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, ints)], ["doc_id", "ids"])
+
+    return run
+
+
+def _spread(vocab, shared):
+    """The chunks of the other documents; those of one place only are encoded here."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        encode, (ints, starts) = encoder(vocab.value), _arrow()
+        uid = TaskContext.get().partitionId() << 40
+        for batch, _, rows in _scan(batches, shared):
             out = []
+            for i, _, chunks, flags in rows:
+                uid += 1
+                if flags.any():
+                    for k, (c, f) in enumerate(zip(chunks, flags)):
+                        p = None if f else encoded(c, encode)
+                        out.append((i, uid, k, c, p and p.ids, p and _starts(p.head), p and _starts(p.tail)))
+            i, u, k, c, ids, head, tail = map(list, zip(*out)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(u, pa.int64()), batch.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.int32()), pa.array(c, pa.string()), pa.array(ids, ints), pa.array(head, starts), pa.array(tail, starts)],
+                ["uid", "doc_id", "pos", "chunk", "ids", "head", "tail"],
+            )
+
+    return run
+
+
+def _stitch(vocab):
+    def run(batches):
+        import pyarrow as pa
+
+        encode, (ints, _) = encoder(vocab.value), _arrow()
+        for batch in batches:
+            ids = []
             for parts in batch.column(1).to_pylist():
-                if parts[0]["chunk"] is None:
-                    out.append(None)
-                elif len(parts) == 1:
-                    out.append(parts[0]["ids"])
-                else:
-                    out.append(join_all(((p["chunk"], p["ids"], p["head"], p["tail"]) for p in parts), t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return whole.select("doc_id", "parts").mapInArrow(stitch, f"doc_id {kind}, ids array<int>")
+                ids.append(join_all((Piece(p["chunk"], p["ids"], *([(x["c"], x["t"]) for x in p[e]] for e in ("head", "tail"))) for p in parts), encode))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, ints)], ["doc_id", "ids"])
+
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
+    """(doc_id, ids) of every row of ``docs`` (doc_id, text; other columns are ignored)."""
+    sc = docs.sparkSession.sparkContext
+    docs = docs.select("doc_id", "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    vocab, shared = sc.broadcast(vocabulary(path, name)), sc.broadcast(shared_slots(docs))
+    alone = docs.mapInArrow(_alone(vocab, shared), f"doc_id {kind}, ids array<int>")
+    parts = cut(docs.mapInArrow(_spread(vocab, shared), f"uid bigint, doc_id {kind}, pos int, {_PARTS}"))
+    mine, ours = parts.filter("ids is not null"), parts.filter("ids is null").drop("ids", "head", "tail")
+    once = ours.select("chunk").distinct().mapInArrow(_encode_shared(vocab), _PARTS)
+    whole = mine.unionByName(ours.join(once, "chunk")).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "chunk", "ids", "head", "tail"))).alias("parts"))
+    return alone.unionByName(whole.select("doc_id", "parts").mapInArrow(_stitch(vocab), f"doc_id {kind}, ids array<int>"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
