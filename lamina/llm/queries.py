@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import garbled, lookalike, packing, tokens
+from lamina.llm import garbled, lookalike, names, neardup, packing, tokens
 
 
 def queries():
@@ -11,6 +11,9 @@ def queries():
         "p1_restored": garbled.p1_restored,
         "p3_found": lookalike.p3_found,
         "p3_normalized": lookalike.p3_normalized,
+        "p4_found": neardup.p4_found,
+        "p4_groups": neardup.p4_groups,
+        "p5_found": names.p5_found,
         "p8_ids": tokens.p8_ids,
         "p9_packing": packing.p9_packing,
         "p9_fill": packing.p9_fill,
