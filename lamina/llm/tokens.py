@@ -44,10 +44,26 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 @lru_cache(2)
 def encoder(vocab: bytes):
     """A function from text to ids; special tokens' strings are ordinary text."""
+    return _encoding(vocab).encode_ordinary
+
+
+@lru_cache(2)
+def _encoding(vocab: bytes):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab.splitlines())}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _lists(arrays):
+    """Arrow lists of arrays of ids, None for null."""
+    import pyarrow as pa
+
+    empty = np.zeros(0, np.int32)
+    values = [empty if a is None else np.asarray(a, np.int32) for a in arrays]
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    nulls = pa.array(np.array([a is None for a in arrays], bool))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, empty])), mask=nulls)
 
 
 @lru_cache(1)
@@ -236,15 +252,15 @@ def _alone(vocab, shared):
     def run(batches):
         import pyarrow as pa
 
-        encode, (ints, _) = encoder(vocab.value), _arrow()
+        encode = _encoding(vocab.value).encode_to_numpy
         for batch, texts, rows in _scan(batches, shared):
             at = [i for i, t in enumerate(texts) if not t]
             ids = [None if texts[i] is None else [] for i in at]
             for i, text, _, flags in rows:
                 if not flags.any():
                     at.append(i)
-                    ids.append(encode(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, ints)], ["doc_id", "ids"])
+                    ids.append(encode(text, disallowed_special=()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), _lists(ids)], ["doc_id", "ids"])
 
     return run
 
@@ -279,12 +295,12 @@ def _stitch(vocab):
     def run(batches):
         import pyarrow as pa
 
-        encode, (ints, _) = encoder(vocab.value), _arrow()
+        encode = encoder(vocab.value)
         for batch in batches:
             ids = []
             for parts in batch.column(1).to_pylist():
                 ids.append(join_all((Piece(p["chunk"], p["ids"], *([(x["c"], x["t"]) for x in p[e]] for e in ("head", "tail"))) for p in parts), encode))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, ints)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
 
     return run
 
