@@ -1,8 +1,8 @@
 """Near-duplicate articles (problem 4): MinHash banding, verified on the full shingle sets.
 
-Texts become sets of three successive words, hashed to 64 bits. Articles with equal sets
-form classes, so copies are compared once; classes are banded, and candidates of a
-common band are verified on their whole sets. Buckets too large for one task are dealt to
+Texts become sets of three successive words. Articles with equal sets form classes, so
+copies are compared once; one of each class is banded, and candidates of a common band
+are verified on their whole sets, taken from the texts again. Buckets too large for one task are dealt to
 blocks, and pairs of blocks are compared apart, so a hot bucket is spread and kept whole.
 
 Null and blank texts are left out; a null title counts as empty; texts with fewer than
@@ -55,7 +55,7 @@ def band_hashes(sh: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, print, shingles, bands) of docs (id, text)."""
+    """(id, p, q, bands) of docs (id, text); p and q are a fingerprint of the set in 128 bits."""
 
     def run(batches):
         import pyarrow as pa
@@ -63,63 +63,84 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            prints = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-            kind = pa.list_(pa.int64())
+            prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints), pa.array([s.view(np.int64) for s in sets], kind), pa.array([band_hashes(s) for s in sets], kind)],
-                ["id", "print", "shingles", "bands"],
+                [batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([band_hashes(s) for s in sets], pa.list_(pa.int64()))],
+                ["id", "p", "q", "bands"],
             )
 
-    return docs.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, print string, shingles array<bigint>, bands array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, p bigint, q bigint, bands array<bigint>")
 
 
-def alike(sets: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``pairs`` (a, b) whose sets (print, shingles) have the threshold of their union in common."""
-    left, right = (sets.select(F.col("print").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    joined = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return joined.filter(both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def word_sets(text: str) -> frozenset:
+    words = text.lower().split()
+    return frozenset(zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else frozenset([tuple(words)])
+
+
+def alike(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``pairs`` (a, b) of docs (id, text) whose sets have the threshold of their union in common."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, left = None, frozenset()
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if x != last:
+                    last, left = x, word_sets(x)
+                right = word_sets(y)
+                both = len(left & right)
+                if both >= threshold * (len(left) + len(right) - both):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
+
+    texts = docs.select("id", "text")
+    one = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", F.col("text").alias("x"))
+    return one.join(texts, one["b"] == texts["id"]).select("a", "b", "x", F.col("text").alias("y")).mapInArrow(run, "a bigint, b bigint")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of classes (print, bands) that share a band."""
-    spread = classes.select("print", F.explode("bands").alias("band"))
+    """Distinct pairs (a < b) of classes (rep, bands) that share a band."""
+    spread = classes.select("rep", F.explode("bands").alias("band"))
     # Only crowded buckets need blocks; their number is at most rows / BLOCK, found with map-side counts.
     crowded = spread.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     sized = spread.join(crowded, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     mine = sized.withColumn("block", block)
     # Each member meets every block once: as the pair (lesser block, greater block).
-    met = mine.select("print", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cell = met.select("print", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    met = mine.select("rep", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = met.select("rep", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     a, b = cell.alias("x"), cell.alias("y")
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.print") < F.col("y.print"))
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.rep") < F.col("y.rep"))
     apart = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
-    return a.join(b, on & apart).select(F.col("x.print").alias("a"), F.col("y.print").alias("b")).distinct()
+    return a.join(b, on & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (id, print) of the classes of equal sets, and the pairs (a, b) of classes that are alike."""
+    """Members (id, rep) of the classes of equal sets, and the pairs (a, b) of classes, named by their least member, that are alike."""
     signed = cut(signatures(docs))
-    classes = signed.groupBy("print").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
-    return signed.select("id", "print"), alike(classes.select("print", "shingles"), candidates(classes.select("print", "bands")))
+    classes = signed.groupBy("p", "q").agg(F.min("id").alias("rep"))
+    members = signed.select("id", "p", "q").join(classes, ["p", "q"]).select("id", "rep")
+    reps = signed.join(classes, (signed["p"] == classes["p"]) & (signed["q"] == classes["q"]) & (signed["id"] == classes["rep"]), "left_semi")
+    return members, alike(docs, candidates(reps.select(F.col("id").alias("rep"), "bands")))
 
 
 def article_texts(spark: SparkSession, folder: str) -> DataFrame:
     a = spark.read.parquet(f"{folder}/articles.parquet")
-    return a.filter(F.col("text").rlike(r"(?U)\S")).select(F.col("article_id").alias("id"), F.concat_ws(" ", F.coalesce("title", F.lit("")), "text").alias("text"))
+    return a.filter(F.col("text").rlike(r"(?U)\S")).select(F.col("article_id").cast("bigint").alias("id"), F.concat_ws(" ", F.coalesce("title", F.lit("")), "text").alias("text"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     members, pairs = near_classes(article_texts(spark, folder))
-    x, y = members.select(F.col("id").alias("i"), F.col("print").alias("a")), members.select(F.col("id").alias("j"), F.col("print").alias("b"))
+    x, y = members.select(F.col("id").alias("i"), F.col("rep").alias("a")), members.select(F.col("id").alias("j"), F.col("rep").alias("b"))
     between = pairs.join(x, "a").join(y, "b")
     within = x.join(y.withColumnRenamed("b", "a"), "a").filter("i < j")
     return between.select("i", "j").unionByName(within.select("i", "j")).select(F.least("i", "j").alias("article_a"), F.greatest("i", "j").alias("article_b"))
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per article: its class of equal sets and the number of classes it is alike with."""
+    """One row per article: its class of equal sets (named by its least article) and the number of classes it is alike with."""
     members, pairs = near_classes(article_texts(spark, folder))
-    links = pairs.select(F.col("a").alias("print")).unionAll(pairs.select("b")).groupBy("print").agg(F.count("*").alias("links"))
-    return members.join(links, "print", "left").select(F.col("id").alias("article_id"), F.col("print").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    links = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(links, "rep", "left").select(F.col("id").alias("article_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
