@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import garbled, lookalike, names, neardup, packing, tokens
+from lamina.llm import garbled, lookalike, names, neardup, packing, sentences, tokens
 
 
 def queries():
@@ -14,6 +14,8 @@ def queries():
         "p4_found": neardup.p4_found,
         "p4_groups": neardup.p4_groups,
         "p5_found": names.p5_found,
+        "p6_found": sentences.p6_found,
+        "p6_sentences": sentences.p6_sentences,
         "p8_ids": tokens.p8_ids,
         "p9_packing": packing.p9_packing,
         "p9_fill": packing.p9_fill,
