@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import garbled, lookalike, names, neardup, packing, sentences, tokens
+from lamina.llm import boilerplate, garbled, lookalike, names, neardup, packing, sentences, tokens
 
 
 def queries():
@@ -16,6 +16,8 @@ def queries():
         "p5_found": names.p5_found,
         "p6_found": sentences.p6_found,
         "p6_sentences": sentences.p6_sentences,
+        "p7_found": boilerplate.p7_found,
+        "p7_main_text": boilerplate.p7_main_text,
         "p8_ids": tokens.p8_ids,
         "p9_packing": packing.p9_packing,
         "p9_fill": packing.p9_fill,
