@@ -22,17 +22,31 @@ BANDS, ROWS = 40, 4
 #: Members of a bucket compared within one task; larger buckets are dealt to blocks of this size.
 BLOCK = 256
 
-_odd = np.random.default_rng(4).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+#: Slots of the sketch that tells which bands more than one article has.
+SLOT_BITS = 24
 
+_factor = np.random.default_rng(4).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_shift = np.random.default_rng(5).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_hashes: dict[str, int] = {}
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles."""
+
+def _hash(word: str) -> int:
     import xxhash
 
+    h = _hashes.get(word)
+    if h is None:
+        if len(_hashes) > 500_000:
+            _hashes.clear()
+        h = _hashes[word] = xxhash.xxh3_64_intdigest(word)
+    return h
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles."""
     words = text.lower().split()
     if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(" ".join(words))], np.uint64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        return np.array([_hash(" ".join(words))], np.uint64)
+    h = np.fromiter(map(_hash, words), np.uint64, len(words))
     out = np.zeros(len(words) - WORDS + 1, np.uint64)
     for k in range(WORDS):
         out = out * np.uint64(0x9E3779B97F4A7C15) ^ h[k : k + len(out)]
@@ -42,11 +56,12 @@ def shingles(text: str) -> np.ndarray:
 
 def band_hashes(sh: np.ndarray) -> np.ndarray:
     """BANDS hashes, each over the minima of ROWS permutations."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for part in np.array_split(sh, -(-len(sh) // 2048)):
-        mixed = (part[:, None] * _odd[0]) ^ _odd[1]
-        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * _odd[1]).min(axis=0))
-    rows = least.reshape(BANDS, ROWS)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for part in np.array_split((sh >> np.uint64(32)).astype(np.uint32) ^ sh.astype(np.uint32), -(-len(sh) // 2048)):
+        mixed = part[:, None] * _factor
+        mixed += _shift
+        np.minimum(least, mixed.min(axis=0), out=least)
+    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     for k in range(ROWS):
         out = (out ^ rows[:, k]) * np.uint64(0x9FB21C651E98DF25)
@@ -77,32 +92,86 @@ def word_sets(text: str) -> frozenset:
     return frozenset(zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else frozenset([tuple(words)])
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, z): the texts compressed, as they are shuffled twice."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "z"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, z binary")
+
+
 def alike(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``pairs`` (a, b) of docs (id, text) whose sets have the threshold of their union in common."""
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         last, left = None, frozenset()
+
+        def words(z):
+            return word_sets(unpack(z).decode("utf-8", "surrogatepass"))
+
         for batch in batches:
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if x != last:
-                    last, left = x, word_sets(x)
-                right = word_sets(y)
+            for k, (y, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
+                if y != last:  # the pairs come sorted by b
+                    last, left = y, words(y)
+                right = words(x)
                 both = len(left & right)
                 if both >= threshold * (len(left) + len(right) - both):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
 
-    texts = docs.select("id", "text")
-    one = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", F.col("text").alias("x"))
-    return one.join(texts, one["b"] == texts["id"]).select("a", "b", "x", F.col("text").alias("y")).mapInArrow(run, "a bigint, b bigint")
+    texts = _packed(docs)
+    one = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", F.col("z").alias("x"))
+    return one.join(texts, one["b"] == texts["id"]).select("a", "b", "x", F.col("z").alias("y")).mapInArrow(run, "a bigint, b bigint")
+
+
+def _slots(bands: np.ndarray) -> np.ndarray:
+    return (bands.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _band_counts(batches):
+    import pyarrow as pa
+
+    seen = np.zeros(1 << SLOT_BITS, np.uint8)
+    for batch in batches:
+        slots, n = np.unique(_slots(batch.column(0).flatten().to_numpy()), return_counts=True)
+        seen[slots] = np.minimum(2, seen[slots] + np.minimum(n, 2))
+    used = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used].astype(np.int32))], ["slot", "n"])
+
+
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(rep, band) of the bands that more than one class may have, told by a sketch of fixed size."""
+    got = classes.select("bands").mapInArrow(_band_counts, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot").toArrow()
+    bits = np.zeros(1 << SLOT_BITS, bool)
+    bits[got.column("slot").to_numpy()] = True
+    shared = classes.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches):
+        import pyarrow as pa
+
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            bands = batch.column(1).flatten().to_numpy()
+            keep = np.flatnonzero(bits[_slots(bands)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep // BANDS)), pa.array(bands[keep])], ["rep", "band"])
+
+    return classes.select("rep", "bands").mapInArrow(run, "rep bigint, band bigint")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of classes (rep, bands) that share a band."""
-    spread = classes.select("rep", F.explode("bands").alias("band"))
+    spread = shared_bands(classes)
     # Only crowded buckets need blocks; their number is at most rows / BLOCK, found with map-side counts.
     crowded = spread.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     sized = spread.join(crowded, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
