@@ -148,7 +148,7 @@ class Piece:
 
 def encoded(text: str, encode) -> Piece:
     """The chunk's ids and the starts of its first and last EDGE pieces."""
-    ids = encode(text)
+    ids = np.asarray(encode(text), np.int32)
     find, boundary = _pieces()
     head, token = [], 0
     for m in islice(find(text), EDGE + 1):
@@ -179,16 +179,16 @@ def join_pieces(a: Piece, b: Piece, encode) -> Piece:
         for place, token in b.head[:-1]:
             if own + place in new:
                 between = [i for c, x in pieces if c < own + place for i in encode(x)]
-                ids = a.ids[:kept] + between + b.ids[token:]
+                ids = np.concatenate([a.ids[:kept], np.asarray(between, np.int32), b.ids[token:]])
                 moved = len(ids) - len(b.ids)
                 tail = [(p + len(a.text), k + moved) for p, k in b.tail if p >= place]
                 return Piece(a.text + b.text, ids, a.head, tail)
     return encoded(a.text + b.text, encode)
 
 
-def join_all(pieces, encode) -> list[int]:
+def join_all(pieces, encode) -> np.ndarray:
     """Ids of a whole text from its encoded chunks in order."""
-    out: list[int] = []
+    out = []
     current = None
     for piece in pieces:
         if current is None:
@@ -197,37 +197,27 @@ def join_all(pieces, encode) -> list[int]:
         current = join_pieces(current, piece, encode)
         if len(current.tail) > 4:  # what lies before the outer pieces is final
             place, token = current.tail[-1]
-            out += current.ids[:token]
+            out.append(current.ids[:token])
             current.text, current.ids = current.text[place:], current.ids[token:]
             current.tail = [(c - place, k - token) for c, k in current.tail]
-    return out + (current.ids if current else [])
+    return np.concatenate([*out, current.ids]) if current else np.zeros(0, np.int32)
 
 
-_STARTS = "array<struct<c:int,t:int>>"
-_PARTS = f"chunk string, ids array<int>, head {_STARTS}, tail {_STARTS}"
+_PARTS = "chunk string, ids array<int>, head array<int>, tail array<int>"
 
 
-def _arrow():
-    import pyarrow as pa
-
-    return pa.list_(pa.int32()), pa.list_(pa.struct([("c", pa.int32()), ("t", pa.int32())]))
-
-
-def _starts(pairs):
-    return [{"c": c, "t": t} for c, t in pairs]
+def _flat(pairs) -> list[int]:
+    return [x for p in pairs for x in p]
 
 
 def _encode_shared(vocab):
     def run(batches):
         import pyarrow as pa
 
-        encode, (ints, starts) = encoder(vocab.value), _arrow()
+        encode = encoder(vocab.value)
         for batch in batches:
             done = [encoded(t, encode) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p.ids for p in done], ints), pa.array([_starts(p.head) for p in done], starts), pa.array([_starts(p.tail) for p in done], starts)],
-                ["chunk", "ids", "head", "tail"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([p.ids for p in done]), _lists([_flat(p.head) for p in done]), _lists([_flat(p.tail) for p in done])], ["chunk", "ids", "head", "tail"])
 
     return run
 
@@ -272,7 +262,7 @@ def _spread(vocab, shared):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, (ints, starts) = encoder(vocab.value), _arrow()
+        encode = encoder(vocab.value)
         uid = TaskContext.get().partitionId() << 40
         for batch, _, rows in _scan(batches, shared):
             out = []
@@ -281,10 +271,10 @@ def _spread(vocab, shared):
                 if flags.any():
                     for k, (c, f) in enumerate(zip(chunks, flags)):
                         p = None if f else encoded(c, encode)
-                        out.append((i, uid, k, c, p and p.ids, p and _starts(p.head), p and _starts(p.tail)))
+                        out.append((i, uid, k, c, p and p.ids, p and _flat(p.head), p and _flat(p.tail)))
             i, u, k, c, ids, head, tail = map(list, zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.int64()), batch.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.int32()), pa.array(c, pa.string()), pa.array(ids, ints), pa.array(head, starts), pa.array(tail, starts)],
+                [pa.array(u, pa.int64()), batch.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.int32()), pa.array(c, pa.string()), _lists(ids), _lists(head), _lists(tail)],
                 ["uid", "doc_id", "pos", "chunk", "ids", "head", "tail"],
             )
 
@@ -297,9 +287,19 @@ def _stitch(vocab):
 
         encode = encoder(vocab.value)
         for batch in batches:
-            ids = []
-            for parts in batch.column(1).to_pylist():
-                ids.append(join_all((Piece(p["chunk"], p["ids"], *([(x["c"], x["t"]) for x in p[e]] for e in ("head", "tail"))) for p in parts), encode))
+            lists = batch.column(1)
+            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            chunks = flat.field("chunk").to_pylist()
+            table = {}
+            for name in ("ids", "head", "tail"):
+                column = flat.field(name)
+                table[name] = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+
+            def piece(k):
+                ids, head, tail = (v[e[k] : e[k + 1]] for v, e in (table[n] for n in ("ids", "head", "tail")))
+                return Piece(chunks[k], ids, *(list(zip(x[::2], x[1::2])) for x in (head.tolist(), tail.tolist())))
+
+            ids = [join_all((piece(k) for k in range(a, b)), encode) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
 
     return run
