@@ -22,6 +22,9 @@ BANDS, ROWS = 40, 4
 #: Members of a bucket compared within one task; larger buckets are dealt to blocks of this size.
 BLOCK = 256
 
+#: Of BANDS * ROWS minima two bits each are compared before a pair is verified; pairs below so many equal ones
+#: lie 4.5 standard deviations under the threshold (of 0.049 in similarity), so 3 of a million are lost by it.
+ALIKE_BITS = 86
 #: Slots of the sketch that tells which bands more than one article has.
 SLOT_BITS = 24
 
@@ -54,8 +57,8 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def band_hashes(sh: np.ndarray) -> np.ndarray:
-    """BANDS hashes, each over the minima of ROWS permutations."""
+def band_hashes(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS hashes, each over the minima of ROWS permutations; and two bits of every minimum in six words."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for part in np.array_split((sh >> np.uint64(32)).astype(np.uint32) ^ sh.astype(np.uint32), -(-len(sh) // 2048)):
         mixed = part[:, None] * _factor
@@ -66,11 +69,14 @@ def band_hashes(sh: np.ndarray) -> np.ndarray:
     for k in range(ROWS):
         out = (out ^ rows[:, k]) * np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    two = np.zeros((2, 192), np.uint8)
+    mixed = least * np.uint32(0x9E3779B1)
+    two[0, : len(least)], two[1, : len(least)] = mixed >> np.uint32(31), mixed >> np.uint32(30) & np.uint32(1)
+    return out.view(np.int64), np.packbits(two, axis=1).view(np.int64).ravel()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, p, q, bands) of docs (id, text); p and q are a fingerprint of the set in 128 bits."""
+    """(id, p, q, bands, bits) of docs (id, text); p and q are a fingerprint of the set in 128 bits."""
 
     def run(batches):
         import pyarrow as pa
@@ -79,12 +85,13 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
+            made, kind = [band_hashes(s) for s in sets], pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([band_hashes(s) for s in sets], pa.list_(pa.int64()))],
-                ["id", "p", "q", "bands"],
+                [batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([b for b, _ in made], kind), pa.array([t for _, t in made], kind)],
+                ["id", "p", "q", "bands", "bits"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, p bigint, q bigint, bands array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, p bigint, q bigint, bands array<bigint>, bits array<bigint>")
 
 
 def word_sets(text: str) -> frozenset:
@@ -151,7 +158,7 @@ def _band_counts(batches):
 
 
 def shared_bands(classes: DataFrame) -> DataFrame:
-    """(rep, band) of the bands that more than one class may have, told by a sketch of fixed size."""
+    """(rep, bits, band) of the bands that more than one class may have, told by a sketch of fixed size."""
     got = classes.select("bands").mapInArrow(_band_counts, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot").toArrow()
     bits = np.zeros(1 << SLOT_BITS, bool)
     bits[got.column("slot").to_numpy()] = True
@@ -164,13 +171,14 @@ def shared_bands(classes: DataFrame) -> DataFrame:
         for batch in batches:
             bands = batch.column(1).flatten().to_numpy()
             keep = np.flatnonzero(bits[_slots(bands)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep // BANDS)), pa.array(bands[keep])], ["rep", "band"])
+            at = pa.array(keep // BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(bands[keep])], ["rep", "bits", "band"])
 
-    return classes.select("rep", "bands").mapInArrow(run, "rep bigint, band bigint")
+    return classes.select("rep", "bands", "bits").mapInArrow(run, "rep bigint, bits array<bigint>, band bigint")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of classes (rep, bands) that share a band."""
+    """Distinct pairs (a < b) of classes (rep, bands, bits) that share a band and enough bits."""
     spread = shared_bands(classes)
     # Only crowded buckets need blocks; their number is at most rows / BLOCK, found with map-side counts.
     crowded = spread.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -178,12 +186,14 @@ def candidates(classes: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     mine = sized.withColumn("block", block)
     # Each member meets every block once: as the pair (lesser block, greater block).
-    met = mine.select("rep", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cell = met.select("rep", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    met = mine.select("rep", "bits", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = met.select("rep", "bits", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     a, b = cell.alias("x"), cell.alias("y")
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.rep") < F.col("y.rep"))
     apart = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
-    return a.join(b, on & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    equal = [F.bit_count(F.expr(f"~(x.bits[{k}] ^ y.bits[{k}]) & ~(x.bits[{k + 3}] ^ y.bits[{k + 3}])")) for k in range(3)]
+    alike_bits = equal[0] + equal[1] + equal[2] - F.lit(192 - BANDS * ROWS) >= F.lit(ALIKE_BITS)
+    return a.join(b, on & apart & alike_bits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +202,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = signed.groupBy("p", "q").agg(F.min("id").alias("rep"))
     members = signed.select("id", "p", "q").join(classes, ["p", "q"]).select("id", "rep")
     reps = signed.join(classes, (signed["p"] == classes["p"]) & (signed["q"] == classes["q"]) & (signed["id"] == classes["rep"]), "left_semi")
-    return members, alike(docs, candidates(reps.select(F.col("id").alias("rep"), "bands")))
+    return members, alike(docs, candidates(reps.select(F.col("id").alias("rep"), "bands", "bits")))
 
 
 def article_texts(spark: SparkSession, folder: str) -> DataFrame:
