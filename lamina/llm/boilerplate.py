@@ -27,6 +27,8 @@ from lamina.llm.lookalike import ALIKE, INVISIBLE
 
 MODEL = Path(__file__).parent / "models" / "boilerplate.json"
 SLOT_BITS = 20
+#: From this length on a line is running text: it is judged by its shape, place and siblings alone and counted as written.
+LONG = 160
 #: Cost in logits of a block whose lines differ.
 MIXED = 0.6
 
@@ -45,7 +47,6 @@ TOKENS = {
 }
 NAMES = tuple(TOKENS)
 
-_tokens = re.compile("|".join(f"(?P<{k}>(?<![a-z0-9])(?:{v})(?![a-z0-9]))" for k, v in TOKENS.items()))
 _menu_part = re.compile(f"(?:{TOKENS['menu']})")
 _parts = re.compile(r"\s*[|/›>•·]\s*|\s+[-–—]\s+|\s{3,}")
 _date = re.compile(r"\d{1,4}[/.年-]\s?\d{1,2}[/.月-]\s?\d{1,4}")
@@ -56,9 +57,36 @@ _aside = re.compile(r"\s*(?:\([^()]{1,25}\)|[✔▼]️?|🌿|©|[№§£€±]\
 _fold = str.maketrans(ALIKE | dict.fromkeys(INVISIBLE, ""))
 
 
+@lru_cache(1)
+def _automaton():
+    """Finds all attribute tokens of a folded line in one pass."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for kind, words in TOKENS.items():
+        for w in words.replace("podcasts?", "podcast|podcasts").replace("cookies?", "cookie|cookies").replace("comments?", "comment|comments").replace("tags?", "tag|tags").replace("like \\d", "like ").replace("\\+", "+").split("|"):
+            out.add_word(w, (kind, len(w)))
+    out.make_automaton()
+    return out
+
+
+def _plain(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+def tokens_in(folded: str):
+    """(kind, start) of the attribute tokens that are whole words."""
+    n = len(folded)
+    for end, (kind, size) in _automaton().iter(folded):
+        a, z = end - size + 1, end + 1
+        if not (a and _plain(folded[a - 1]) and _plain(folded[a])) and not (z < n and _plain(folded[z]) and _plain(folded[end])):
+            yield kind, a
+
+
 @lru_cache(1 << 15)
 def fold(line: str) -> str:
     """Lower case without accents, look-alikes and invisible characters."""
+    line = line.strip()
     if line.isascii():
         return line.lower().strip()
     s = unicodedata.normalize("NFKD", line.translate(_fold).lower()).replace("đ", "d")
@@ -85,15 +113,18 @@ FEATURES = [*OWN, *PLACE, *(f"prev_{s}" for s in SIDE), *(f"next_{s}" for s in S
 
 @lru_cache(1 << 15)
 def _own(line: str, site: str, domain: str) -> tuple[list[float], str]:
+    if len(line) >= LONG:
+        n = float(len(line))
+        return [n, line.count(" ") + 1.0, float(bool(_end.search(line, len(line) - 8))), 1.0, n, *[0.0] * (len(OWN) - 5)], line
     folded = fold(line)
     bare = _aside.sub("", folded)
     parts = [p for p in _parts.split(bare) if p] or [""]
     found = dict.fromkeys(NAMES, 0)
     first = 0.0
-    for m in _tokens.finditer(folded):
-        found[m.lastgroup] += 1
-        if m.start() <= 3:
-            first = NAMES.index(m.lastgroup) + 1.0
+    for kind, a in tokens_in(folded):
+        found[kind] += 1
+        if a <= 3:
+            first = NAMES.index(kind) + 1.0
     n = max(1, len(bare))
     values = [
         len(bare), bare.count(" ") + 1, bool(_end.search(line)), len(parts), max(map(len, parts)), sum(c.isdigit() for c in bare) / n,
@@ -246,7 +277,7 @@ def _count(batches):
         for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
                 site = fold(site or "")
-                for s in {slot_of(line_key(fold(line), site)) for line in text.split("\n") if len(line) < 400}:
+                for s in {slot_of(line if len(line) >= LONG else line_key(fold(line), site)) for line in text.split("\n")}:
                     n[s] += 1
     used = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["slot", "n"])

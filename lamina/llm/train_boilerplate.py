@@ -59,7 +59,7 @@ def main(path: str) -> None:
     n = np.zeros(1 << b.SLOT_BITS, np.int32)
     for r in rows:
         site = b.fold(r["sitename"] or "")
-        for s in {b.slot_of(b.line_key(b.fold(x), site)) for x in r["text"].split("\n")}:
+        for s in {b.slot_of(x if len(x) >= b.LONG else b.line_key(b.fold(x), site)) for x in r["text"].split("\n")}:
             n[s] += 1
     n = b.relative(n, len(rows))
     made = [(b.page_features(r["text"].split("\n"), r["sitename"], r["source_domain"], n), labels(r["text"].split("\n"))) for r in rows]
