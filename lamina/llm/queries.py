@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import boilerplate, garbled, lookalike, names, neardup, packing, sentences, tokens
+from lamina.llm import boilerplate, garbled, lookalike, names, neardup, packing, pii, sentences, tokens
 
 
 def queries():
@@ -21,6 +21,8 @@ def queries():
         "p8_ids": tokens.p8_ids,
         "p9_packing": packing.p9_packing,
         "p9_fill": packing.p9_fill,
+        "p10_found": pii.p10_found,
+        "p10_redacted": pii.p10_redacted,
     }
 
 

@@ -26,7 +26,7 @@ TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 #: Bits of the rolling hash that must be zero (mean distance 2**bits), and the least and greatest chunk.
 CUT_BITS, LEAST, GREATEST = 9, 128, 4096
-WINDOW = 16
+WINDOW = 8
 #: Pieces at a chunk's end and start that are kept beside its ids for repairs.
 EDGE = 8
 
