@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lamina.operators import history
+from lamina.plans import graphs, textual
 from lamina.sources.tables import table
 
 
@@ -44,9 +45,12 @@ SELECT stable_id, valid_from,
 """
 
 
+QUERIES = {"p2_found": (p2_found, P2_SQL)} | graphs.QUERIES | textual.QUERIES
+
+
 def queries():
-    return {"p2_found": p2_found}
+    return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql():
-    return {"p2_found": P2_SQL}
+    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
