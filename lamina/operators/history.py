@@ -101,7 +101,7 @@ def replace_atomically(df: DataFrame, folder: str) -> str:
     spark, name = df.sparkSession, f"chains-{uuid.uuid4().hex}"
     df.write.parquet(os.path.join(folder, name))
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    part, pointer = (jvm.org.apache.hadoop.fs.Path(folder, x) for x in (f"_pointer-{name}", "_pointer"))
+    part, pointer = (jvm.org.apache.hadoop.fs.Path(folder, x) for x in (f"pending-{name}.txt", "current.txt"))
     fs = part.getFileSystem(conf)
     out = fs.create(part, True)
     out.write(bytearray(name.encode()))
@@ -114,7 +114,7 @@ def replace_atomically(df: DataFrame, folder: str) -> str:
 
 
 def current_table(spark, folder: str) -> DataFrame:
-    name = spark.read.text(os.path.join(folder, "_pointer*")).first()[0]
+    name = spark.read.text(os.path.join(folder, "current.txt")).first()[0]
     return spark.read.parquet(os.path.join(folder, name))
 
 
