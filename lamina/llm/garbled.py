@@ -349,23 +349,33 @@ def restore_text(model: PairModel, text: str) -> tuple[str, bool]:
     hit = [k for k, (_, bad, _) in enumerate(told) if bad]
     if not hit:
         return text, False
-    names = {told[k][2] for k in hit} - {None}
-    lo, hi = runs[hit[0]][0], runs[hit[-1]][1]
-    if len(names) == 1:  # one mapping explains all runs: it may hold between them too
-        whole = inverse_mappings()[names.pop()](text[lo:hi])
-        pieced = _pieced(text, runs, told, lo, hi)
-        if model.cost(whole) < model.cost(pieced):
-            return text[:lo] + whole + text[hi:], True
-    return text[:lo] + _pieced(text, runs, told, lo, hi) + text[hi:], True
-
-
-def _pieced(text: str, runs, told, lo: int, hi: int) -> str:
-    out, at = [], lo
-    for (a, b), (fixed, bad, _) in zip(runs, told):
-        if bad:
-            out += [text[at:a], fixed]
-            at = b
-    return "".join(out) + text[at:hi]
+    fixed, at = [], 0
+    names = sorted({told[k][2] for k in hit} - {None})
+    for k in hit:
+        a, b = runs[k]
+        fixed += [_widened(model, text[at:a], names), told[k][0]]
+        at = b
+    return "".join(fixed) + _widened(model, text[at:], names), True
+
+
+_spaced = re.compile("([ \n\r\t]+)")
+
+
+def _widened(model: PairModel, text: str, names: list[str]) -> str:
+    """The words beside the runs, undone too where the runs' mappings make them more probable."""
+    if not names or text.isascii():
+        return text
+    words = _spaced.split(text)
+    for i in range(0, len(words), 2):
+        w = words[i]
+        if w.isascii():
+            continue
+        best = model.cost(w)
+        for name in names:
+            other = inverse_mappings()[name](w)
+            if other != w and lossy_share(other) <= lossy_share(w) and model.cost(other) < best - 1:
+                words[i], best = other, model.cost(other)
+    return "".join(words)
 
 
 def find_garbled(rows: DataFrame, model: PairModel, keep_text: bool = False) -> DataFrame:
