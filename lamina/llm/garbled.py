@@ -66,10 +66,11 @@ def pair_slots(codes: np.ndarray) -> np.ndarray:
 
 
 def untrusted(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Texts with a symbol between letters or an odd character; their pairs aren't counted."""
+    """Texts with a symbol between letters or beside a foreign one, or an odd character; their pairs aren't counted."""
     k = char_classes()[codes & 0xFFFF]
     bad = k == ODD
     bad[1:-1] |= (k[1:-1] == SYMBOL) & ((k[:-2] == LETTER) | (k[:-2] == FOREIGN)) & ((k[2:] == LETTER) | (k[2:] == FOREIGN))
+    bad[1:] |= (k[1:] == SYMBOL) & (k[:-1] == FOREIGN) | (k[1:] == FOREIGN) & (k[:-1] == SYMBOL)
     total = np.concatenate([[0], np.cumsum(bad)])
     ends = np.append(starts[1:] - 1, len(codes))
     return total[ends] > total[starts]

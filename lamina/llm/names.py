@@ -163,12 +163,20 @@ class Channel:
             return KEYS + TYPO * n
         return None
 
-    def phrase(self, left: list[str], phrase: str) -> tuple[float, list[str]] | None:
-        """Cost of finding a phrase's words next to each other in ``left``, and the words then left."""
+    def phrase(self, left: list[str], phrase: str, told: bool = False) -> tuple[float, list[str]] | None:
+        """Cost of finding a phrase's words next to each other in ``left``, and the words then left.
+
+        With ``told`` (a sector or attribute, of an issuer already named) one word beside right
+        ones may be mistyped into another common word.
+        """
         parts = phrase.split()
         best = None
         for i in range(len(left) - len(parts) + 1):
             costs = [self.letter_cost(left[i + k], p) for k, p in enumerate(parts)]
+            if told and len(parts) > 1 and costs.count(None) == 1 and all(c in (None, 0.0) for c in costs):
+                k = costs.index(None)
+                if edits(left[i + k], parts[k]) == 1:
+                    costs[k] = TYPO + 1.5
             if None not in costs and (best is None or sum(costs) < best[0]):
                 best = (sum(costs), left[:i] + left[i + len(parts) :])
         glued = "".join(parts)
@@ -221,7 +229,7 @@ class Channel:
             for c, ws in options:
                 more.append((c + absent, ws))
                 for name in (concept, (SECTORS | MODIFIERS)[concept]):
-                    if (f := self.phrase(ws, name)) is not None:
+                    if (f := self.phrase(ws, name, True)) is not None:
                         more.append((c + f[0], f[1]))
                     parts = name.split()
                     if len(parts) > 1:  # import and export, sea transport: in any order
