@@ -491,9 +491,9 @@ def query_builder(spark, folder):
     c = table(spark, folder, "companies").filter("ticker is not null and full_name is not null").groupBy(F.upper(F.trim("ticker")).alias("ticker")).agg(F.min_by("full_name", "seq").alias("full_name"))
     short = F.trim(F.regexp_replace(F.lower("full_name"), "^(công ty cổ phần|tổng công ty|ctcp|công ty) ", ""))
     vague = (F.length(short) <= 3) | short.rlike("^[0-9]+$") | (~F.contains(short, F.lit(" ")) & (F.length(short) <= 6))
-    groups = spark.createDataFrame([("fine", "phạt OR vi phạm"), ("water", "nước thải OR xả thải")], "kind string, words string")
+    groups = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(w).alias("words")) for k, w in (("fine", "phạt OR vi phạm"), ("water", "nước thải OR xả thải"))])).alias("g")
     who = F.when(vague, F.concat(F.lit('"'), short, F.lit('" '), F.col("ticker"))).otherwise(F.concat(F.lit('"'), short, F.lit('"')))
-    return c.crossJoin(F.broadcast(groups)).select("ticker", "kind", F.concat(who, F.lit(" ("), "words", F.lit(")")).alias("query"))  # two groups
+    return c.select("ticker", who.alias("who"), groups).select("ticker", "g.kind", F.concat("who", F.lit(" ("), "g.words", F.lit(")")).alias("query"))
 
 
 BUILDER = """
