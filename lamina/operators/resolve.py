@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lamina.functions import text as t
+from lamina.operators import graph
 from lamina.operators.ontology import IDENTITY_KEYS, TEMPORAL
 
+#: Classes of single observations, which names alone never merge (fixed values).
+OBSERVATIONS = ("KPIObservation", "Emission", "Waste", "SustainabilityClaim", "Controversy", "Penalty", "MediaReport", "Investment", "ThirdPartyVerification", "ScienceBasedTarget", "CarbonOffsetProject")
+
 #: Values that state nothing, in lower case (fixed values).
 UNSTATED = ("", "none", "null")
 
@@ -91,3 +96,36 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 500) -> Dat
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": np.round(s[keep], 4)})
 
     return cells.groupBy("label", "lo", "hi").applyInPandas(compare, "a bigint, b bigint, cosine double")
+
+
+def resolve_graph(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, confirmed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, class, props) and edges (seq, src, predicate, dst, valid_from, recorded_at) to resolved ones.
+
+    Merged are nodes of equal identity (observations only where their titles agree too), entities
+    whose identity agrees in normal form, and organisations that are an issuer's reviewed alias
+    (anchors: name, ticker), which nothing else may merge; ``confirmed`` adds pairs (a, b) that an
+    adjudicator accepted. Nodes keep the least number of their cluster; edges are carried over,
+    loops dropped, and of one pair, predicate and year the first stays.
+    """
+    title = F.lower(F.coalesce(F.col("props")["title"], F.col("props")["name"], F.lit("")))
+    told = nodes.select("node", "class", "props", signature(F.col("class"), F.col("props")).alias("sig"), F.when(F.col("class").isin(*OBSERVATIONS), title).otherwise("").alias("title"), t.normalize_name(F.col("props")["name"]).alias("plain"))
+    issuer = told.filter(F.col("class") == "Organization").join(F.broadcast(anchors.select(t.normalize_name(F.col("name")).alias("plain"), "ticker").distinct()), "plain").select("node", "ticker")
+
+    def stars(df: DataFrame, *keys: str) -> DataFrame:
+        least = df.groupBy(*keys).agg(F.min("node").alias("a"))
+        return df.join(least, list(keys)).select("a", F.col("node").alias("b"))
+
+    free = told.join(issuer, "node", "left_anti").filter("sig is not null")
+    pairs = stars(free, "class", "sig", "title").unionByName(stars(free.filter(~F.col("class").isin(*OBSERVATIONS)).withColumn("norm", t.normalize_name(F.col("sig"))), "class", "norm")).unionByName(stars(issuer, "ticker"))
+    if confirmed is not None:
+        loose = confirmed.join(issuer.select(F.col("node").alias("a")), "a", "left_anti").join(issuer.select(F.col("node").alias("b")), "b", "left_anti")
+        pairs = pairs.unionByName(loose.select("a", "b"))
+    roots = graph.components(pairs.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    merged = consolidate(nodes.join(roots, "node").select(F.col("root").cast("string").alias("stable_id"), F.col("node").alias("snap_id"), F.col("props").alias("properties")))
+    clusters = nodes.join(roots, "node").groupBy(F.col("root").alias("node")).agg(F.min_by("class", "node").alias("class"), F.count("*").alias("members"))
+    out = clusters.join(merged.withColumn("node", F.col("stable_id").cast("bigint")).drop("stable_id"), "node", "left").join(issuer.join(roots, "node").groupBy(F.col("root").alias("node")).agg(F.min("ticker").alias("ticker")), "node", "left")
+    r = roots.select(F.col("node").alias("k"), "root")
+    wired = edges.join(r.select(F.col("k").alias("src"), F.col("root").alias("s")), "src").join(r.select(F.col("k").alias("dst"), F.col("root").alias("d")), "dst").filter("s <> d")
+    wired = wired.withColumn("year", t.year_of(F.col("valid_from"), F.col("recorded_at")))
+    kept = graph.dedup_by_year(wired, ["s", "predicate", "d"], "seq").select("seq", F.col("s").alias("src"), "predicate", F.col("d").alias("dst"), "year")
+    return out, kept

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.functions import text as t
+from lamina.functions import text as t, web
 from lamina.operators import graph, history, models, ontology, resolve, triples as tr
 from lamina.plans import catalog
 from lamina.sources import readers, sinks
@@ -125,6 +125,39 @@ def test_consolidate_prefers_the_fullest(spark):
     assert [tuple(r) for r in resolve.consolidate(snaps(spark, rows)).collect()] == [("a", "k=v;name=An Phat;type=x")]
 
 
+def test_web_functions(spark):
+    page = '<html><head><title>T</title><meta property="og:title" content="Tựa"><script>x()</script></head><body><h1>H</h1><p>a&nbsp;b &amp;</p><div>c</div>{"datePublished": "2020-03-04T05:06"}</body></html>'
+    row = spark.createDataFrame([(page, "https://www.a.example/2021/x")], "p string, u string")
+    m = row.select(web.page_metadata(F.col("p"), F.col("u")).alias("m")).first().m
+    assert (m.title, m.date, m.author, m.site) == ("Tựa", "2020-03-04", "", "a.example")
+    assert row.select(web.html_text(F.col("p")).alias("x")).first().x.startswith("T H\na b &\nc\n")
+    one = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v")).alias("x")).first()[0]
+    assert one(web.repair_zip_name, "Báo cáo.pdf".encode().decode("cp437")) == "Báo cáo.pdf" and one(web.repair_zip_name, None) is None
+    assert one(web.clean_text, " a&eacute;\x07b ") == "aéb"
+    assert [one(web.year_text, y) for y in ("2020.0", None, "nan", "20/21")] == ["2020", "NA", "NA", "20_21"]
+    assert [one(web.wanted_link, u) for u in ("https://a/b", "https://youtube.com/x", "ftp://a", None)] == [True, False, False, False]
+    assert one(web.annual_report_link, "/files/Bao-cao-thuong-nien-2020.pdf") and not one(web.annual_report_link, "/tin")
+    assert one(lambda c: web.context(c, "neo", 2, 3), "abcneodefgh") == "bcneodef"
+    assert tuple(one(lambda c: web.year_bounds(c.cast("int")), "1970")) == (0, 365 * 86400 - 1)
+    mirrors = spark.createDataFrame([("k", 1, 404, "x", "a"), ("k", 2, 200, "no", "b"), ("k", 3, 200, "the needle", "c"), ("k", 4, 200, "needle", "d")], "key string, priority int, status int, body string, url string")
+    assert web.first_mirror(mirrors, "key", "needle").first().url == "c"
+
+
+def test_resolve_graph(spark):
+    org = lambda n: {"name": n}
+    kpi = lambda title: {"kpi_type": "e", "source_id": "s", "year": "2020", "title": title}
+    nodes = [(1, "Organization", org("Công ty ABC")), (2, "Organization", org("công ty abc")), (3, "Organization", org("Công ty Ábc")), (4, "Organization", org("Vân Giáp")), (5, "Organization", org("VAN GIAP JSC")),
+             (6, "KPIObservation", kpi("A")), (7, "KPIObservation", kpi("B")), (8, "KPIObservation", kpi("a")), (9, "Organization", org("none")), (10, "Organization", org(None)), (11, "Person", org("Vân Giáp"))]
+    edges = [(1, 1, "owns", 2, "2018", None), (2, 1, "owns", 4, "2018-01-01", None), (3, 2, "owns", 5, "in 2018", None), (4, 3, "owns", 5, None, "2021-02-02"), (5, 9, "owns", 10, None, None)]
+    n, e = resolve.resolve_graph(
+        spark.createDataFrame(nodes, "node bigint, class string, props map<string,string>"), spark.createDataFrame(edges, "seq bigint, src bigint, predicate string, dst bigint, valid_from string, recorded_at string"),
+        spark.createDataFrame([("Vân Giáp", "VG"), ("Van Giap", "VG")], "name string, ticker string"), spark.createDataFrame([(11, 9), (4, 1)], "a bigint, b bigint"),
+    )
+    got = {r.node: (r.members, r.ticker) for r in n.collect()}
+    assert got == {1: (3, None), 4: (2, "VG"), 6: (2, None), 7: (1, None), 9: (2, None), 10: (1, None)}  # an issuer isn't merged by a confirmed pair
+    assert sorted(map(tuple, e.collect())) == [(2, 1, "owns", 4, "2018"), (4, 1, "owns", 4, "2021"), (5, 9, "owns", 10, "")]
+
+
 def test_models(spark):
     df = spark.createDataFrame([(1, "nước thải"), (2, None)], "key bigint, text string")
     scores = {r.key: r.s for r in df.select("key", models.classify(F.col("text"), models.keyword_logits).alias("s")).collect()}
