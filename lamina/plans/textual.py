@@ -19,17 +19,22 @@ def sentences_with_defaults(spark, folder):
 
 
 def page_rebuild(spark, folder):
-    """The texts of pages with an esg sentence, sentences in order, blanks dropped."""
-    s = sentences_with_defaults(spark, folder).withColumn("text", F.trim("text"))
-    parts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("sentence_index", "seq", "text"))))
-    pages = s.groupBy("source_pdf", "page").agg(parts.alias("parts"), F.bool_or("esg").alias("gate"), F.count("*").alias("n_sentences"))
-    return pages.filter("gate").select("source_pdf", "page", "n_sentences", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("page_text"))
+    """The texts of pages with an esg sentence, sentences in order, blanks dropped.
+
+    A page's text comes in parts of 1,000 sentence indexes (one part, unless what calls itself
+    a page is a heap of rows), so that no group grows with the data.
+    """
+    s = sentences_with_defaults(spark, folder).withColumns({"text": F.trim("text"), "part": F.floor(F.col("sentence_index") / 1000).cast("int")})
+    gate = s.groupBy("source_pdf", "page").agg(F.bool_or("esg").alias("gate")).filter("gate").drop("gate")
+    told = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("sentence_index", "seq", "text"))))
+    parts = s.groupBy("source_pdf", "page", "part").agg(told.alias("told"), F.count("*").alias("n_sentences")).join(gate, ["source_pdf", "page"], "left_semi")
+    return parts.select("source_pdf", "page", "part", "n_sentences", F.array_join(F.transform("told", lambda p: p["text"]), " ").alias("page_text"))
 
 
 PAGE_REBUILD = """
-WITH s AS (SELECT seq, coalesce(source_pdf, 'unknown.pdf') AS source_pdf, coalesce(page, 0) AS page, coalesce(sentence_index, 0) AS i, trim(coalesce(text, ''), ' ') AS text, coalesce(esg, false) AS esg FROM sentences)
-SELECT source_pdf, page, count(*) AS n_sentences, coalesce(string_agg(text, ' ' ORDER BY i, seq) FILTER (text <> ''), '') AS page_text
-FROM s GROUP BY source_pdf, page HAVING bool_or(esg)"""
+WITH s AS (SELECT seq, coalesce(source_pdf, 'unknown.pdf') AS source_pdf, coalesce(page, 0) AS page, coalesce(sentence_index, 0) AS i, trim(coalesce(text, ''), ' ') AS text, coalesce(esg, false) AS esg FROM sentences),
+g AS (SELECT source_pdf, page FROM s GROUP BY ALL HAVING bool_or(esg))
+SELECT source_pdf, page, (i // 1000)::INT AS part, count(*) AS n_sentences, coalesce(string_agg(text, ' ' ORDER BY i, seq) FILTER (text <> ''), '') AS page_text FROM s SEMI JOIN g USING (source_pdf, page) GROUP BY ALL"""
 
 
 def esg_rule(spark, folder):
