@@ -111,6 +111,16 @@ def cut_chunks(text: str) -> list[str]:
 SLOT_BITS = 24
 
 
+#: Rows that a worker holds at once.
+SLICE = 1000
+
+
+def _sliced(batches):
+    for batch in batches:
+        for a in range(0, max(1, batch.num_rows), SLICE):
+            yield batch.slice(a, SLICE)
+
+
 def slots_of(chunks: list[str]) -> np.ndarray:
     import xxhash
 
@@ -121,7 +131,7 @@ def _count(batches):
     import pyarrow as pa
 
     seen = np.zeros(1 << SLOT_BITS, np.uint8)
-    for batch in batches:
+    for batch in _sliced(batches):
         chunks = [c for t in batch.column(0).to_pylist() if t for c in cut_chunks(t)]
         slots, n = np.unique(slots_of(chunks), return_counts=True)
         seen[slots] = np.minimum(2, seen[slots] + np.minimum(n, 2))
@@ -215,7 +225,7 @@ def _encode_shared(vocab):
         import pyarrow as pa
 
         encode = encoder(vocab.value)
-        for batch in batches:
+        for batch in _sliced(batches):
             done = [encoded(t, encode) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([p.ids for p in done]), _lists([_flat(p.head) for p in done]), _lists([_flat(p.tail) for p in done])], ["chunk", "ids", "head", "tail"])
 
@@ -224,11 +234,12 @@ def _encode_shared(vocab):
 
 def _scan(batches, shared):
     """(document's place, text, chunks, which of them may be shared) of each batch's rows with text."""
-    bits = np.unpackbits(shared.value).astype(bool)
-    for batch in batches:
+    bits = shared.value
+    for batch in _sliced(batches):
         texts = batch.column(1).to_pylist()
         live = [(i, cut_chunks(t)) for i, t in enumerate(texts) if t]
-        flags = bits[slots_of([c for _, cs in live for c in cs])]
+        slots = slots_of([c for _, cs in live for c in cs])
+        flags = (bits[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)
         rows, at = [], 0
         for i, chunks in live:
             rows.append((i, texts[i], chunks, flags[at : at + len(chunks)]))
@@ -286,7 +297,7 @@ def _stitch(vocab):
         import pyarrow as pa
 
         encode = encoder(vocab.value)
-        for batch in batches:
+        for batch in _sliced(batches):
             lists = batch.column(1)
             flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             chunks = flat.field("chunk").to_pylist()
