@@ -42,3 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, over as many partitions as there are cores, where its few files give fewer.
+
+    Only tables that small are shuffled by it; larger ones stay as they are read.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
