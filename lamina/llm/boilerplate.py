@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lamina.llm.lookalike import ALIKE, INVISIBLE
+from lamina.session import spread
 
 MODEL = Path(__file__).parent / "models" / "boilerplate.json"
 SLOT_BITS = 20
@@ -317,7 +318,7 @@ def furniture(pages: DataFrame) -> DataFrame:
                 lines += (found + 1).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(lines, pa.int32())], ["article_id", "line_no"])
 
-    return pages.mapInArrow(run, "article_id bigint, line_no int")
+    return spread(pages).mapInArrow(run, "article_id bigint, line_no int")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lamina.session import spread
+
 PAIR_BITS, CHAR_BITS = 19, 16
 #: A pair is improbable from so many bits on; a text is looked into from so many bits beyond that in one run.
 PAIR_COST, RUN_COST = 8.5, 2.0
@@ -127,7 +129,7 @@ class PairModel:
 
 def count_pairs(texts: DataFrame) -> PairModel:
     """Pair and character counts over the text column of ``texts``, summed per slot before and after one small shuffle."""
-    got = texts.mapInArrow(_count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = spread(texts).mapInArrow(_count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     return PairModel(got.column("slot").to_numpy(), got.column("n").to_numpy())
 
 
@@ -405,7 +407,7 @@ def find_garbled(rows: DataFrame, model: PairModel, keep_text: bool = False) ->
             yield pa.RecordBatch.from_arrays([kept, pa.array(fixed, pa.string())] if keep_text else [kept], ["key", "restored"][: 1 + keep_text])
 
     kind = dict(rows.dtypes)["key"]
-    return rows.select("key", "text").mapInArrow(run, f"key {kind}" + (", restored string" if keep_text else ""))
+    return spread(rows.select("key", "text")).mapInArrow(run, f"key {kind}" + (", restored string" if keep_text else ""))
 
 
 def p1_texts(spark, folder: str) -> DataFrame:

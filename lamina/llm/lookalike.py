@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lamina.llm import garbled
+from lamina.session import spread
 
 #: Letters of other scripts and rare Latin letters that look like usual ones (fixed values).
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԁԛԝґѵӏүЗ"[:-1], "ABESIJKMHOPCTXYaesijopcxyhdqwrvly"))
@@ -188,7 +189,7 @@ def cut_unusual(rows: DataFrame, model: garbled.PairModel | None, every: bool =
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.string()))], ["key", "pieces"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "text").mapInArrow(run, f"key {kind}, pieces array<string>")
+    return spread(rows.select("key", "text")).mapInArrow(run, f"key {kind}, pieces array<string>")
 
 
 def judged(cut: DataFrame) -> DataFrame:

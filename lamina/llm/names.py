@@ -134,8 +134,12 @@ class Channel:
         if word not in self._near:
             if len(self._near) > 200_000:
                 self._near.clear()
-            typed = keystrokes(word)
-            self._near[word] = set().union(*(ks for m, ks in self.marks.items() if edits(word, m) <= (2 if len(m) > 5 else 1) or edits(typed, m) <= 1))
+            typed, found = keystrokes(word), set()
+            for m, ks in self.marks.items():
+                most = 2 if len(m) > 5 else 1
+                if abs(len(m) - len(word)) <= most and edits(word, m) <= most or typed != word and abs(len(m) - len(typed)) <= 1 and edits(typed, m) <= 1:
+                    found |= ks
+            self._near[word] = found
         return self._near[word]
 
     def common(self, word: str) -> float:
@@ -284,7 +288,7 @@ def attribute_names(names: DataFrame, registry: DataFrame) -> DataFrame:
         for w in (*i.core, i.ticker, *i.brands):
             counts[_slot(w)] += 1
     sc = names.sparkSession.sparkContext
-    spellings = names.filter(F.col("alias_name").rlike(r"\S")).groupBy("alias_name").agg(F.count("*").alias("n"))
+    spellings = names.filter(F.col("alias_name").rlike(r"\S")).groupBy("alias_name").agg(F.count("*").alias("n")).repartition(sc.defaultParallelism)  # few bytes, much work
 
     def runner(shared):
         def run(batches):

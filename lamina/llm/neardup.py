@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.session import cut
+from lamina.session import cut, spread
 
 WORDS, THRESHOLD = 3, 0.6
 #: 40 bands of 4 rows miss a pair at the threshold with probability (1 - 0.6**4)**40 = 0.004; at 0.65 with 0.0004.
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ["id", "p", "q", "bands", "bits"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, p bigint, q bigint, bands array<bigint>, bits array<bigint>")
+    return spread(docs.select("id", "text")).mapInArrow(run, "id bigint, p bigint, q bigint, bands array<bigint>, bits array<bigint>")
 
 
 def word_sets(text: str) -> frozenset:
