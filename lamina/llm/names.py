@@ -9,8 +9,9 @@ as candidate forms and count as forms of the issuer. A spelling goes to its most
 issuer, or to none where a stranger is more probable: an unexplained word, a missing core
 or another entity's name (an exclusion or another company) says so.
 
-How common words are comes from a hashed table of fixed size. Null, blank and wordless
-names mean no issuer; repeated names are scored once and count each.
+How common words are comes from a hashed table of fixed size, in which a spelling counts
+once however often it is repeated. Null, blank and wordless names mean no issuer; repeated
+names are scored once and count each.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ WORD_BITS = 18
 TYPO, INITIAL, NO_SECTOR, NO_MODIFIER, KEYS, LEGAL_TYPO = 3.0, 1.5, 1.0, 0.5, 0.7, 1.5
 #: A stranger's cost: where an issuer costs more than this, the name is nobody's.
 STRANGER = 9.5
-#: A word is taken for a mistyping only of one so many times as common.
-RARER = 12.0
+#: A mistyping costs no more than its letters while what it would stand for is so many times as common, itself seen so
+#: often more than it was (the smoothing); beyond that, so many nats for each e-fold.
+RARER, SEEN, COMMON = 12.0, 12.0, 2.0
 
 #: Legal forms, and what else stands beside a name without changing who is meant (fixed values).
 LEGAL = frozenset("cong ty co phan cp ctcp ct cty tong nhom c jsc j s corp corporation company limited ltd joint stock group vn hose hnx upcom baocaothuongnien the and va".split())
@@ -145,6 +147,10 @@ class Channel:
     def common(self, word: str) -> float:
         return float(self.counts[_slot(word)])
 
+    def own_word(self, given: str, meant: str) -> float:
+        """What the likelihood that ``given`` is a word of its own adds to the cost of its being ``meant`` mistyped."""
+        return COMMON * max(0.0, math.log(max(1.0, RARER * self.common(given)) / (self.common(meant) + 1 + SEEN)))
+
     def letter_cost(self, given: str, meant: str) -> float | None:
         """Cost of ``given`` standing for ``meant``, or None."""
         key = given, meant
@@ -160,11 +166,11 @@ class Channel:
         if keystrokes(given) == meant:
             return KEYS
         n = edits(given, meant)
-        if n <= (1 if len(meant) <= 5 else 2) and len(meant) > 1 and self.common(given) * RARER <= self.common(meant) + 1:
-            return TYPO * n
+        if n <= (1 if len(meant) <= 5 else 2) and len(meant) > 1:
+            return TYPO * n + self.own_word(given, meant)
         n = edits(keystrokes(given), meant)
-        if n <= 1 and len(meant) > 3 and self.common(given) * RARER <= self.common(meant) + 1:
-            return KEYS + TYPO * n
+        if n <= 1 and len(meant) > 3:
+            return KEYS + TYPO * n + self.own_word(given, meant)
         return None
 
     def phrase(self, left: list[str], phrase: str, told: bool = False) -> tuple[float, list[str]] | None:
@@ -200,8 +206,9 @@ class Channel:
             if w in LEGAL or keystrokes(w) in LEGAL:
                 continue
             near = [x for x in LEGAL if len(x) > 1 and edits(w, x) == 1 or edits(keystrokes(w), x) == 1 and len(x) > 2]
-            if near and self.common(w) * RARER <= max(self.common(x) for x in near) + 1:
-                cost += LEGAL_TYPO
+            typo = LEGAL_TYPO + min((self.own_word(w, x) for x in near), default=STRANGER)
+            if typo < STRANGER:
+                cost += typo
             elif any(len(x) > 6 and edits(w, x) == 2 for x in LEGAL):
                 cost += 2 * LEGAL_TYPO
             else:
@@ -213,9 +220,11 @@ class Channel:
         for mark, fee in [(issuer.ticker, 0.0)] + [(b, 0.2) for b in issuer.brands]:
             for i, w in enumerate(words):
                 c = 0.0 if w == mark else TYPO if len(mark) > 4 and edits(w, mark) == 1 else 2 * TYPO if len(mark) > 7 and edits(w, mark) == 2 else None
-                if c is not None and not (c and self.common(w) * RARER > self.common(mark) + 1 and w not in LEGAL and c > TYPO):
+                if c is not None:
+                    if c > TYPO and w not in LEGAL:
+                        c += self.own_word(w, mark)
                     best = min(best, fee + c + self.rest(words[:i] + words[i + 1 :], issuer, words, False))
-        found = self.phrase(words, " ".join(issuer.core))
+        found = issuer.core and self.phrase(words, " ".join(issuer.core))  # without a core only a ticker or brand names it
         if found:
             best = min(best, found[0] + self.rest(found[1], issuer, words, True))
         return best
@@ -263,6 +272,13 @@ class Channel:
         return scored[0][2].upper(), scored[0][1]
 
 
+def _keys(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(words_of(name or "")) for name in batch.column(0).to_pylist()], pa.string())], ["name"])
+
+
 def _word_counts(batches):
     import pyarrow as pa
 
@@ -281,7 +297,9 @@ def attribute_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     rows = registry.select("ticker", "canonical_name", "core_tokens", "aliases", "exclusions").filter("ticker is not null").collect()
     issuers = [Issuer(r.ticker, [r.canonical_name, *(r.aliases or [])], r.core_tokens) for r in rows]
     strangers = {tuple(w for w in words_of(e["name"] or "") if w not in LEGAL) for r in rows for e in r.exclusions or [] if e} - {()}
-    got = names.select("alias_name").mapInArrow(_word_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    # Copies and mere case or accents make no word more common: each wording counts once.
+    wordings = names.select("alias_name").distinct().mapInArrow(_keys, "name string").distinct()
+    got = wordings.mapInArrow(_word_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << WORD_BITS, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     for i in issuers:  # the registry's own words count too

@@ -172,6 +172,18 @@ def test_names():
         assert channel.attribute(bad)[0] is None, bad
 
 
+def test_mistyped_names_whatever_the_size_and_skew(spark):
+    registry = spark.createDataFrame(
+        [("VGDW", "Công ty Cổ phần Điện lực Vân Giáp", ["van", "giap"], None, None)],
+        "ticker string, canonical_name string, core_tokens array<string>, aliases array<string>, exclusions array<struct<name:string,reason:string>>",
+    )
+    few = [("Điện lực Vân Giáp",), ("CTCP Điện lực Vân Gipá",)]  # an issuer seen once, and a typo of it
+    hot = [("Vân Giáp Power",)] * 60 + [("Điện lực Vân Gipá",)] * 40  # a misspelling as a hot key
+    for rows in (few, hot):
+        got = {r.alias_name: r.ticker for r in names.attribute_names(spark.createDataFrame(rows, "alias_name string"), registry).collect()}
+        assert got == {r[0]: "VGDW" for r in rows}
+
+
 # 6 ---------------------------------------------------------------------------------------
 
 
