@@ -2,9 +2,8 @@
 
 A character-level bidirectional LSTM with CRF transitions tags names, email addresses,
 phone numbers, identity numbers and street addresses. Texts are cut into overlapping
-windows; those near anything that could belong to such a mention are scored, each
-character by the window it stands deepest in, and a run of neighbouring windows is decoded
-as one from where a mention may begin, so that none is cut at a window's edge. The found spans are then set to the
+windows, all of which are scored, each character by the window it stands deepest in, and a
+run of neighbouring windows is decoded as one from where a mention may begin, so that none is cut at a window's edge. The found spans are then set to the
 exact ends of what they are: the whole number, address or name.
 
 The network has hard gates, so a step costs few operations; it is trained in numpy by
@@ -181,62 +180,6 @@ WORD = f"[{UPPER}][^\\W\\d_]*"
 #: Common Vietnamese surnames and forms of address (fixed values).
 SURNAMES = "Nguyễn|Trần|Lê|Phạm|Hoàng|Huỳnh|Phan|Vũ|Võ|Đặng|Bùi|Đỗ|Hồ|Ngô|Dương|Lý|Đinh|Mai|Tạ|Trịnh|Thái|Doãn|Khổng|Nghiêm|Giáp|Trương|Lương|Cao|Đoàn|Tô|Lưu|Hà|Châu|Chu|Quách|Tăng|Kiều"
 ADDRESSED = "[Ôô]ng|[Bb]à|[Aa]nh|[Cc]hị|[Cc]ô|[Cc]hú|[Bb]ác|[Cc]ụ|[Ee]m|[Dd]ì|[Tt]hầy|ThS\\.|TS\\.|BS\\.|KS\\.|GS\\.|PGS\\.|Mr\\.?|Mrs\\.?|Ms\\.?|Dr\\.?|Prof\\.?|Mme|M\\."
-_addressed = frozenset(re.sub(r"\[(.)(.)\]", r"\1", ADDRESSED).replace("\\", "").replace("?", "").split("|")) | frozenset(re.sub(r"\[(.)(.)\]", r"\2", ADDRESSED).replace("\\", "").replace("?", "").split("|")) | {"Mr", "Mrs", "Ms", "Dr", "Prof", "As", "by", "Contact"}
-_surnames = frozenset(SURNAMES.split("|")) | frozenset(SURNAMES.upper().split("|"))
-_at = re.compile(r"[\[(]\s?at\s?[\])]| at \w[\w-]* dot |a còng")
-_upper = np.zeros(256, bool)
-_upper[[_ASCII[c] for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
-_upper[110:117] = True
-_letter = _upper.copy()
-_letter[[_ASCII[c] for c in "abcdefghijklmnopqrstuvwxyz"]] = True
-_letter[103:117] = True
-_letter[1] = True
-_halt = np.zeros(256, bool)
-_halt[[_ASCII[c] for c in ".?!;%:"]] = True
-
-
-def windows_of(whole: str, classes: np.ndarray) -> np.ndarray:
-    """Numbers of the windows to score: those near what a mention can't do without.
-
-    That is an @ or its like, seven digits close together, a number before a capital, three
-    capitalised words, two after a surname or in plain ASCII, or one after a form of address.
-    """
-    n = len(classes)
-    letter, digit = _letter[classes], classes == 7
-    digits = np.flatnonzero(digit)
-    marks = [np.flatnonzero(classes == _ASCII["@"])]
-    if len(digits) > 6:
-        marks.append(digits[:-6][digits[6:] - digits[:-6] <= 12])
-    upper = _upper[classes]
-    upper[1:] &= ~letter[:-1]
-    first = np.flatnonzero(upper)
-    if len(first):
-        stops = np.flatnonzero(~letter)
-        ends = np.append(stops, n)[np.searchsorted(stops, first)]
-        pair = np.zeros(len(first), bool)
-        pair[:-1] = (first[1:] == ends[:-1] + 1) & (classes[np.minimum(ends[:-1], n - 1)] == _ASCII[" "])
-        triple = pair & np.append(pair[1:], False)
-        accents = np.flatnonzero(classes >= 103)
-        second = np.append(ends[1:], n)
-        plain = pair & (second - first > 8) & (np.searchsorted(accents, second) == np.searchsorted(accents, first))
-        before = np.searchsorted(digits, first)
-        last_digit = np.append(digits, -99)[np.where(before > 0, before - 1, len(digits))]
-        halts = np.flatnonzero(_halt[classes])
-        second_char = classes[np.minimum(first + 1, n - 1)]
-        street = (_letter[second_char] & ~_upper[second_char]) | ((classes[first] == 104 + 7) & (second_char == _ASCII["."]))
-        house = (first - last_digit <= 16) & (last_digit >= 0) & street & (np.searchsorted(halts, first) == np.searchsorted(halts, last_digit))
-        hit = triple | plain | house
-        for k in np.flatnonzero(~hit).tolist():
-            a = int(first[k])
-            if pair[k] and whole[a : int(ends[k])] in _surnames or (whole[max(0, a - 9) : a].split() or [""])[-1].lstrip("\"“«(") in _addressed:
-                hit[k] = True
-        marks += [first[hit], *(first[house] + d for d in (40, 72))]  # an address goes on behind its number
-    marks.append(np.fromiter((m.start() for m in _at.finditer(whole)), np.int64))
-    at = np.concatenate(marks)
-    hot = np.zeros(n // STRIDE, bool)
-    for d in (-24, 24):
-        hot[np.clip(at + d, 0, n - 1) // STRIDE] = True
-    return np.flatnonzero(hot)
 
 
 def windows(classes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -248,7 +191,7 @@ def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 25
     """Spans (kind, start, end) of each text, as decoded."""
     whole, classes, starts = lay_out(texts)
     out: list[list] = [[] for _ in texts]
-    w = windows_of(whole, classes) if whole else np.zeros(0, np.int64)
+    w = np.arange(len(classes) // STRIDE)
     if not len(w):
         return out
     x = windows(classes, w)
@@ -301,6 +244,8 @@ EMAIL = re.compile(
     r"|[\w.+-]+\s(?:at|a còng)\s[\w-]+(?:\s?[\[(]\s?dot\s?[\])]\s?[\w-]+|\s(?:dot|chấm)\s[\w-]+)+",
     re.A | re.I,
 )
+#: What stands between the user and the host of every address that EMAIL accepts.
+_at = re.compile(r"[@＠]|[\[(]\s?(?:at|a còng)\s?[\])]|\s(?:at|a còng)\s(?=[\w-]+(?:\s?[\[(]\s?dot|\s(?:dot|chấm)\s))", re.A | re.I)
 PHONE = re.compile(r"(?:\(\+?\d{1,4}\)|\+\d{1,3}|\d)(?:[ .\-–]?\(?\d+\)?)+")
 IDENTITY = re.compile(r"[A-Z]{0,2}\d+(?:[ .\-]\d+)*")
 NAME = re.compile(rf"{WORD}(?:[ ]{WORD})*")
@@ -367,7 +312,7 @@ def exact(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
 def mentions_of(texts: list[str], net: Network | None = None) -> list[list[tuple[str, int, int]]]:
     net = net or network()
     moves = np.where(allowed(), net.w["moves"], np.float32(-1e4)).astype(np.float32)
-    return [exact(t, s) for t, s in zip(texts, tag_texts(texts, net, moves))]
+    return [exact(t, s + [("email", *m.span()) for m in _at.finditer(t)]) for t, s in zip(texts, tag_texts(texts, net, moves))]
 
 
 def find_mentions(docs: DataFrame) -> DataFrame:

@@ -288,6 +288,26 @@ def test_mentions():
     assert pii.mentions_of(["", "x", "7" * 3000]) == [[], [], []]
 
 
+@pytest.mark.parametrize("sign", ["lien.he＠congty.example", "lien.he [AT] congty.example", "lien.he at congty chấm com", "lien.he at congty [dot] com", "lien.he (At) congty.example", "lien.he a còng congty dot com"])
+def test_disguised_addresses(sign):
+    text = f"Mọi góp ý xin gửi về {sign}, trước thứ sáu."
+    assert [(k, text[a:b]) for k, a, b in pii.mentions_of([text])[0]] == [("email", sign)]
+
+
+def test_names_beside_the_listed_surnames(data):
+    from lamina.llm import train_pii
+
+    texts = [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).to_pylist() if t and any(s[0] == "name" for s in train_pii.spans(t))]
+    hit = missed = 0
+    for name in ("Hứa Quyến", "Đàm Uyển", "José García", "Ann Lee"):
+        for t in texts:
+            a, b = next(s[1:] for s in train_pii.spans(t) if s[0] == "name")
+            got = pii.mentions_of([t[:a] + name + t[b:]])[0]
+            found = ("name", a, a + len(name)) in got
+            hit, missed = hit + found, missed + (not found)
+    assert hit and missed / (hit + missed) < 0.03, (hit, missed)
+
+
 def test_held_out_accuracy(data):
     from lamina.llm import train_pii
 
