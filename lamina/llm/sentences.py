@@ -32,7 +32,16 @@ CLOSING = "”»’\"'」』》)]›"
 QUOTES_CLOSING = frozenset("”»’」』》›")
 WIDE = frozenset("。！？｡")
 
-_stop = re.compile(r"[.!?…。！？｡][.!?…。！？｡]*[" + re.escape(CLOSING) + r"]*")
+#: Terminators of other scripts: Sentence_Break STerm below U+10000 without those above, and the small and full-width stops of ATerm (fixed values).
+SCRIPTS = (
+    "\u0589\u061d-\u061f\u06d4\u0700-\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809"
+    "\u1944\u1945\u1aa8-\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047-\u2049\u2e2e\u2e3c\u2e53\u2e54\ua4ff\ua60e\ua60f\ua6f3\ua6f7"
+    "\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d-\uaa5f\uabeb\ufe52\ufe56\ufe57\uff0e"
+)
+STOPS = ".!?…。！？｡" + SCRIPTS
+
+_stop = re.compile(rf"[{STOPS}][{STOPS}]*[" + re.escape(CLOSING) + r"]*")
+_stops = re.compile(rf"[{STOPS}]+")
 _thai = re.compile(r"(?<=[฀-๿])[^\S\n]+(?=[฀-๿])")
 _before = re.compile(rf"[\w.{INVISIBLE}̀-ͯ]+$")
 _list = re.compile(r"[\W_]*(?:[IVXLC]+|\d{1,3}(?:\.\d{1,3})*|\w)[.)]?$")
@@ -65,9 +74,7 @@ def breaks(text: str) -> list[int]:
     out = []
     for m in _stop.finditer(text):
         marks = m[0]
-        k = 1
-        while k < len(marks) and marks[k] in ".!?…。！？｡":
-            k += 1
+        k = _stops.match(marks).end()
         stop, closers = marks[:k], marks[k:]
         end = m.end()
         if closers:
@@ -97,7 +104,7 @@ def breaks(text: str) -> list[int]:
             continue
         if not _may_begin(text, at, gap):
             continue
-        if stop[-1] == ".":
+        if stop[-1] in ".．﹒":
             if len(stop) > 3 and text[at].isdigit():
                 continue  # dot leaders
             word = _word_before(text, m.start())

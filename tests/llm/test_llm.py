@@ -205,6 +205,11 @@ def test_sentence_breaks():
     assert parts('Xong! "Hai," ông A nói.') == ["Xong!", '"Hai," ông A nói.']
 
 
+@pytest.mark.parametrize("text", ["यह बंद है। वह खुला है।", "هل أغلق المصنع؟ نعم أغلق.", "یہ بند ہے۔ وہ کھلا ہے۔", "Փակ է։ Բաց է։", "ተዘጋ። ተከፈተ።", "បិទ។ បើក។", "ပိတ်။ ဖွင့်။", "Đóng cửa‼ Mở lại.", "Đóng cửa⁇ Mở lại.", "Ｄóng cửa． Mở lại."])
+def test_terminators_of_all_scripts(text):
+    assert sentences.breaks(text) == [text.index(" ", 1 + next(i for i, c in enumerate(text) if c in "।؟۔։።។။‼⁇．")) + 1]
+
+
 # 7 ---------------------------------------------------------------------------------------
 
 
