@@ -2,9 +2,10 @@
 
 A character-level bidirectional LSTM with CRF transitions tags names, email addresses,
 phone numbers, identity numbers and street addresses. Texts are cut into overlapping
-windows, all of which are scored, each character by the window it stands deepest in, and a
-run of neighbouring windows is decoded as one from where a mention may begin, so that none is cut at a window's edge. The found spans are then set to the
-exact ends of what they are: the whole number, address or name.
+windows, all of which are scored, each character by the window it stands deepest in. Runs of
+neighbouring stretches in which a mention may begin are decoded as one, across windows, and again
+with the next stretch while a mention goes on to their end, so none is cut at an edge. The
+found spans are then set to the exact ends of what they are: the whole number, address or name.
 
 The network has hard gates, so a step costs few operations; it is trained in numpy by
 ``python -m lamina.llm.train_pii`` on spans labelled by patterns and kept as a file.
@@ -27,11 +28,13 @@ from lamina.session import spread
 MODEL = Path(__file__).parent / "models" / "pii.npz"
 KINDS = ("name", "email", "phone", "id", "address")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-STRIDE, MARGIN = 64, 16
+STRIDE, MARGIN = 128, 16
 WINDOW = STRIDE + 2 * MARGIN
+#: Characters of the stretches in which decoding is chosen.
+STRETCH = 32
 HIDDEN = 24
-#: Emission of a mention's beginning over that of none, from which a window is decoded, and windows that it may reach into.
-LIVE, REACH = -4.0, 2
+#: Emission of a mention's beginning over that of none, from which a stretch is decoded.
+LIVE = -5.0
 
 # Characters ------------------------------------------------------------------------------
 
@@ -91,37 +94,37 @@ class Network:
         self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in weights.items()}
 
     def direction(self, x: np.ndarray, side: str) -> np.ndarray:
-        """Hidden states (T, N, H) for classes x (T, N), read in order."""
-        inputs, recur = self.w[f"in_{side}"], self.w[f"re_{side}"]
+        """Hidden states (T, H, N) for classes x (T, N), read in order; sequences lie innermost, so each step is a few dense passes."""
+        inputs, recur = np.ascontiguousarray(self.w[f"in_{side}"].T), np.ascontiguousarray(self.w[f"re_{side}"].T)
         t_max, n = x.shape
-        size = recur.shape[0]
-        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-        out = np.empty((t_max, n, size), np.float32)
-        g, new = np.empty((n, 4 * size), np.float32), np.empty((n, size), np.float32)
-        gates, wanted = g[:, : 3 * size], g[:, 3 * size :]
+        size = recur.shape[1]
+        h, c = np.zeros((size, n), np.float32), np.zeros((size, n), np.float32)
+        out = np.empty((t_max, size, n), np.float32)
+        g, given = np.empty((4 * size, n), np.float32), np.empty((4 * size, n), np.float32)
+        gates, new = g[: 3 * size], g[3 * size :]
         for t in range(t_max):
-            np.matmul(h, recur, out=g)
-            g += inputs[x[t]]
-            np.maximum(gates, 0.0, out=gates)
-            np.minimum(gates, 1.0, out=gates)
-            np.maximum(wanted, -1.0, out=new)
-            np.minimum(new, 1.0, out=new)
-            new *= g[:, :size]
-            c *= g[:, size : 2 * size]
+            np.matmul(recur, h, out=g)
+            np.take(inputs, x[t], axis=1, out=given, mode="clip")
+            g += given
+            np.clip(gates, 0.0, 1.0, out=gates)
+            np.clip(new, -1.0, 1.0, out=new)
+            new *= g[:size]
+            c *= g[size : 2 * size]
             c += new
             h = out[t]
-            np.maximum(c, -1.0, out=h)
-            np.minimum(h, 1.0, out=h)
-            h *= g[:, 2 * size : 3 * size]
+            np.clip(c, -1.0, 1.0, out=h)
+            h *= g[2 * size : 3 * size]
         return out
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(N, T, TAGS) for classes x (N, T)."""
-        xt = np.ascontiguousarray(x.T)
-        f = self.direction(xt, "f")
-        b = self.direction(xt[::-1], "b")[::-1]
-        e = f @ self.w["out_f"] + b @ self.w["out_b"] + self.w["bias"]
-        return e.transpose(1, 0, 2)
+    def emissions(self, x: np.ndarray, core: slice = slice(None)) -> np.ndarray:
+        """(N, T, TAGS) for classes x (N, T), of the steps in ``core``."""
+        xt = np.ascontiguousarray(x.T, dtype=np.int64)
+        f = self.direction(xt, "f")[core]
+        b = self.direction(xt[::-1], "b")[::-1][core]
+        e = np.matmul(np.ascontiguousarray(self.w["out_f"].T), f)
+        e += np.matmul(np.ascontiguousarray(self.w["out_b"].T), b)
+        e += self.w["bias"][:, None]
+        return e.transpose(2, 0, 1)
 
 
 def allowed() -> np.ndarray:
@@ -187,48 +190,54 @@ def windows(classes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[numbers * STRIDE]
 
 
-def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 256) -> list[list[tuple[str, int, int]]]:
+def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of each text, as decoded."""
     whole, classes, starts = lay_out(texts)
     out: list[list] = [[] for _ in texts]
-    w = np.arange(len(classes) // STRIDE)
-    if not len(w):
+    n = len(classes) // STRIDE
+    if not n:
         return out
-    x = windows(classes, w)
-    core = np.empty((len(x), STRIDE, TAGS), np.float32)
-    for a in range(0, len(x), batch):
-        core[a : a + batch] = net.emissions(x[a : a + batch])[:, MARGIN : MARGIN + STRIDE]
-    # Where no character can begin a mention nothing is decoded; where one can, that window and those it may reach into.
+    x = windows(classes, np.arange(n))
+    core = np.empty((n, STRIDE, TAGS), np.float32)
+    for a in range(0, n, batch):
+        core[a : a + batch] = net.emissions(x[a : a + batch], slice(MARGIN, MARGIN + STRIDE))
+    core, n = core.reshape(-1, STRETCH, TAGS), n * STRIDE // STRETCH
+    owner = np.searchsorted(starts, np.arange(n) * STRETCH, "right") - 1
+    follows = np.concatenate([[False], owner[1:] == owner[:-1]])  # the stretch goes on with the text of the one before
+    # Where no character can begin a mention nothing is decoded; where one can, that stretch and its neighbours.
     live = (core[:, :, 1::2].max(2) - core[:, :, 0]).max(1) > LIVE
-    begins, near = live.copy(), np.diff(w) == 1
-    for _ in range(REACH):
-        live[1:] |= begins[:-1] & near
-        begins = np.concatenate([[False], begins[:-1] & near])
-    live[:-1] |= live[1:] & near
-    w, core = w[live], core[live]
-    if not len(w):
-        return out
-    owner = np.searchsorted(starts, w * STRIDE, "right") - 1
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(w) != 1) | (np.diff(owner) != 0)]))
-    runs = list(zip(new.tolist(), [*new[1:].tolist(), len(w)]))
-    runs.sort(key=lambda r: r[1] - r[0])
-    for a in range(0, len(runs), 256):
-        group = runs[a : a + 256]
-        longest = max(hi - lo for lo, hi in group) * STRIDE
-        e = np.zeros((len(group), longest, TAGS), np.float32)
-        lengths = np.array([(hi - lo) * STRIDE for lo, hi in group])
-        for g, (lo, hi) in enumerate(group):
-            e[g, : lengths[g]] = core[lo:hi].reshape(-1, TAGS)
-        tags = viterbi(e, lengths, moves)
-        for g, (lo, _) in enumerate(group):
-            i = int(owner[lo])
-            t, shift = tags[g, : lengths[g]], int(w[lo] * STRIDE - starts[i])
-            for s in np.flatnonzero(t % 2 == 1).tolist():
-                end = s + 1
-                while end < len(t) and t[end] == t[s] + 1:
-                    end += 1
-                if shift + s < len(texts[i]):
-                    out[i].append((KINDS[(t[s] - 1) // 2], shift + s, min(len(texts[i]), shift + end)))
+    begins = live.copy()
+    live[1:] |= begins[:-1] & follows[1:]
+    live[:-1] |= begins[1:] & follows[1:]
+    told: dict[tuple[int, int], np.ndarray] = {}
+    while True:
+        edge = live & ~(np.concatenate([[False], live[:-1]]) & follows)
+        firsts = np.flatnonzero(edge)
+        over = np.flatnonzero(live & ~np.concatenate([live[1:] & follows[1:], [False]])) + 1
+        runs = list(zip(firsts.tolist(), over.tolist()))
+        new = sorted((r for r in runs if r not in told), key=lambda r: r[1] - r[0])
+        for a in range(0, len(new), 512):
+            group = new[a : a + 512]
+            lengths = np.array([(hi - lo) * STRETCH for lo, hi in group])
+            e = np.zeros((len(group), int(lengths.max()), TAGS), np.float32)
+            for g, (lo, hi) in enumerate(group):
+                e[g, : lengths[g]] = core[lo:hi].reshape(-1, TAGS)
+            for r, size, t in zip(group, lengths, viterbi(e, lengths, moves)):
+                told[r] = t[:size]
+        # A mention that goes on to the end of what was decoded is decoded again with the stretch after it.
+        grown = [hi for lo, hi in runs if told[lo, hi][-1] and hi < n and follows[hi]]
+        if not grown:
+            break
+        live[grown] = True
+    for lo, hi in runs:
+        t, i = told[lo, hi], int(owner[lo])
+        shift = int(lo * STRETCH - starts[i])
+        for s in np.flatnonzero(t % 2 == 1).tolist():
+            end = s + 1
+            while end < len(t) and t[end] == t[s] + 1:
+                end += 1
+            if shift + s < len(texts[i]):
+                out[i].append((KINDS[(t[s] - 1) // 2], shift + s, min(len(texts[i]), shift + end)))
     return out
 
 
@@ -253,16 +262,26 @@ _title = re.compile(rf"^(?:(?:{ADDRESSED}|Kính|Gửi) ?)+")
 _organisation = re.compile(r"(?:Quỹ|Trường|Công ty|Tập đoàn|Bệnh viện|Viện|Hợp tác xã|Ngân hàng|Đường|Phố|đường|phố|Cty\.|Cty|quỹ|trường)\s(?:\w+ )?$")
 
 
+def _joined(text: str, at: int) -> bool:
+    """Whether the characters before and at ``at`` belong to one word or number."""
+    return all(c.isalnum() and c < "\u0e00" or c in "._+-" for c in text[at - 1 : at + 1])
+
+
 def _covering(pattern: re.Pattern, text: str, a: int, b: int, reach: int) -> tuple[int, int] | None:
-    """The match nearest to the span that overlaps it most."""
-    lo, best = max(0, a - reach), None
-    while lo < a and text[lo : lo + 1].isalnum() and lo > 0 and text[lo - 1].isalnum():
-        lo += 1
-    for m in pattern.finditer(text, lo, min(len(text), b + reach)):
-        both = min(b, m.end()) - max(a, m.start())
-        if both > 0 and (best is None or both > best[0]):
-            best = (both, m.start(), m.end())
-    return best and best[1:]
+    """The match nearest to the span that overlaps it most, looked for ever farther while it meets the end of what was looked at."""
+    while True:
+        lo, hi, best = max(0, a - reach), min(len(text), b + reach), None
+        while lo and _joined(text, lo):
+            lo -= 1
+        while 0 < hi < len(text) and _joined(text, hi):
+            hi += 1
+        for m in pattern.finditer(text, lo, hi):
+            both = min(b, m.end()) - max(a, m.start())
+            if both > 0 and (best is None or both > best[0]):
+                best = (both, m.start(), m.end())
+        if best is None or not (best[1] == lo > 0 or best[2] == hi < len(text)):
+            return best and best[1:]
+        reach *= 4
 
 
 def exact(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -273,8 +292,6 @@ def exact(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
             hit = _covering(ADDRESS, text, a, b, 60)
         elif kind == "email":
             hit = _covering(EMAIL, text, a, b, 40)
-            if hit and hit[1] - hit[0] > 90:
-                hit = None
         elif kind == "phone":
             hit = _covering(PHONE, text, a, b, 16)
             digits = [c for c in text[hit[0] : hit[1]] if c.isdigit()] if hit else []
@@ -342,12 +359,14 @@ def redact(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
-            for t, spans in zip(texts, mentions_of([t or "" for t in texts])):
-                for kind, a, b in reversed(spans):
-                    t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, out = part.column(1).to_pylist(), []
+                for t, spans in zip(texts, mentions_of([t or "" for t in texts])):
+                    for kind, a, b in reversed(spans):
+                        t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+                    out.append(t)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
 
