@@ -4,8 +4,9 @@ The lines of a page are the leaves of a small tree: page, zone (before the first
 text, between, after the last), block (neighbouring lines of one shape), line. Gradient-
 boosted trees score each line by its own text, its attribute tokens, its depth and place,
 its siblings and its block's density, and by how many pages of the corpus have the same
-line. Hierarchical decoding then chooses for each block whether it is furniture, report or
-mixed, so that a line can't contradict its block without paying for it.
+line. Every line gets the same features, whatever its length. Hierarchical decoding then goes
+up the tree: a page, zone or block is furniture as a whole, report as a whole, or mixed at a
+price, and what lies below a node that isn't mixed can't contradict it.
 
 The trees are fitted by ``python -m lamina.llm.train_boilerplate`` on a bounded sample of
 pages and kept as a file. Line counts come from a hashed table of fixed size.
@@ -28,10 +29,10 @@ from lamina.session import spread
 
 MODEL = Path(__file__).parent / "models" / "boilerplate.json"
 SLOT_BITS = 20
-#: From this length on a line is running text: it is judged by its shape, place and siblings alone and counted as written.
-LONG = 160
-#: Cost in logits of a block whose lines differ.
-MIXED = 0.6
+#: Cost in logits of a block whose lines differ (by the root of their number), and of a zone or page whose parts differ.
+MIXED, PARTS_DIFFER = 0.6, 0.2
+#: Characters at a line's end in which an aside is looked for.
+ASIDE = 64
 
 #: Attribute tokens by kind, in the languages of the pages, folded (fixed values).
 TOKENS = {
@@ -48,14 +49,29 @@ TOKENS = {
 }
 NAMES = tuple(TOKENS)
 
-_menu_part = re.compile(f"(?:{TOKENS['menu']})")
+_menu_parts = frozenset(TOKENS["menu"].replace("podcasts?", "podcast|podcasts").split("|"))
 _parts = re.compile(r"\s*[|/›>•·]\s*|\s+[-–—]\s+|\s{3,}")
+_separators = ("|", "/", "›", ">", "•", "·", " -", " –", " —", "   ")
 _date = re.compile(r"\d{1,4}[/.年-]\s?\d{1,2}[/.月-]\s?\d{1,4}")
 _time = re.compile(r"\b\d{1,2}[:h]\d{2}\b")
-_end = re.compile(r"[.!?…。！？][\"”»’」』)\s]*$")
+_closers = "\"”»’」』)" + "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _bullet = re.compile(r"[›>•●\-–▼»*]")
 _aside = re.compile(r"\s*(?:\([^()]{1,25}\)|[✔▼]️?|🌿|©|[№§£€±]\s?\d+(?: .?m)?)\s*\.?$")
-_fold = str.maketrans(ALIKE | dict.fromkeys(INVISIBLE, ""))
+#: Last characters of an aside.
+_aside_ends = frozenset(")✔▼️🌿©m" + "".join(c for c in map(chr, range(0x20000)) if c.isdecimal()))
+_digits = re.compile(r"\d+")
+
+
+def ends_sentence(line: str) -> bool:
+    """Whether the line ends like a sentence."""
+    return line.rstrip(_closers)[-1:] in tuple(".!?…。！？")
+
+
+def without_aside(folded: str) -> str:
+    if folded.rstrip(" .")[-1:] not in _aside_ends:
+        return folded
+    m = _aside.search(folded, max(0, len(folded) - ASIDE))
+    return folded[: m.start()] if m else folded
 
 
 @lru_cache(1)
@@ -84,20 +100,53 @@ def tokens_in(folded: str):
             yield kind, a
 
 
-@lru_cache(1 << 15)
-def fold(line: str) -> str:
-    """Lower case without accents, look-alikes and invisible characters."""
-    line = line.strip()
-    if line.isascii():
-        return line.lower().strip()
-    s = unicodedata.normalize("NFKD", line.translate(_fold).lower()).replace("đ", "d")
-    return unicodedata.normalize("NFC", "".join(c for c in s if not "̀" <= c <= "ͯ")).strip()
+FOLDED = 0x20000
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray, np.ndarray]:
+    """Of the characters below FOLDED: what one folds to (0 for nothing), those that fold to several, digits, capitals."""
+    to, several = np.arange(FOLDED, dtype=np.uint32), {}
+    digit, upper = np.zeros(FOLDED, bool), np.zeros(FOLDED, bool)
+    alike = ALIKE | dict.fromkeys(INVISIBLE, "")
+    for c in range(FOLDED):
+        ch = chr(c)
+        digit[c], upper[c] = ch.isdigit(), ch.isupper()
+        s = unicodedata.normalize("NFKD", alike.get(ch, ch).lower()).replace("đ", "d")
+        s = unicodedata.normalize("NFC", "".join(x for x in s if not "̀" <= x <= "ͯ"))
+        if len(s) > 1:
+            several[c], to[c] = s, SEVERAL
+        else:
+            to[c] = ord(s) if s else 0
+    return to, several, digit, upper
+
+
+SEVERAL = 0xFFFFFFFF
+
+
+def fold(text: str) -> str:
+    """Lower case without accents, look-alikes and invisible characters; line breaks stay."""
+    if text.isascii():
+        return text.lower()
+    to, several, _, _ = _tables()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = np.where(codes < FOLDED, to[np.minimum(codes, FOLDED - 1)], codes)
+    more = found == SEVERAL
+    if more.any():
+        for c in np.unique(codes[more]).tolist():
+            text = text.replace(chr(c), several[c])
+        return fold(text)
+    return found[found != 0].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def folded_lines(text: str) -> list[str]:
+    return [line.strip() for line in fold(text).split("\n")]
 
 
 def line_key(folded: str, site: str) -> str:
     if len(site) > 3:
         folded = folded.replace(site, "§")
-    return re.sub(r"\d+", "#", folded)
+    return _digits.sub("#", folded)
 
 
 def slot_of(key: str) -> int:
@@ -113,27 +162,22 @@ FEATURES = [*OWN, *PLACE, *(f"prev_{s}" for s in SIDE), *(f"next_{s}" for s in S
 
 
 @lru_cache(1 << 15)
-def _own(line: str, site: str, domain: str) -> tuple[list[float], str]:
-    if len(line) >= LONG:
-        n = float(len(line))
-        return [n, line.count(" ") + 1.0, float(bool(_end.search(line, len(line) - 8))), 1.0, n, *[0.0] * (len(OWN) - 5)], line
-    folded = fold(line)
-    bare = _aside.sub("", folded)
-    parts = [p for p in _parts.split(bare) if p] or [""]
+def _own(folded: str, site: str, domain: str, numbers: bool) -> tuple[list[float], int]:
+    """The values of OWN that a folded line gives (others are 0), and the slot of its key."""
+    bare = without_aside(folded)
+    parts = [p for p in _parts.split(bare) if p] or [""] if any(x in bare for x in _separators) else [bare]
     found = dict.fromkeys(NAMES, 0)
     first = 0.0
     for kind, a in tokens_in(folded):
         found[kind] += 1
         if a <= 3:
             first = NAMES.index(kind) + 1.0
-    n = max(1, len(bare))
     values = [
-        len(bare), bare.count(" ") + 1, bool(_end.search(line)), len(parts), max(map(len, parts)), sum(c.isdigit() for c in bare) / n,
-        sum(c.isupper() for c in line) / n, bool(_date.search(bare)), bool(_time.search(bare)), bool(_bullet.match(bare)), len(folded) - len(bare),
-        len(site) > 3 and site in folded, "@" in folded or (bool(domain) and domain in folded), ":" in bare[:30], sum(bool(_menu_part.fullmatch(p)) for p in parts) / len(parts), 0.0,
-        *found.values(), first,
+        len(bare), bare.count(" ") + 1, 0.0, len(parts), max(map(len, parts)), 0.0, 0.0, numbers and bool(_date.search(bare)), numbers and bool(_time.search(bare)),
+        bool(_bullet.match(bare)), len(folded) - len(bare), len(site) > 3 and site in folded, "@" in folded or (bool(domain) and domain in folded), ":" in bare[:30],
+        sum(p in _menu_parts for p in parts) / len(parts), 0.0, *found.values(), first,
     ]
-    return [float(v) for v in values], line_key(folded, site)
+    return [float(v) for v in values], slot_of(line_key(folded, site))
 
 
 def shape_of(own) -> int:
@@ -146,41 +190,56 @@ def shape_of(own) -> int:
 
 
 _I = {k: i for i, k in enumerate(OWN)}
+_side = [_I[s] for s in SIDE]
+
+
+def _share_of(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    seen = np.concatenate([[0], np.cumsum(flags)])
+    sizes = np.diff(np.append(starts, len(flags) + 1)) - 1
+    return (seen[starts + sizes] - seen[starts]) / np.maximum(1, sizes)
 
 
-def page_features(lines: list[str], site: str | None, domain: str | None, pages) -> tuple[np.ndarray, list[int]]:
-    """A row of FEATURES per line, and the number of each line's block. ``pages`` counts pages by slot."""
-    site, domain = fold(site or ""), (domain or "").lower()
-    own, shapes = [], []
-    for line in lines:
-        values, key = _own(line, site, domain)
+def page_features(text: str, site: str | None, domain: str | None, pages) -> tuple[np.ndarray, list[int], list[int]]:
+    """A row of FEATURES per line, and the numbers of each line's block and zone. ``pages`` counts pages by slot."""
+    site, domain = fold(site or "").strip(), (domain or "").lower()
+    _, _, digit, upper = _tables()
+    lines, codes = text.split("\n"), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts, codes = np.concatenate([[0], np.flatnonzero(codes == 10) + 1]), np.minimum(codes, FOLDED - 1)
+    digits, capitals = _share_of(digit[codes], starts).tolist(), _share_of(upper[codes], starts).tolist()
+    own, shapes, slots = [], [], []
+    for line, folded, d, u in zip(lines, folded_lines(text), digits, capitals):
+        values, slot = _own(folded, site, domain, d > 0)
         values = list(values)
-        values[_I["pages"]] = float(np.log1p(pages[slot_of(key)]))
+        values[_I["ended"]], values[_I["digits"]], values[_I["upper"]] = float(ends_sentence(line)), d, u
         own.append(values)
+        slots.append(slot)
         shapes.append(shape_of(values))
     n = len(lines)
+    told = np.asarray(own, np.float32).reshape(n, len(OWN))
+    told[:, _I["pages"]] = np.log1p(pages[np.asarray(slots, np.int64)])
     running = [i for i in range(n) if shapes[i] == 1 and own[i][0] > 70]
     top, bottom = (running[0], running[-1]) if running else (n, -1)
+    zones = [0 if i < top else 2 if i > bottom else 1 for i in range(n)]
     blocks, b = [], -1
     for i in range(n):
-        if not i or shapes[i] != shapes[i - 1]:
+        if not i or shapes[i] != shapes[i - 1] or zones[i] != zones[i - 1]:
             b += 1
         blocks.append(b)
-    size = np.bincount(blocks, minlength=b + 1) if n else np.zeros(0)
-    chars = np.bincount(blocks, [o[0] for o in own], b + 1) if n else size
-    ended = np.bincount(blocks, [o[2] for o in own], b + 1) if n else size
-    rows, since = [], 99.0
-    blank = [0.0] * len(OWN)
-    side = [_I[s] for s in SIDE]
+    size = np.bincount(blocks, minlength=b + 1)
+    chars = np.bincount(blocks, told[:, 0], b + 1) / size
+    ends = np.bincount(blocks, told[:, _I["ended"]], b + 1) / size
+    since, last, related = [], 99.0, _I["related"]
     for i in range(n):
-        k = blocks[i]
-        zone = 0.0 if i < top else 2.0 if i > bottom else 1.0
-        place = [i, n - 1 - i, i / max(1, n - 1), zone, float(shapes[i]), since, size[k], chars[k] / size[k], ended[k] / size[k]]
-        prev, nxt = own[i - 1] if i else blank, own[i + 1] if i + 1 < n else blank
-        rows.append([*own[i], *place, *(prev[s] for s in side), *(nxt[s] for s in side)])
-        headed = own[i][_I["related"]] and own[i][0] < 40
-        since = 0.0 if headed else since + 1 if since < 99 and shapes[i] == 2 else 99.0
-    return np.asarray(rows, np.float32).reshape(n, len(FEATURES)), blocks
+        since.append(last)
+        last = 0.0 if own[i][related] and own[i][0] < 40 else last + 1 if last < 99 and shapes[i] == 2 else 99.0
+    out = np.zeros((n, len(FEATURES)), np.float32)
+    k, at, own_end, place_end, side = np.asarray(blocks), np.arange(n), len(OWN), len(OWN) + len(PLACE), told[:, _side]
+    out[:, :own_end] = told
+    for c, v in enumerate((at, n - 1 - at, at / max(1, n - 1), zones, shapes, since, size[k], chars[k], ends[k])):
+        out[:, own_end + c] = v
+    out[1:, place_end : place_end + len(SIDE)] = side[:-1]
+    out[:-1, place_end + len(SIDE) :] = side[1:]
+    return out, blocks, zones
 
 
 class Trees:
@@ -201,7 +260,7 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 4.0) -> dict:
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 4.0) -> dict:
     """Gradient boosting for logistic loss with second-order leaves over quantile bins."""
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
@@ -247,19 +306,37 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, ra
     return {"base": base, "depth": depth, "features": FEATURES, "trees": trees}
 
 
-def decode(logits: np.ndarray, blocks: list[int], chars: np.ndarray) -> np.ndarray:
-    """Which lines are furniture: per block the best of all, none, or each line for itself at a price."""
-    out = logits > 0
+def _spans(labels: list[int]) -> list[tuple[int, int]]:
+    """The stretches of equal neighbours."""
+    at = [i for i in range(len(labels)) if not i or labels[i] != labels[i - 1]]
+    return list(zip(at, [*at[1:], len(labels)]))
+
+
+def decode(logits: np.ndarray, blocks: list[int], zones: list[int], chars: np.ndarray) -> np.ndarray:
+    """Which lines are furniture, by the best labelling of the tree page, zone, block, line.
+
+    A node is furniture (worth its lines' logits), report (worth 0) or mixed (worth what its children are, less a price).
+    """
+    worth = np.where(chars < 1, 0.0, logits)
+    out = worth > 0
+    total = np.concatenate([[0.0], np.cumsum(worth)])
+
+    def settle(a: int, b: int, mixed: float) -> float:
+        whole = total[b] - total[a]
+        if max(whole, 0.0) >= mixed:
+            out[a:b] = whole > 0
+        return max(whole, 0.0, mixed)
+
+    page = 0.0
+    for a, b in _spans(zones):
+        zone, inner = 0.0, _spans(blocks[a:b])
+        for x, y in inner:
+            lines = worth[a + x : a + y]
+            price = MIXED * len(lines) ** 0.5 if len(lines) > 1 else 0.0
+            zone += settle(a + x, a + y, float(lines[lines > 0].sum()) - price)
+        page += settle(a, b, zone - PARTS_DIFFER * (len(inner) > 1))
+    settle(0, len(worth), page - PARTS_DIFFER * (len(set(zones)) > 1))
     out[chars < 1] = False
-    for b in range(blocks[-1] + 1 if blocks else 0):
-        rows = [i for i, k in enumerate(blocks) if k == b]
-        if len(rows) < 2:
-            continue
-        own = logits[rows]
-        whole, none = own.sum(), 0.0
-        mixed = own[own > 0].sum() - MIXED * len(rows) ** 0.5
-        if mixed < max(whole, none) and chars[rows].min() >= 1:
-            out[rows] = whole > none
     return out
 
 
@@ -270,6 +347,11 @@ def trees() -> Trees:
     return Trees(told)
 
 
+@lru_cache(1 << 15)
+def _slot(folded: str, site: str) -> int:
+    return slot_of(line_key(folded, site))
+
+
 def _count(batches):
     import pyarrow as pa
 
@@ -277,9 +359,8 @@ def _count(batches):
     for batch in batches:
         for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                site = fold(site or "")
-                for s in {slot_of(line if len(line) >= LONG else line_key(fold(line), site)) for line in text.split("\n")}:
-                    n[s] += 1
+                site = fold(site or "").strip()
+                n[list({_slot(line, site) for line in folded_lines(text)})] += 1
     used = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["slot", "n"])
 
@@ -308,11 +389,11 @@ def furniture(pages: DataFrame) -> DataFrame:
         model = trees()
         for batch in batches:
             texts, sites, domains = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            made = [page_features(t.split("\n"), s, d, shared.value) for t, s, d in zip(texts, sites, domains)]
-            logits = model.logits(np.concatenate([x for x, _ in made])) if made else np.zeros(0)
+            made = [page_features(t, s, d, shared.value) for t, s, d in zip(texts, sites, domains)]
+            logits = model.logits(np.concatenate([x for x, _, _ in made])) if made else np.zeros(0)
             at, lines, start = [], [], 0
-            for i, (x, blocks) in enumerate(made):
-                found = np.flatnonzero(decode(logits[start : start + len(x)], blocks, x[:, 0]))
+            for i, (x, blocks, zones) in enumerate(made):
+                found = np.flatnonzero(decode(logits[start : start + len(x)], blocks, zones, x[:, 0]))
                 start += len(x)
                 at += [i] * len(found)
                 lines += (found + 1).tolist()

@@ -94,37 +94,37 @@ class Network:
         self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in weights.items()}
 
     def direction(self, x: np.ndarray, side: str) -> np.ndarray:
-        """Hidden states (T, H, N) for classes x (T, N), read in order; sequences lie innermost, so each step is a few dense passes."""
-        inputs, recur = np.ascontiguousarray(self.w[f"in_{side}"].T), np.ascontiguousarray(self.w[f"re_{side}"].T)
-        t_max, n = x.shape
-        size = recur.shape[1]
-        h, c = np.zeros((size, n), np.float32), np.zeros((size, n), np.float32)
-        out = np.empty((t_max, size, n), np.float32)
-        g, given = np.empty((4 * size, n), np.float32), np.empty((4 * size, n), np.float32)
-        gates, new = g[: 3 * size], g[3 * size :]
+        """Hidden states (T, N, H) for classes x (T, N), read in order; each gate lies by itself, so a step is a few dense passes."""
+        size, (t_max, n) = self.w[f"re_{side}"].shape[0], x.shape
+        recur, inputs = (np.ascontiguousarray(self.w[f"{k}_{side}"].reshape(-1, 4, size).transpose(1, 0, 2)) for k in ("re", "in"))
+        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
+        out = np.empty((t_max, n, size), np.float32)
+        g, given = np.empty((4, n, size), np.float32), np.empty((4, n, size), np.float32)
+        gates, new = g[:3], g[3]
         for t in range(t_max):
-            np.matmul(recur, h, out=g)
-            np.take(inputs, x[t], axis=1, out=given, mode="clip")
+            for k in range(4):
+                np.matmul(h, recur[k], out=g[k])
+                np.take(inputs[k], x[t], axis=0, out=given[k], mode="clip")
             g += given
             np.clip(gates, 0.0, 1.0, out=gates)
             np.clip(new, -1.0, 1.0, out=new)
-            new *= g[:size]
-            c *= g[size : 2 * size]
+            new *= g[0]
+            c *= g[1]
             c += new
             h = out[t]
             np.clip(c, -1.0, 1.0, out=h)
-            h *= g[2 * size : 3 * size]
+            h *= g[2]
         return out
 
     def emissions(self, x: np.ndarray, core: slice = slice(None)) -> np.ndarray:
-        """(N, T, TAGS) for classes x (N, T), of the steps in ``core``."""
+        """(T, N, TAGS) for classes x (N, T), of the steps in ``core``."""
         xt = np.ascontiguousarray(x.T, dtype=np.int64)
         f = self.direction(xt, "f")[core]
         b = self.direction(xt[::-1], "b")[::-1][core]
-        e = np.matmul(np.ascontiguousarray(self.w["out_f"].T), f)
-        e += np.matmul(np.ascontiguousarray(self.w["out_b"].T), b)
-        e += self.w["bias"][:, None]
-        return e.transpose(2, 0, 1)
+        e = np.matmul(f, self.w["out_f"])
+        e += np.matmul(b, self.w["out_b"])
+        e += self.w["bias"]
+        return e
 
 
 def allowed() -> np.ndarray:
@@ -200,7 +200,7 @@ def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 10
     x = windows(classes, np.arange(n))
     core = np.empty((n, STRIDE, TAGS), np.float32)
     for a in range(0, n, batch):
-        core[a : a + batch] = net.emissions(x[a : a + batch], slice(MARGIN, MARGIN + STRIDE))
+        core[a : a + batch] = net.emissions(x[a : a + batch], slice(MARGIN, MARGIN + STRIDE)).transpose(1, 0, 2)
     core, n = core.reshape(-1, STRETCH, TAGS), n * STRIDE // STRETCH
     owner = np.searchsorted(starts, np.arange(n) * STRETCH, "right") - 1
     follows = np.concatenate([[False], owner[1:] == owner[:-1]])  # the stretch goes on with the text of the one before

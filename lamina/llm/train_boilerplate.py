@@ -37,13 +37,12 @@ LINES = re.compile(
 HEADS = re.compile(r"tin lien quan|tin moi nhat|cung chuyen muc|bai noi bat|co the ban quan tam|doc nhieu|most read|trending now|you may also like|latest|more from .*")
 
 
-def labels(lines: list[str]) -> list[bool]:
+def labels(text: str) -> list[bool]:
     out, linked = [], False
-    for line in lines:
-        folded = b.fold(line)
-        bare = b._aside.sub("", folded)
+    for line, folded in zip(text.split("\n"), b.folded_lines(text)):
+        bare = b.without_aside(folded)
         hit = bool(LINES.fullmatch(bare) or LINES.fullmatch(folded))
-        headline = not b._end.search(line) and len(bare.split()) >= 4
+        headline = not b.ends_sentence(line) and len(bare.split()) >= 4
         if linked and headline and not hit:
             out.append(True)
             continue
@@ -58,11 +57,10 @@ def main(path: str) -> None:
     rows = [r for r in pq.read_table(path, columns=["article_id", "text", "sitename", "source_domain"]).to_pylist() if r["text"]][:SAMPLE]
     n = np.zeros(1 << b.SLOT_BITS, np.int32)
     for r in rows:
-        site = b.fold(r["sitename"] or "")
-        for s in {b.slot_of(x if len(x) >= b.LONG else b.line_key(b.fold(x), site)) for x in r["text"].split("\n")}:
-            n[s] += 1
+        site = b.fold(r["sitename"] or "").strip()
+        n[list({b._slot(x, site) for x in b.folded_lines(r["text"])})] += 1
     n = b.relative(n, len(rows))
-    made = [(b.page_features(r["text"].split("\n"), r["sitename"], r["source_domain"], n), labels(r["text"].split("\n"))) for r in rows]
+    made = [(b.page_features(r["text"], r["sitename"], r["source_domain"], n), labels(r["text"])) for r in rows]
     held = [k % 5 == 0 for k in range(len(made))]
     x, y = np.concatenate([m[0][0] for m, h in zip(made, held) if not h]), np.concatenate([m[1] for m, h in zip(made, held) if not h]).astype(float)
     told = b.fit_trees(x, y)
@@ -72,7 +70,7 @@ def main(path: str) -> None:
     model, wrong, total = b.Trees(told), [], 0
     for (f, truth), h, r in zip(made, held, rows):
         if h:
-            got = b.decode(model.logits(f[0]), f[1], f[0][:, 0])
+            got = b.decode(model.logits(f[0]), f[1], f[2], f[0][:, 0])
             total += len(truth)
             wrong += [(bool(t), line) for t, g, line in zip(truth, got, r["text"].split("\n")) if t != g]
     print(f"{total} held-out lines, {len(wrong)} differ from their labels")

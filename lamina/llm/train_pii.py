@@ -81,6 +81,37 @@ UNLISTED = "Lâm Đào Vương Phùng Tống Từ Thân Ông Lại Đồng Văn
 FOREIGN = "Ana Émile Jo Li Max Renée Iñigo Zoë Inés Björn Amélie Tom Mia Raúl Jürgen Céline Ben Eva Sofía Noël Kim Ivo Hélène Peña Müller Côté Ng Wu Roy Núñez Lefèvre Fox Day Ortiz Héroux Weber Sáenz Marín Ruiz Bélanger Cho Pham Bui".split()
 
 
+#: Roles before a name and what follows it, in the languages of the documents (fixed values).
+ROLES = (
+    ("kiểm toán viên", "ký biên bản"), ("nhân chứng", "kể lại sự việc"), ("kỹ sư", "đo lại số liệu"), ("kế toán", "gửi hồ sơ"), ("tổ trưởng", "có mặt"), ("giám đốc", "trả lời"),
+    ("the auditor", "signed the minutes"), ("the witness", "saw it"), ("our engineer", "measured it"), ("the accountant", "wrote back"), ("foreman", "was there"), ("her neighbour", "agreed"),
+    ("l'ingénieur", "a signé"), ("le témoin", "a confirmé"), ("la ingeniera", "firmó el acta"), ("el testigo", "lo confirma"),
+)
+
+
+def introduced(texts: list[str], rng, n: int = 3000) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Texts with a clause put in at a sentence's end in which a role, not a form of address, announces a name; with their spans."""
+    found = [t[a:b] for t in texts[:3000] for kind, a, b in spans(t) if kind == "name"]
+    out = []
+    while len(out) < n and found:
+        t = texts[rng.integers(len(texts))]
+        m = re.compile(r"(?<=[.;!?]) ").search(t, int(rng.integers(len(t))))
+        if not m:
+            continue
+        words = found[rng.integers(len(found))].split(" ")
+        if rng.random() < 0.6:
+            words = [str(x) for x in rng.choice(FOREIGN if rng.random() < 0.5 else UNLISTED, 1)] + words[-int(rng.integers(1, 3)) :]
+        role, rest = ROLES[rng.integers(len(ROLES))]
+        role = role[0].upper() + role[1:] if rng.random() < 0.5 else role
+        before, name = t[max(0, m.start() - 200) : m.end()] + role + " ", " ".join(words)
+        told = [s for s in spans(before) if s[2] <= len(before) - len(role) - 1]
+        after = f" {rest}. " + t[m.end() : m.end() + 100]
+        told += [("name", len(before), len(before) + len(name))]
+        told += [(k, a + len(before) + len(name), b + len(before) + len(name)) for k, a, b in spans(after)]
+        out.append((before + name + after, told))
+    return out
+
+
 def varied(text: str, rng) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with names by unlisted or foreign ones and addresses in disguise, as they stand in the same places; its spans."""
     out, told, at, size = [], [], 0, 0
@@ -179,7 +210,7 @@ def main(path: str, minutes: float = 5.0, further: float = 0, out=p.MODEL) -> No
     held, used = texts[::10], [t for i, t in enumerate(texts) if i % 10]
     rng = np.random.default_rng(1)
     texts = used + moved_emails(used, rng)
-    x, y = examples([(t, spans(t)) for t in texts] + [varied(t, rng) for t in texts if spans(t)])
+    x, y = examples([(t, spans(t)) for t in texts] + [varied(t, rng) for t in texts if spans(t)] + introduced(used, rng))
     # Windows without a mention teach less: keep a third of them.
     keep = (y > 0).any(1) | (rng.random(len(y)) < 0.33)
     x, y = x[keep], y[keep]

@@ -224,15 +224,27 @@ def test_trees_learn():
 
 def test_blocks_decide_together():
     chars = np.full(5, 30.0)
-    assert boilerplate.decode(np.array([3, 3, -0.3, 3, 3.0]), [0] * 5, chars).all()  # one weak line follows its block
-    assert boilerplate.decode(np.array([3, 3, -6, 3, 3.0]), [0] * 5, chars).tolist() == [True, True, False, True, True]
-    assert boilerplate.decode(np.zeros(0), [], np.zeros(0)).tolist() == []
+    one = [1] * 5
+    assert boilerplate.decode(np.array([3, 3, -0.3, 3, 3.0]), [0] * 5, one, chars).all()  # one weak line follows its block
+    assert boilerplate.decode(np.array([3, 3, -6, 3, 3.0]), [0] * 5, one, chars).tolist() == [True, True, False, True, True]
+    assert boilerplate.decode(np.array([3, 3, -0.1, 3, 3.0]), [0, 0, 1, 2, 2], one, chars).all()  # a weak block follows its zone
+    assert boilerplate.decode(np.array([-3, -3, 0.1, -3, -3.0]), [0, 1, 2, 3, 4], [0, 0, 1, 2, 2], chars).tolist() == [False] * 5
+    assert boilerplate.decode(np.array([-3, -3, 4, -3, -3.0]), [0, 1, 2, 3, 4], [0, 0, 1, 2, 2], chars).tolist() == [False, False, True, False, False]
+    assert boilerplate.decode(np.zeros(0), [], [], np.zeros(0)).tolist() == []
+
+
+def test_every_line_has_all_features(data):
+    notice = "Trang này dùng cookie để cải thiện trải nghiệm và đo lượng truy cập; khi tiếp tục đọc, bạn đồng ý với chính sách cookie của chúng tôi và của các đối tác quảng cáo đã nêu trong phần lựa chọn dưới đây."
+    assert len(notice) > 181
+    x, _, _ = boilerplate.page_features(notice + "\n" + notice * 40, None, None, np.zeros(1 << boilerplate.SLOT_BITS, np.float32))
+    cookie = boilerplate.FEATURES.index("cookie")
+    assert x[0, cookie] == 2 and x[1, cookie] == 80 and boilerplate.fold("ﬁ Đội ｃookie") == "fi doi cookie"
 
 
 def test_furniture(data):
     text = "Trang chủ | Video | Pháp luật\nChia sẻ bài viết này\n" + (CLEAN + " ") * 3 + "\nCookie không phải là thứ duy nhất bị thu thập: camera cổng cũng lưu mặt công nhân.\n" + (CLEAN + " ") * 2 + "\nTin liên quan\nNhà máy đóng cửa lò hơi quanh hồ để tiết kiệm điện\n© 2021 Báo X. Giữ bản quyền nội dung."
-    x, blocks = boilerplate.page_features(text.split("\n"), "Báo X", "baox.example", np.zeros(1 << boilerplate.SLOT_BITS, np.float32))
-    assert (np.flatnonzero(boilerplate.decode(boilerplate.trees().logits(x), blocks, x[:, 0])) + 1).tolist() == [1, 2, 6, 7, 8]
+    x, blocks, zones = boilerplate.page_features(text, "Báo X", "baox.example", np.zeros(1 << boilerplate.SLOT_BITS, np.float32))
+    assert (np.flatnonzero(boilerplate.decode(boilerplate.trees().logits(x), blocks, zones, x[:, 0])) + 1).tolist() == [1, 2, 6, 7, 8]
 
 
 # 8, 9 ------------------------------------------------------------------------------------
