@@ -1,8 +1,9 @@
 """Encoding of the corpus with a public byte-level BPE tokenizer (problem 8).
 
-Texts are cut into content-defined chunks by a rolling hash. A sketch of fixed size tells
-which chunks may be shared by several places of the corpus. Those are encoded once each
-and joined back; the chunks of one place only are encoded where they are. A document's
+Texts are cut into content-defined chunks by a rolling hash. The hashes alone are shuffled
+to find the chunks that stand in several places of the corpus. Each of those is encoded once,
+by the text that owns it, and joined back by its hash to the texts that hold it, which encode
+their other chunks themselves; texts without shared chunks are encoded whole. A document's
 chunks are then put together and every join is repaired: the text around it is encoded
 again, over a growing window, until the new encoding has a piece of the pre-tokenizer
 starting where the later chunk has one. What follows such a place doesn't depend on what
@@ -107,10 +108,6 @@ def cut_chunks(text: str) -> list[str]:
     return out
 
 
-#: Slots of the sketch that counts chunks.
-SLOT_BITS = 24
-
-
 #: Rows that a worker holds at once.
 SLICE = 1000
 
@@ -121,30 +118,21 @@ def _sliced(batches):
             yield batch.slice(a, SLICE)
 
 
-def slots_of(chunks: list[str]) -> np.ndarray:
+def hashes_of(chunks: list[str]) -> np.ndarray:
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(c) >> (64 - SLOT_BITS) for c in chunks), np.int64, len(chunks))
+    return np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), np.uint64, len(chunks)).view(np.int64)
 
 
-def _count(batches):
+def _cut(batches):
     import pyarrow as pa
 
-    seen = np.zeros(1 << SLOT_BITS, np.uint8)
     for batch in _sliced(batches):
-        chunks = [c for t in batch.column(0).to_pylist() if t for c in cut_chunks(t)]
-        slots, n = np.unique(slots_of(chunks), return_counts=True)
-        seen[slots] = np.minimum(2, seen[slots] + np.minimum(n, 2))
-    used = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used].astype(np.int32))], ["slot", "n"])
-
-
-def shared_slots(docs: DataFrame) -> np.ndarray:
-    """Which slots hold chunks of more than one place, as bits: a table of fixed size."""
-    got = docs.select("text").mapInArrow(_count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot").toArrow()
-    out = np.zeros(1 << SLOT_BITS, bool)
-    out[got.column("slot").to_numpy()] = True
-    return np.packbits(out)
+        chunks = [cut_chunks(t) for t in batch.column(2).to_pylist()]
+        sizes = [len(c) for c in chunks]
+        at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        pos = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, int)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), pa.array(hashes_of([c for cs in chunks for c in cs]))], ["p", "q", "pos", "h"])
 
 
 class Piece:
@@ -213,121 +201,99 @@ def join_all(pieces, encode) -> np.ndarray:
     return np.concatenate([*out, current.ids]) if current else np.zeros(0, np.int32)
 
 
-_PARTS = "chunk string, ids array<int>, head array<int>, tail array<int>"
-
-
 def _flat(pairs) -> list[int]:
     return [x for p in pairs for x in p]
 
 
-def _encode_shared(vocab):
-    def run(batches):
-        import pyarrow as pa
-
-        encode = encoder(vocab.value)
-        for batch in _sliced(batches):
-            done = [encoded(t, encode) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([p.ids for p in done]), _lists([_flat(p.head) for p in done]), _lists([_flat(p.tail) for p in done])], ["chunk", "ids", "head", "tail"])
-
-    return run
-
-
-def _scan(batches, shared):
-    """(document's place, text, chunks, which of them may be shared) of each batch's rows with text."""
-    bits = shared.value
-    for batch in _sliced(batches):
-        texts = batch.column(1).to_pylist()
-        live = [(i, cut_chunks(t)) for i, t in enumerate(texts) if t]
-        slots = slots_of([c for _, cs in live for c in cs])
-        flags = (bits[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)
-        rows, at = [], 0
-        for i, chunks in live:
-            rows.append((i, texts[i], chunks, flags[at : at + len(chunks)]))
-            at += len(chunks)
-        yield batch, texts, rows
-
-
-def _alone(vocab, shared):
-    """Documents none of whose chunks is shared, and those without text."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        encode = _encoding(vocab.value).encode_to_numpy
-        for batch, texts, rows in _scan(batches, shared):
-            at = [i for i, t in enumerate(texts) if not t]
-            ids = [None if texts[i] is None else [] for i in at]
-            for i, text, _, flags in rows:
-                if not flags.any():
-                    at.append(i)
-                    ids.append(encode(text, disallowed_special=()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), _lists(ids)], ["doc_id", "ids"])
-
-    return run
+_PIECE = "h bigint, ids array<int>, head array<int>, tail array<int>"
 
 
-def _spread(vocab, shared):
-    """The chunks of the other documents; those of one place only are encoded here."""
+def _encode_owned(vocab):
+    """Pieces (h, ids, head, tail) of the chunks that rows (text, owned) own; a text that comes again right after is done already."""
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        encode = encoder(vocab.value)
-        uid = TaskContext.get().partitionId() << 40
-        for batch, _, rows in _scan(batches, shared):
-            out = []
-            for i, _, chunks, flags in rows:
-                uid += 1
-                if flags.any():
-                    for k, (c, f) in enumerate(zip(chunks, flags)):
-                        p = None if f else encoded(c, encode)
-                        out.append((i, uid, k, c, p and p.ids, p and _flat(p.head), p and _flat(p.tail)))
-            i, u, k, c, ids, head, tail = map(list, zip(*out)) if out else [[]] * 7
+        encode, last = encoder(vocab.value), None
+        for batch in _sliced(batches):
+            done = []
+            for text, owned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text != last:
+                    last, chunks = text, cut_chunks(text)
+                    done += [(o["h"], encoded(chunks[o["pos"]], encode)) for o in owned]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.int64()), batch.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.int32()), pa.array(c, pa.string()), _lists(ids), _lists(head), _lists(tail)],
-                ["uid", "doc_id", "pos", "chunk", "ids", "head", "tail"],
+                [pa.array([h for h, _ in done], pa.int64()), _lists([p.ids for _, p in done]), _lists([_flat(p.head) for _, p in done]), _lists([_flat(p.tail) for _, p in done])],
+                ["h", "ids", "head", "tail"],
             )
 
     return run
 
 
 def _stitch(vocab):
+    """(doc_id, ids) of rows (doc_id, text, parts): encoded whole where no part is given, else put together from its chunks."""
+
     def run(batches):
         import pyarrow as pa
 
-        encode = encoder(vocab.value)
+        encode, whole = encoder(vocab.value), _encoding(vocab.value).encode_to_numpy
+        last, ids = None, None
         for batch in _sliced(batches):
-            lists = batch.column(1)
-            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            chunks = flat.field("chunk").to_pylist()
+            lists, texts = batch.column(2), batch.column(1).to_pylist()
+            flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            places = flat.field("pos").to_numpy()
             table = {}
             for name in ("ids", "head", "tail"):
                 column = flat.field(name)
                 table[name] = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
 
-            def piece(k):
+            def piece(k, chunk):
                 ids, head, tail = (v[e[k] : e[k + 1]] for v, e in (table[n] for n in ("ids", "head", "tail")))
-                return Piece(chunks[k], ids, *(list(zip(x[::2], x[1::2])) for x in (head.tolist(), tail.tolist())))
+                return Piece(chunk, ids, *(list(zip(x[::2], x[1::2])) for x in (head.tolist(), tail.tolist())))
 
-            ids = [join_all((piece(k) for k in range(a, b)), encode) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
+            out = []
+            for i, text in enumerate(texts):
+                if not text:
+                    out.append(None if text is None else [])
+                    continue
+                if text != last:
+                    given = {int(places[k]): k for k in range(ends[i], ends[i + 1])}
+                    if given:
+                        pieces = (piece(given[k], c) if k in given else encoded(c, encode) for k, c in enumerate(cut_chunks(text)))
+                        ids = join_all(pieces, encode)
+                    else:
+                        ids = whole(text, disallowed_special=())
+                    last = text
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["doc_id", "ids"])
 
     return run
 
 
+def shared_chunks(docs: DataFrame) -> DataFrame:
+    """(p, q, pos, h, own): where docs (p, q, text) hold chunks that stand in more than one place of the
+    distinct texts, and which of each chunk's places owns it. Only hashes are shuffled."""
+    cells = cut(docs.filter("text <> ''").mapInArrow(_cut, "p bigint, q bigint, pos int, h bigint").distinct())
+    place = F.struct("p", "q", "pos")
+    met = cells.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("owner")).filter("n > 1").select("h", "owner")
+    return cells.join(met, "h").select("p", "q", "pos", "h", (place == F.col("owner")).alias("own"))
+
+
 def encode_documents(docs: DataFrame, path: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs`` (doc_id, text; other columns are ignored)."""
+    """(doc_id, ids) of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Texts are named by 128 bits of hash, so copies of a text are one text and a retried task names it alike.
+    """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    vocab, shared = sc.broadcast(vocabulary(path, name)), sc.broadcast(shared_slots(docs))
-    alone = docs.mapInArrow(_alone(vocab, shared), f"doc_id {kind}, ids array<int>")
-    parts = cut(docs.mapInArrow(_spread(vocab, shared), f"uid bigint, doc_id {kind}, pos int, {_PARTS}"))
-    mine, ours = parts.filter("ids is not null"), parts.filter("ids is null").drop("ids", "head", "tail")
-    once = ours.select("chunk").distinct().mapInArrow(_encode_shared(vocab), _PARTS)
-    whole = mine.unionByName(ours.join(once, "chunk")).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "chunk", "ids", "head", "tail"))).alias("parts"))
-    return alone.unionByName(whole.select("doc_id", "parts").mapInArrow(_stitch(vocab), f"doc_id {kind}, ids array<int>"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), "text", F.lit(11)).alias("q"))
+    vocab = sc.broadcast(vocabulary(path, name))
+    shared = cut(shared_chunks(docs.select("p", "q", "text")))
+    owned = shared.filter("own").groupBy("p", "q").agg(F.collect_list(F.struct("pos", "h")).alias("owned"))
+    pieces = docs.join(owned, ["p", "q"]).select("text", "owned").mapInArrow(_encode_owned(vocab), _PIECE)
+    once = pieces.groupBy("h").agg(*(F.first(c).alias(c) for c in ("ids", "head", "tail")))
+    parts = shared.join(once, "h").groupBy("p", "q").agg(F.collect_list(F.struct("pos", "ids", "head", "tail")).alias("parts"))
+    return docs.join(parts, ["p", "q"], "left").select("doc_id", "text", "parts").mapInArrow(_stitch(vocab), f"doc_id {kind}, ids array<int>")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
