@@ -24,9 +24,10 @@ BLOCK = 256
 
 #: Of BANDS * ROWS minima two bits each are compared before a pair is verified; pairs below so many equal ones
 #: lie 4.5 standard deviations under the threshold (of 0.049 in similarity), so 3 of a million are lost by it.
-ALIKE_BITS = 86
-#: Slots of the sketch that tells which bands more than one article has.
-SLOT_BITS = 24
+#: None verifies every pair of a common band.
+ALIKE_BITS: int | None = 86
+#: Texts from which a dictionary for compressing the shuffled texts is made, and its bytes; results don't depend on it.
+DICTIONARY_TEXTS, DICTIONARY_BYTES = 2000, 100_000
 
 _factor = np.random.default_rng(4).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _shift = np.random.default_rng(5).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -99,14 +100,31 @@ def word_sets(text: str) -> frozenset:
     return frozenset(zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else frozenset([tuple(words)])
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame) -> bytes:
+    """A compression dictionary of bounded size from some of the texts; empty where they are too few."""
+    import zstandard
+
+    some = [r.text.encode("utf-8", "surrogatepass")[:8192] for r in docs.select("text").limit(DICTIONARY_TEXTS).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, some).as_bytes() if sum(map(len, some)) > 10 * DICTIONARY_BYTES else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _coder(kind: str, shared: bytes):
+    import zstandard
+
+    more = {"dict_data": zstandard.ZstdCompressionDict(shared)} if shared else {}
+    return zstandard.ZstdCompressor(level=6, **more).compress if kind == "pack" else zstandard.ZstdDecompressor(**more).decompress
+
+
+def _packed(docs: DataFrame, shared) -> DataFrame:
     """(id, z): the texts compressed, as they are shuffled twice."""
 
     def run(batches):
         import pyarrow as pa
-        import zstandard
 
-        pack = zstandard.ZstdCompressor(level=6).compress
+        pack = _coder("pack", shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "z"])
 
@@ -115,12 +133,12 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def alike(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``pairs`` (a, b) of docs (id, text) whose sets have the threshold of their union in common."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
 
     def run(batches):
         import pyarrow as pa
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = _coder("unpack", shared.value)
         last, left = None, frozenset()
 
         def words(z):
@@ -137,63 +155,31 @@ def alike(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> Da
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
 
-    texts = _packed(docs)
+    texts = _packed(docs, shared)
     one = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", F.col("z").alias("x"))
     return one.join(texts, one["b"] == texts["id"]).select("a", "b", "x", F.col("z").alias("y")).mapInArrow(run, "a bigint, b bigint")
 
 
-def _slots(bands: np.ndarray) -> np.ndarray:
-    return (bands.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _band_counts(batches):
-    import pyarrow as pa
-
-    seen = np.zeros(1 << SLOT_BITS, np.uint8)
-    for batch in batches:
-        slots, n = np.unique(_slots(batch.column(0).flatten().to_numpy()), return_counts=True)
-        seen[slots] = np.minimum(2, seen[slots] + np.minimum(n, 2))
-    used = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used].astype(np.int32))], ["slot", "n"])
-
-
-def shared_bands(classes: DataFrame) -> DataFrame:
-    """(rep, bits, band) of the bands that more than one class may have, told by a sketch of fixed size."""
-    got = classes.select("bands").mapInArrow(_band_counts, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot").toArrow()
-    bits = np.zeros(1 << SLOT_BITS, bool)
-    bits[got.column("slot").to_numpy()] = True
-    shared = classes.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def run(batches):
-        import pyarrow as pa
-
-        bits = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            bands = batch.column(1).flatten().to_numpy()
-            keep = np.flatnonzero(bits[_slots(bands)])
-            at = pa.array(keep // BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(bands[keep])], ["rep", "bits", "band"])
-
-    return classes.select("rep", "bands", "bits").mapInArrow(run, "rep bigint, bits array<bigint>, band bigint")
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of classes (rep, bands, bits) that share a band and enough bits."""
-    spread = shared_bands(classes)
-    # Only crowded buckets need blocks; their number is at most rows / BLOCK, found with map-side counts.
+def candidates(classes: DataFrame, alike_bits: int | None = None) -> DataFrame:
+    """Distinct pairs (a < b) of classes (rep, bands, bits) that share a band and, where told, so many bits."""
+    spread = classes.select("rep", F.explode("bands").alias("band"))
+    # Only counts and (band, class) pass the shuffle; a band of one class ends here, and a crowded one gets blocks.
     crowded = spread.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     sized = spread.join(crowded, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    mine = sized.withColumn("block", block)
+    mine = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Each member meets every block once: as the pair (lesser block, greater block).
-    met = mine.select("rep", "bits", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cell = met.select("rep", "bits", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    met = mine.select("rep", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = met.select("rep", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     a, b = cell.alias("x"), cell.alias("y")
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.rep") < F.col("y.rep"))
     apart = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
-    equal = [F.bit_count(F.expr(f"~(x.bits[{k}] ^ y.bits[{k}]) & ~(x.bits[{k + 3}] ^ y.bits[{k + 3}])")) for k in range(3)]
-    alike_bits = equal[0] + equal[1] + equal[2] - F.lit(192 - BANDS * ROWS) >= F.lit(ALIKE_BITS)
-    return a.join(b, on & apart & alike_bits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = a.join(b, on & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    if alike_bits is None:
+        return pairs
+    bits = classes.select("rep", "bits")
+    both = pairs.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("s")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("t")), "b")
+    equal = [F.bit_count(F.expr(f"~(s[{k}] ^ t[{k}]) & ~(s[{k + 3}] ^ t[{k + 3}])")) for k in range(3)]
+    return both.filter(equal[0] + equal[1] + equal[2] - F.lit(192 - BANDS * ROWS) >= F.lit(alike_bits)).select("a", "b")
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +188,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = signed.groupBy("p", "q").agg(F.min("id").alias("rep"))
     members = signed.select("id", "p", "q").join(classes, ["p", "q"]).select("id", "rep")
     reps = signed.join(classes, (signed["p"] == classes["p"]) & (signed["q"] == classes["q"]) & (signed["id"] == classes["rep"]), "left_semi")
-    return members, alike(docs, candidates(reps.select(F.col("id").alias("rep"), "bands", "bits")))
+    return members, alike(docs, candidates(reps.select(F.col("id").alias("rep"), "bands", "bits"), ALIKE_BITS))
 
 
 def article_texts(spark: SparkSession, folder: str) -> DataFrame:

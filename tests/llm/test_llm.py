@@ -130,8 +130,8 @@ def test_one_form(spark):
 # 4 ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, bits", [(256, 86), (2, 86), (256, None)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, bits):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
     texts = []
@@ -146,6 +146,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     sets = [neardup.word_sets(t) for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "ALIKE_BITS", bits)
     members, pairs = neardup.near_classes(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"))
     rep = {r.id: r.rep for r in members.collect()}
     alike = {(r.a, r.b) for r in pairs.collect()}
