@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from lamina.session import cut
 
@@ -12,7 +12,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each keeps the edges' number and halves
     distances, so a chain of n nodes takes about log n rounds. Every round's table is a
-    reliable checkpoint, so that a lost executor costs one round. Null ends are left out.
+    reliable checkpoint, so that a lost executor costs one round; what tells whether the round
+    changed anything is observed while it is written. Where ``rounds`` don't suffice an error
+    is raised. Null ends are left out.
     """
     both = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a is not null and b is not null")
     every = both.select(F.col("a").alias("node")).unionAll(both.select("b")).distinct()
@@ -27,12 +29,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         m = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(m, "u").select(F.col("v").alias("x"), "m").unionAll(m.select(F.col("u").alias("x"), "m")).filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        told = Observation()
+        e = cut(small.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        now = told.get
         if now == seen:
-            break
+            return every.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         seen = now
-    return every.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    raise RuntimeError(f"components not found in {rounds} rounds")
 
 
 def dedup_by_year(edges: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -7,11 +7,13 @@ rows still reaches its window as at most one row per calendar day and attribute.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lamina.session import ensure_checkpoint_dir
+from lamina.sources.buckets import BucketedTable
+
 OPEN_END = "9999-12-31"
 #: Keys that describe a version and aren't attributes of the entity (fixed values).
 VALIDITY_KEYS = ("valid_from", "valid_to", "is_current")
@@ -81,50 +83,34 @@ def build_chains(raw: DataFrame) -> DataFrame:
     return versions.select("stable_id", "valid_from", F.coalesce("stop", following, F.lit(OPEN_END)).alias("valid_to"))
 
 
-def rebuild_affected(history: DataFrame, raw: DataFrame, updates: DataFrame) -> DataFrame:
-    """``history`` with the chains that ``updates`` touch rebuilt from all their raw changes.
+def rebuild_affected(table: BucketedTable, raw: DataFrame, updates: DataFrame) -> None:
+    """The chains of ``table`` that ``updates`` touch, replaced at once by ones rebuilt from all their raw changes.
 
-    ``raw`` holds every change, the updates included. Only touched entities' rows are
-    retrieved (semi join) and rebuilt; every other chain is kept as it is.
+    ``raw`` holds every change, the updates included. Only touched entities' rows are retrieved (semi join)
+    and rebuilt, and only the buckets that hold them are rewritten; all other chains stay where they lie.
     """
     touched = updates.select("stable_id").filter("stable_id is not null").distinct()
-    fresh = build_chains(raw.join(touched, "stable_id", "left_semi"))
-    return history.join(touched, "stable_id", "left_anti").unionByName(fresh)
+    numbers = table.numbers(touched)
+    if not numbers:
+        return
+    fresh, held = build_chains(raw.join(touched, "stable_id", "left_semi")), table.read(numbers)
+    table.replace(fresh if held is None else held.join(touched, "stable_id", "left_anti").unionByName(fresh), numbers)
 
 
-def replace_atomically(df: DataFrame, folder: str) -> str:
-    """Write ``df`` beside the current table, then switch the pointer file in one rename.
+def chain_table(spark, folder: str) -> BucketedTable:
+    return BucketedTable(spark, folder, ["stable_id"])
 
-    Readers of ``current_table`` see the old chains or the new ones, never a mixture.
-    The rename goes through Hadoop's file system, so any shared folder will do.
-    """
-    spark, name = df.sparkSession, f"chains-{uuid.uuid4().hex}"
-    df.write.parquet(os.path.join(folder, name))
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    part, pointer = (jvm.org.apache.hadoop.fs.Path(folder, x) for x in (f"pending-{name}.txt", "current.txt"))
-    fs = part.getFileSystem(conf)
-    out = fs.create(part, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf)
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(part), fs.makeQualified(pointer), options)
-    return name
-
-
-def current_table(spark, folder: str) -> DataFrame:
-    name = spark.read.text(os.path.join(folder, "current.txt")).first()[0]
-    return spark.read.parquet(os.path.join(folder, name))
-
-
-def versions_with_late_updates(raw: DataFrame, days_open: int = 365) -> DataFrame:
-    """Chains of the settled rows, then affected chains rebuilt for the last ``days_open`` days' arrivals.
-
-    The cut is one aggregated value; the result doesn't depend on it.
+
+def versions_with_late_updates(raw: DataFrame, settled: float = 0.95, folder: str | None = None) -> DataFrame:
+    """Chains of the rows that had arrived first, then those rebuilt that the later arrivals touch, read from the table so written.
+
+    Arrival is by snap_id; ``settled`` is the share of its range that counts as there. The result doesn't depend on it.
+    The table lies in ``folder``, or under the session's checkpoint folder.
     """
-    newest = raw.agg(F.max("recorded_at")).first()[0]
-    if newest is None:
-        return build_chains(raw)
-    late = F.coalesce(F.col("recorded_at") > F.lit(newest) - F.make_interval(days=F.lit(days_open)), F.lit(False))
-    return rebuild_affected(build_chains(raw.filter(~late)), raw, raw.filter(late))
+    spark = raw.sparkSession
+    table = chain_table(spark, folder or f"{ensure_checkpoint_dir(spark)}/chains-{uuid.uuid4().hex}")
+    lo, hi = raw.agg(F.min("snap_id"), F.max("snap_id")).first()
+    late = F.lit(False) if lo is None else F.coalesce(F.col("snap_id") > int(lo + (hi - lo) * settled), F.lit(True))
+    table.replace(build_chains(raw.filter(~late)))
+    rebuild_affected(table, raw, raw.filter(late))
+    return table.read()

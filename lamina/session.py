@@ -19,6 +19,7 @@ def build_session(app: str = "lamina", master: str | None = None, cores: int = 8
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master).config("spark.sql.shuffle.partitions", str(cores)).config("spark.driver.memory", "12g")
@@ -34,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"lamina-checkpoint-{uuid.uuid4().hex}"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
-from lamina.operators.history import current_table, replace_atomically
+from lamina.sources.buckets import BucketedTable
 
 
 def write_sentences(df: DataFrame, folder: str) -> None:
@@ -31,12 +31,5 @@ def append_rejected(df: DataFrame, folder: str) -> None:
 
 
 def upsert(fresh: DataFrame, folder: str, keys: list[str], order: str) -> None:
-    """K9-K11, ST4: rows keyed by ``keys``; of equal keys the greatest ``order`` stays. The table is replaced at once."""
-    try:
-        rows = current_table(fresh.sparkSession, folder).unionByName(fresh, allowMissingColumns=True)
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = fresh
-    w = W.partitionBy(*keys).orderBy(F.desc(order))
-    replace_atomically(rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n"), folder)
+    """K9-K11, ST4: rows keyed by ``keys``; of equal keys the greatest ``order`` stays. Touched buckets alone are rewritten."""
+    BucketedTable(fresh.sparkSession, folder, keys).upsert(fresh, order)

@@ -13,6 +13,7 @@ from lamina.functions import text as t, web
 from lamina.operators import graph, history, models, ontology, resolve, triples as tr
 from lamina.plans import catalog
 from lamina.sources import readers, sinks
+from lamina.sources.buckets import BucketedTable
 from lamina.streaming import ingest
 
 SNAP = "snap_id bigint, source_file string, stable_id string, properties map<string,string>, recorded_at timestamp, text string"
@@ -42,24 +43,46 @@ def test_versions_by_the_rules(spark):
     want = [("a", "2010-01-01", "2012-01-01"), ("a", "2012-01-01", "2012-06-01"), ("a", "2013-01-01", "9999-12-31"), ("b", "2010-03-04", "9999-12-31"), ("d", "2015-01-01", "9999-12-31")]
     raw = snaps(spark, rows)
     assert chains(history.build_chains(raw)) == want
-    assert chains(history.versions_with_late_updates(raw, 900)) == want
+    assert chains(history.versions_with_late_updates(raw, 0.5)) == want
     assert chains(history.build_chains(raw.union(raw))) == want  # repeated rows
     assert chains(history.versions_with_late_updates(raw.limit(0))) == []
 
 
-def test_affected_chains_equal_a_whole_rebuild(spark):
+def test_affected_chains_equal_a_whole_rebuild(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"e{rng.randrange(9)}", {k: v for k, v in (("type", rng.choice("abc")), ("valid_from", rng.choice(["2010", "2011-03-01", "2012", None])), ("valid_to", rng.choice(["2011-09-09", "null", None]))) if rng.random() < 0.8}, f"20{rng.randrange(10, 14)}-0{rng.randrange(1, 9)}-01") for _ in range(120)]
     raw = snaps(spark, rows)
     old, late = raw.filter("snap_id < 80"), raw.filter("snap_id >= 80")
-    assert chains(history.rebuild_affected(history.build_chains(old), raw, late)) == chains(history.build_chains(raw))
-
-
-def test_chains_are_replaced_at_once(spark, tmp_path):
-    folder = f"file://{tmp_path}/table"
-    for n in (3, 5):
-        history.replace_atomically(spark.range(n), folder)
-        assert history.current_table(spark, folder).count() == n
+    table = history.chain_table(spark, f"file://{tmp_path}/chains")
+    table.replace(history.build_chains(old))
+    history.rebuild_affected(table, raw, late)
+    assert chains(table.read()) == chains(history.build_chains(raw))
+
+
+def test_one_late_row_rewrites_one_bucket(spark, tmp_path):
+    raw = snaps(spark, [(f"e{i}", {"type": "x", "valid_from": "2010"}, "2010-01-01") for i in range(200)] + [("e7", {"type": "y", "valid_from": "2009"}, "2011-01-01")])
+    folder = f"{tmp_path}/chains"
+    table = history.chain_table(spark, f"file://{folder}")
+    table.replace(history.build_chains(raw.filter("snap_id < 200")))
+    before, files = table.generations(), set(glob.glob(f"{folder}/gen=*/bucket_no=*/*.parquet"))
+    shown = table.read()  # a reader that began before the switch
+    history.rebuild_affected(table, raw, raw.filter("snap_id = 200"))
+    after = table.generations()
+    assert sum(before[b] != after[b] for b in before) == 1 and before.keys() == after.keys()
+    assert len(set(glob.glob(f"{folder}/gen=*/bucket_no=*/*.parquet")) - files) == 1
+    assert shown.count() == 200 and chains(table.read()) == chains(history.build_chains(raw))
+    history.rebuild_affected(table, raw, raw.filter("snap_id = 200"))  # the replacement after removes what was stale
+    assert files - set(glob.glob(f"{folder}/gen=*/bucket_no=*/*.parquet"))
+    history.rebuild_affected(table, raw, raw.limit(0))  # nothing touched, nothing written
+    assert table.generations().keys() == before.keys()
+
+
+def test_tables_are_replaced_at_once(spark, tmp_path):
+    table = BucketedTable(spark, f"file://{tmp_path}/table", ["id"], 4)
+    assert table.read() is None
+    for n in (3, 5, 0):
+        table.replace(spark.range(n))
+        assert sorted(r.id for r in BucketedTable(spark, f"file://{tmp_path}/table", ["id"]).read().collect()) == list(range(n))
 
 
 def test_text_functions(spark):
@@ -204,7 +227,7 @@ def test_streaming_upsert(spark, tmp_path):
     ingest.upsert_available(stream, f"file://{table}", check, ["id"], "at")
     spark.createDataFrame([(2, "d", 0), (3, "e", 5)], schema).write.mode("append").parquet(src)
     ingest.upsert_available(ingest.files(spark, src, schema), f"file://{table}", check, ["id"], "at")
-    assert sorted((r.id, r.v) for r in history.current_table(spark, f"file://{table}").collect()) == [(1, "c"), (2, "b"), (3, "e")]
+    assert sorted((r.id, r.v) for r in BucketedTable(spark, f"file://{table}", ["id"]).read().collect()) == [(1, "c"), (2, "b"), (3, "e")]
 
 
 def _plain(v):
