@@ -8,10 +8,24 @@ from functools import lru_cache
 from pyspark.sql import Column, functions as F
 
 #: Legal forms and synonyms of organisation names, folded (fixed values).
-LEGAL_FORMS = ("cong ty co phan", "cong ty cp", "cong ty tnhh", "tong cong ty", "joint stock company", "cong ty", "tap doan", "ctcp", "jsc", "corp", "ltd", "inc", "co")
-SYNONYMS = {"mtv": "mot thanh vien", "xnk": "xuat nhap khau", "tmcp": "thuong mai co phan"}
+LEGAL_FORMS = (
+    "cong ty trach nhiem huu han", "tong cong ty", "cong ty co phan", "cong ty cp", "cong ty tnhh", "cong ty", "ctcp", "tnhh", "tap doan", "joint stock company",
+    "joint stock", "corporation", "company", "co ltd", "ltd", "jsc", "j s c", "plc", "inc",
+)
+SYNONYMS = {"green": "xanh", "plastics": "plastic"}
+#: Words of trades and countries that tell no company from another, folded (fixed values).
+GENERIC = (
+    "nhua", "plastic", "vat", "lieu", "xay", "dung", "material", "materials", "industry", "industries", "viet", "nam", "vietnam", "san", "xuat", "the", "and",
+)
 #: Misread letters of scanned reports (fixed values).
-MISREAD = {"Ƣ": "Ư", "ƣ": "ư", "Ɖ": "Đ"}
+MISREAD = {"Ƣ": "U", "ƣ": "u"}
+#: What a company's name begins or ends with beside its short name, the first match counting (fixed values).
+PREFIXES = (
+    "Tổng Công ty cổ phần ", "Tổng công ty cổ phần ", "Tổng Công ty ", "Tổng công ty ", "CTCP - Tổng Công ty ", "Công ty Tài chính Tổng hợp Cổ phần ", "CTCP Tập đoàn ", "Tập đoàn ",
+    "CTCP ", "Công ty cổ phần ", "Công ty ",
+)
+SUFFIXES = (" - CTCP", " CTCP")
+BANK = ("Ngân hàng TMCP ", "Ngân hàng ")
 
 
 @lru_cache(1)
@@ -41,7 +55,7 @@ def normalize_name(c: Column) -> Column:
     for a, b in MISREAD.items():
         c = F.replace(c, F.lit(a), F.lit(b))
     c = F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " ")), F.lit(" "))
-    for form in LEGAL_FORMS:
+    for form in sorted(LEGAL_FORMS, key=len, reverse=True):
         c = F.replace(c, F.lit(f" {form} "), F.lit(" "))
     for a, b in SYNONYMS.items():
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -54,6 +68,36 @@ def name_tokens(c: Column) -> Column:
     return F.when(n == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(n, " ")))
 
 
+def core_tokens(c: Column) -> Column:
+    """the words that tell an issuer from others."""
+    return F.array_except(name_tokens(c), F.array(*map(F.lit, GENERIC)))
+
+
+def short_name(c: Column) -> Column:
+    """a company's name without the first prefix and the first suffix that it has; a bank keeps its kind."""
+    c = F.trim(c)
+    ahead = F.lit(None).cast("string")
+    for p in reversed(PREFIXES):
+        ahead = F.when(c.startswith(p), F.lit(p)).otherwise(ahead)
+    bare = F.when(ahead.isNotNull(), F.substring(c, F.length(ahead) + 1, F.length(c))).otherwise(c)
+    behind = F.lit(None).cast("string")
+    for p in reversed(SUFFIXES):
+        behind = F.when(bare.endswith(p), F.lit(p)).otherwise(behind)
+    bare = F.trim(F.when(behind.isNotNull(), F.substring(bare, F.lit(1), F.length(bare) - F.length(behind))).otherwise(bare))
+    return F.when(c.startswith(BANK[0]), F.concat(F.lit(BANK[1]), F.substring(c, F.lit(len(BANK[0]) + 1), F.length(c)))).otherwise(bare)
+
+
+def vague_name(c: Column) -> Column:
+    """A short name that can't be searched for by itself."""
+    bare = F.replace(F.replace(c, F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
+    return (F.length(c) <= 3) | bare.rlike("^[0-9]+$") | (~F.contains(F.trim(c), F.lit(" ")) & (F.length(c) <= 6))
+
+
+def primary_name(props: Column) -> Column:
+    """the first of name, term, title and claim_id that isn't empty, else empty."""
+    return F.coalesce(*[F.nullif(props[k], F.lit("")) for k in ("name", "term", "title", "claim_id")], F.lit(""))
+
+
 def merge_wrapped_lines(c: Column) -> Column:
     """A line break joins to a blank unless a sentence ends before it or a digit follows."""
     return F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n[ \t]*", "\n"), r"(?<![.!?:;…])\n(?!\d)", " ")
@@ -103,8 +147,9 @@ def document_id(ticker: Column, url: Column) -> Column:
 
 
 def normalize_date(c: Column) -> Column:
-    """F32: ISO prefix; d/m/Y; Y-m as its first day; anything else as it is."""
-    dmy = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+    """F32: an ISO date at the start; else day, month and year, by slashes or dashes, anywhere; else year and month as its first day; anything else trimmed."""
+    c = F.trim(c)
+    dmy = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"
     return (
         F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(c, 1, 10))
         .when(c.rlike(dmy), F.concat_ws("-", F.regexp_extract(c, dmy, 3), F.lpad(F.regexp_extract(c, dmy, 2), 2, "0"), F.lpad(F.regexp_extract(c, dmy, 1), 2, "0")))
@@ -113,6 +158,20 @@ def normalize_date(c: Column) -> Column:
     )
 
 
+def year_in_url(url: Column) -> Column:
+    """the year that an address states by one of three patterns, or null."""
+    stamp = F.regexp_extract(url, r"-(\d{4})\d{4}\d{6,}\.htm", 1)
+    short = F.regexp_extract(url, r"185(\d{2})\d{4}\d+\.htm", 1)
+    folder = F.regexp_extract(url, r"/(20[0-2]\d)/", 1)
+    return F.when(stamp.try_cast("int").between(2005, 2030), stamp).when(short != "", F.concat(F.lit("20"), short)).when(folder != "", folder)
+
+
+def article_year(date: Column, url: Column, now: Column) -> Column:
+    """the year of the date, else of the address, else ``now``."""
+    told = F.regexp_extract(normalize_date(F.coalesce(date, F.lit(""))), r"20[0-2]\d", 0)
+    return F.coalesce(F.nullif(told, F.lit("")), year_in_url(url), now)
+
+
 def year_of(*stamps: Column) -> Column:
     """the first four digits in a row found in the stamps in order, else empty."""
     found = [F.when(F.regexp_extract(s, r"\d{4}", 0) != "", F.regexp_extract(s, r"\d{4}", 0)) for s in stamps]
@@ -139,6 +198,11 @@ def file_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r'[\\/:*?"<>|\n\r\t]+', "_"))
 
 
+def extension(c: Column) -> Column:
+    """What follows the last dot of a file name, lower case with the dot; empty where there is none."""
+    return F.lower(F.regexp_extract(c, r"(?<=[^/])(\.[^./]+)$", 1))
+
+
 def recover_json(c: Column) -> Column:
     """fences and words around the outer brackets, comments outside strings and trailing commas removed."""
     c = F.regexp_replace(c, r"```(?:json)?", "")
@@ -147,7 +211,14 @@ def recover_json(c: Column) -> Column:
     return F.regexp_replace(c, r",\s*([}\]])", "$1")
 
 
-def percent_value(c: Column) -> tuple[Column, Column]:
-    """(value, unit): a value ending in % loses it and has the unit %; what is no number stays null."""
-    is_pct = F.coalesce(F.trim(c).endswith("%"), F.lit(False))
-    return F.trim(F.replace(c, F.lit("%"), F.lit(""))).try_cast("double"), F.when(is_pct, F.lit("%"))
+def kpi_value(value: Column, unit: Column) -> Column:
+    """(number, text, unit): a value ending in % gives the unit % where none is stated; what is no number stays text as it was."""
+    pct = F.coalesce(value.endswith("%"), F.lit(False))
+    bare = F.when(pct, F.regexp_replace(value, "%+$", "")).otherwise(value)
+    number = F.when(bare.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), bare.try_cast("double"))
+    return F.struct(number.alias("number"), F.when(number.isNull(), value).alias("text"), F.when(pct, F.coalesce(F.nullif(unit, F.lit("")), F.lit("%"))).otherwise(unit).alias("unit"))
+
+
+def year_value(c: Column) -> Column:
+    """a year of digits only as a whole number, else null (the text stays what it was)."""
+    return F.when(c.rlike("^[0-9]+$"), c.try_cast("int"))

@@ -122,15 +122,6 @@ STAGE = f"""WITH {TRIPLES} SELECT predicate, predicate IN (SELECT label FROM rul
   count(*) AS n, count(DISTINCT s_class) AS subject_classes FROM tri GROUP BY ALL"""
 
 
-def org_subject_counts(spark, folder):
-    """Organisations by how often they are a subject."""
-    x = tr.fix_direction(events_as_triples(spark, folder)).filter("s_class = 'Organization'")
-    return x.groupBy(x["s_props"]["name"].alias("name")).agg(F.count("*").alias("n"))
-
-
-ORG = f"WITH {TRIPLES} SELECT regexp_extract(CASE WHEN fixed THEN o_text ELSE s_text END, 'name=([^;]*)', 1) AS name, count(*) AS n FROM fix WHERE (CASE WHEN fixed THEN o_class ELSE s_class END) = 'Organization' GROUP BY 1"
-
-
 def identity_merge(spark, folder):
     """Entities by class and identity signature, with what merging saves."""
     s = table(spark, folder, "entity_snapshots")
@@ -284,14 +275,16 @@ def edge_rewire(spark, folder):
     """Edges carried over to merged nodes (customers of one nation and segment), loops dropped, first of equal ones."""
     c = table(spark, folder, "customer")
     root = c.withColumn("root", F.min("c_custkey").over(W.partitionBy("c_nationkey", "c_mktsegment"))).select("c_custkey", "root")
-    e = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1500 + 1).alias("b"))
+    e = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("a"))
+    near = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("b"))  # the customer numbered like the order's least supplier
+    e = e.join(near, "o_orderkey")
     j = e.join(root.select(F.col("c_custkey").alias("a"), F.col("root").alias("src")), "a").join(root.select(F.col("c_custkey").alias("b"), F.col("root").alias("dst")), "b")
     return j.filter("src <> dst").groupBy("src", "dst").agg(F.min("o_orderkey").alias("first_edge"), F.count("*").alias("n"))
 
 
 REWIRE = """
 WITH r AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS root FROM customer)
-SELECT s.root AS src, d.root AS dst, min(o_orderkey) AS first_edge, count(*) AS n FROM orders JOIN r s ON s.c_custkey = o_custkey JOIN r d ON d.c_custkey = o_orderkey % 1500 + 1 WHERE s.root <> d.root GROUP BY ALL"""
+SELECT s.root AS src, d.root AS dst, min(o_orderkey) AS first_edge, count(*) AS n FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) AS b FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN r s ON s.c_custkey = o_custkey JOIN r d ON d.c_custkey = b WHERE s.root <> d.root GROUP BY ALL"""
 
 
 def multi_hop(spark, folder):
@@ -392,16 +385,19 @@ POSITION = "SELECT event_id, event_id // 25 AS batch, event_id % 25 AS pos, CASE
 
 
 def kpi_normalize(spark, folder):
-    """Values of events as texts, some with a percent sign: value and unit, counted."""
-    e = table(spark, folder, "events")
-    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.round("value", 2).cast("string"), F.lit("%"))).when(F.col("event_id") % 4 == 1, F.lit("n/a")).otherwise(F.get_json_object("props", "$.k"))
-    value, unit = t.percent_value(raw)
-    return e.select("event_id", F.round(value, 4).alias("value"), unit.alias("unit"))
+    """values of events as texts, some with a percent sign, some with a unit, some no numbers; years as texts."""
+    e, i = table(spark, folder, "events"), F.col("event_id") % 4
+    raw = F.when(i == 0, F.concat(F.round("value", 2).cast("string"), F.lit("%"))).when(i == 1, F.lit("n/a")).when(i == 2, F.lit("about 5%")).otherwise(F.get_json_object("props", "$.k"))
+    unit, year = F.when(F.col("event_id") % 3 == 0, "ratio").when(F.col("event_id") % 3 == 1, ""), F.when(F.col("event_id") % 5 == 0, "FY24").otherwise(F.date_format("ts", "yyyy"))
+    told = e.select("event_id", t.kpi_value(raw, unit).alias("v"), t.year_value(year).alias("year"))
+    return told.select("event_id", F.round("v.number", 4).alias("number"), "v.text", "v.unit", "year")
 
 
 KPI = """
-WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN round(value, 2)::VARCHAR || '%' WHEN event_id % 4 = 1 THEN 'n/a' ELSE props::JSON ->> '$.k' END AS raw FROM events)
-SELECT event_id, round(try_cast(replace(raw, '%', '') AS DOUBLE), 4) AS value, CASE WHEN raw LIKE '%\\%' ESCAPE '\\' THEN '%' END AS unit FROM e"""
+WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN round(value, 2)::VARCHAR || '%' WHEN 1 THEN 'n/a' WHEN 2 THEN 'about 5%' ELSE props::JSON ->> '$.k' END AS raw,
+  CASE event_id % 3 WHEN 0 THEN 'ratio' WHEN 1 THEN '' END AS unit, CASE WHEN event_id % 5 = 0 THEN 'FY24' ELSE strftime(ts, '%Y') END AS y FROM events),
+n AS (SELECT *, suffix(raw, '%') AS pct, try_cast(rtrim(raw, '%') AS DOUBLE) AS number FROM e)
+SELECT event_id, round(number, 4) AS number, CASE WHEN number IS NULL THEN raw END AS text, CASE WHEN pct THEN coalesce(nullif(unit, ''), '%') ELSE unit END AS unit, CASE WHEN regexp_full_match(y, '[0-9]+') THEN y::INT END AS year FROM n"""
 
 
 def json_recovery(spark, folder):
@@ -421,15 +417,11 @@ def normalize_name(spark, folder):
 
 
 def _normal_sql(c: str) -> str:
-    source, target = t.fold_table()
-    for a, b in t.MISREAD.items():
-        c = f"replace({c}, '{a}', '{b}')"
-    c = f"' ' || trim(regexp_replace(translate(lower({c}), '{source}', '{target}'), '[^a-z0-9]+', ' ', 'g'), ' ') || ' '"
-    for f in t.LEGAL_FORMS:
-        c = f"replace({c}, ' {f} ', ' ')"
-    for a, b in t.SYNONYMS.items():
-        c = f"replace({c}, ' {a} ', ' {b} ')"
-    return f"trim(regexp_replace({c}, ' +', ' ', 'g'), ' ')"
+    """F1 in SQL, its lists spelt out apart from the Spark side's."""
+    forms = "['cong ty trach nhiem huu han', 'joint stock company', 'cong ty co phan', 'tong cong ty', 'cong ty tnhh', 'joint stock', 'corporation', 'cong ty cp', 'tap doan', 'cong ty', 'company', 'co ltd', 'j s c', 'ctcp', 'tnhh', 'ltd', 'jsc', 'plc', 'inc']"
+    plain = f"' ' || trim(regexp_replace(strip_accents(lower(replace(replace(replace(replace({c}, 'Ƣ', 'U'), 'ƣ', 'u'), 'Đ', 'd'), 'đ', 'd'))), '[^a-z0-9]+', ' ', 'g'), ' ') || ' '"
+    bare = f"list_reduce(list_prepend({plain}, {forms}), lambda x, f: replace(x, ' ' || f || ' ', ' '))"
+    return f"trim(regexp_replace(replace(replace({bare}, ' green ', ' xanh '), ' plastics ', ' plastic '), ' +', ' ', 'g'), ' ')"
 
 
 NORMAL = f"SELECT {_normal_sql('alias_name')} AS name, count(*) AS n FROM issuer_aliases WHERE alias_name IS NOT NULL GROUP BY 1"
@@ -441,7 +433,7 @@ def issuer_anchor(spark, folder):
     known = r.select("ticker", F.explode(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("canonical_name"))).alias("a")).select("ticker", t.normalize_name(F.col("a")).alias("name")).filter("name <> ''").distinct()
     barred = r.select(F.explode("exclusions").alias("e")).select(t.normalize_name(F.col("e.name")).alias("name")).distinct()
     index = known.join(barred, "name", "left_anti")  # a reviewed list of a hundred issuers
-    return table(spark, folder, "issuer_aliases").withColumn("name", t.normalize_name(F.col("alias_name"))).join(F.broadcast(index), "name").select("alias_id", "ticker")
+    return table(spark, folder, "issuer_aliases").withColumn("name", t.normalize_name(F.col("alias_name"))).join(index, "name").select("alias_id", "ticker")
 
 
 ANCHOR = f"""
@@ -450,24 +442,6 @@ b AS (SELECT {_normal_sql('e.name')} AS name FROM (SELECT unnest(exclusions) AS
 SELECT alias_id, ticker FROM (SELECT alias_id, {_normal_sql('alias_name')} AS name FROM issuer_aliases) JOIN n USING (name) WHERE name <> '' AND name NOT IN (SELECT name FROM b)"""
 
 
-def registry_classify(spark, folder):
-    """Each harvested name against the issuer of its report: excluded, alias, review or ignored."""
-    r = table(spark, folder, "issuer_registry").select(F.lower("ticker").alias("ticker"), "core_tokens", F.transform(F.coalesce("exclusions", F.array().cast("array<struct<name:string,reason:string>>")), lambda e: t.normalize_name(e["name"])).alias("barred"))
-    a = table(spark, folder, "issuer_aliases").withColumn("ticker", F.lower(F.split_part("source_pdf", F.lit("_"), F.lit(1)))).withColumn("name", t.normalize_name(F.col("alias_name"))).withColumn("tokens", t.name_tokens(F.col("alias_name")))
-    j = a.join(F.broadcast(r), "ticker")
-    shared = F.size(F.array_intersect("core_tokens", "tokens"))
-    kind = F.when(F.array_contains("barred", F.col("name")), "exclude").when(F.array_contains("tokens", F.col("ticker")), "alias").when((F.size(F.array_except("core_tokens", "tokens")) == 0), "alias").when(shared >= 2, "review").otherwise("ignore")
-    return j.filter("name is not null").select("alias_id", "ticker", kind.alias("kind"))
-
-
-CLASSIFY = f"""
-WITH r AS (SELECT lower(ticker) AS ticker, core_tokens, list_transform(coalesce(exclusions, []), lambda e: {_normal_sql('e.name')}) AS barred FROM issuer_registry),
-a AS (SELECT alias_id, lower(split_part(source_pdf, '_', 1)) AS ticker, {_normal_sql('alias_name')} AS name FROM issuer_aliases WHERE alias_name IS NOT NULL),
-t AS (SELECT *, CASE WHEN name = '' THEN [] ELSE list_distinct(string_split(name, ' ')) END AS tokens FROM a)
-SELECT alias_id, ticker, CASE WHEN list_contains(barred, name) THEN 'exclude' WHEN list_contains(tokens, ticker) THEN 'alias' WHEN len(list_filter(core_tokens, lambda x: NOT list_contains(tokens, x))) = 0 THEN 'alias'
-  WHEN len(list_intersect(core_tokens, tokens)) >= 2 THEN 'review' ELSE 'ignore' END AS kind FROM t JOIN r USING (ticker)"""
-
-
 def registry_merge(spark, folder):
     """Reviewed aliases and the names harvested at least twice from the issuer's reports; reviewed ones and exclusions win."""
     r = table(spark, folder, "issuer_registry")
@@ -486,22 +460,6 @@ m AS (SELECT coalesce(o.ticker, f.ticker) AS ticker, coalesce(o.name, f.name) AS
 SELECT m.* FROM m ANTI JOIN b USING (ticker, name)""")
 
 
-def query_builder(spark, folder):
-    """Queries for each company: its short name, quoted with the ticker where that is ambiguous, with each group of keywords."""
-    c = table(spark, folder, "companies").filter("ticker is not null and full_name is not null").groupBy(F.upper(F.trim("ticker")).alias("ticker")).agg(F.min_by("full_name", "seq").alias("full_name"))
-    short = F.trim(F.regexp_replace(F.lower("full_name"), "^(công ty cổ phần|tổng công ty|ctcp|công ty) ", ""))
-    vague = (F.length(short) <= 3) | short.rlike("^[0-9]+$") | (~F.contains(short, F.lit(" ")) & (F.length(short) <= 6))
-    groups = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(w).alias("words")) for k, w in (("fine", "phạt OR vi phạm"), ("water", "nước thải OR xả thải"))])).alias("g")
-    who = F.when(vague, F.concat(F.lit('"'), short, F.lit('" '), F.col("ticker"))).otherwise(F.concat(F.lit('"'), short, F.lit('"')))
-    return c.select("ticker", who.alias("who"), groups).select("ticker", "g.kind", F.concat("who", F.lit(" ("), "g.words", F.lit(")")).alias("query"))
-
-
-BUILDER = """
-WITH c AS (SELECT upper(trim(ticker, ' ')) AS ticker, arg_min(full_name, seq) AS full_name FROM companies WHERE ticker IS NOT NULL AND full_name IS NOT NULL GROUP BY 1),
-s AS (SELECT ticker, trim(regexp_replace(lower(full_name), '^(công ty cổ phần|tổng công ty|ctcp|công ty) ', ''), ' ') AS s FROM c), g(kind, words) AS (VALUES ('fine', 'phạt OR vi phạm'), ('water', 'nước thải OR xả thải'))
-SELECT ticker, kind, CASE WHEN length(s) <= 3 OR regexp_matches(s, '^[0-9]+$') OR (NOT contains(s, ' ') AND length(s) <= 6) THEN '"' || s || '" ' || ticker ELSE '"' || s || '"' END || ' (' || words || ')' AS query FROM s, g"""
-
-
 def filename_parse(spark, folder):
     """company and year of the reports' file names: a trailing year, else the rightmost four digits."""
     s = table(spark, folder, "sentences").select("source_pdf").filter("source_pdf is not null").distinct()
@@ -528,11 +486,11 @@ FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_sum(li
 QUERIES = {
     "greenwash_candidates": (greenwash_candidates, GREENWASH), "triple_direction_fix": (triple_direction_fix, DIRECTION), "triple_validation_errors": (triple_validation_errors, ERRORS),
     "validation_stats": (validation_stats, STATS), "graph_nodes": (graph_nodes, NODES), "graph_edges": (graph_edges, EDGES), "triples_roundtrip": (triples_roundtrip, ROUNDTRIP), "stage_partition": (stage_partition, STAGE),
-    "org_subject_counts": (org_subject_counts, ORG), "identity_merge": (identity_merge, IDENTITY), "resolution_stage_counts": (resolution_stage_counts, RESOLUTION), "cluster_rep": (cluster_rep, CLUSTER_REP),
+    "identity_merge": (identity_merge, IDENTITY), "resolution_stage_counts": (resolution_stage_counts, RESOLUTION), "cluster_rep": (cluster_rep, CLUSTER_REP),
     "consolidate_nodes": (consolidate_nodes, CONSOLIDATE), "payload_nodes": (payload_nodes, PAYLOAD), "node_versions": (node_versions, NODE_VERSIONS), "embedding_text": (embedding_text, EMBEDDING_TEXT),
     "connected_components": (connected_components, COMPONENTS), "edge_year_dedup": (edge_year_dedup, EDGE_YEAR), "version_chain": (version_chain, CHAIN), "supersedes_path": (supersedes_path, PATH),
     "bitemporal_asof": (bitemporal_asof, ASOF), "edge_rewire": (edge_rewire, REWIRE), "multi_hop": (multi_hop, HOPS), "ffill": (ffill, FFILL), "dup_numbering": (dup_numbering, DUPS), "set_ops": (set_ops, SETS),
     "dense_ids": (dense_ids, DENSE), "rate_window": (rate_window, RATE), "resume_antijoin": (resume_antijoin, RESUME), "positional_join": (positional_join, POSITION), "kpi_normalize": (kpi_normalize, KPI),
-    "json_recovery": (json_recovery, JSONS), "normalize_name": (normalize_name, NORMAL), "issuer_anchor": (issuer_anchor, ANCHOR), "registry_classify": (registry_classify, CLASSIFY), "registry_merge": (registry_merge, MERGE),
-    "query_builder": (query_builder, BUILDER), "filename_parse": (filename_parse, FILES), "similar_pairs": (similar_pairs, PAIRS),
+    "json_recovery": (json_recovery, JSONS), "normalize_name": (normalize_name, NORMAL), "issuer_anchor": (issuer_anchor, ANCHOR), "registry_merge": (registry_merge, MERGE),
+    "filename_parse": (filename_parse, FILES), "similar_pairs": (similar_pairs, PAIRS),
 }

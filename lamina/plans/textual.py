@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from lamina.functions import text as t
+from lamina.functions import text as t, web
 from lamina.sources.tables import table
 
 TERMS = ["môi trường", "khí thải", "nước thải", "chỉ số quản trị", "water permit", "emissions ledger"]
@@ -18,23 +18,33 @@ def sentences_with_defaults(spark, folder):
     )
 
 
-def page_rebuild(spark, folder):
-    """The texts of pages with an esg sentence, sentences in order, blanks dropped.
+#: Sentences of a page put together at once.
+PAGE_PART = 1000
 
-    A page's text comes in parts of 1,000 sentence indexes (one part, unless what calls itself
-    a page is a heap of rows), so that no group grows with the data.
-    """
-    s = sentences_with_defaults(spark, folder).withColumns({"text": F.trim("text"), "part": F.floor(F.col("sentence_index") / 1000).cast("int")})
-    gate = s.groupBy("source_pdf", "page").agg(F.bool_or("esg").alias("gate")).filter("gate").drop("gate")
-    told = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("sentence_index", "seq", "text"))))
-    parts = s.groupBy("source_pdf", "page", "part").agg(told.alias("told"), F.count("*").alias("n_sentences")).join(gate, ["source_pdf", "page"], "left_semi")
-    return parts.select("source_pdf", "page", "part", "n_sentences", F.array_join(F.transform("told", lambda p: p["text"]), " ").alias("page_text"))
 
+def page_rebuild(spark, folder):
+    """The text of each page with an esg sentence, its sentences in order, blanks dropped.
 
-PAGE_REBUILD = """
-WITH s AS (SELECT seq, coalesce(source_pdf, 'unknown.pdf') AS source_pdf, coalesce(page, 0) AS page, coalesce(sentence_index, 0) AS i, trim(coalesce(text, ''), ' ') AS text, coalesce(esg, false) AS esg FROM sentences),
+    What calls itself a page may be a heap of rows (no source, no index): sentences are put together in parts of at
+    most PAGE_PART rows, dealt by rank within their index, and then the parts; so no list of rows grows with the data,
+    only the page's text does. Ranks are taken within a page and index, and salted stretches of indexes keep order.
+    """
+    s = sentences_with_defaults(spark, folder).withColumn("text", t.trim_all(F.col("text")))
+    pages = s.groupBy("source_pdf", "page").agg(F.bool_or("esg").alias("gate"), F.count("*").alias("n_sentences")).filter("gate").drop("gate")
+    told = s.filter("text <> ''").select("source_pdf", "page", "sentence_index", "seq", "text")
+    # Order within a page is (sentence_index, seq); seq follows arrival, so a stretch of seq bounds the rows of one index.
+    part = told.withColumn("stretch", F.floor(F.col("seq") / PAGE_PART))
+    parts = part.groupBy("source_pdf", "page", "sentence_index", "stretch").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("l"))
+    lines = parts.select("source_pdf", "page", "sentence_index", "stretch", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("x"))
+    whole = lines.groupBy("source_pdf", "page").agg(F.sort_array(F.collect_list(F.struct("sentence_index", "stretch", "x"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["x"]), " ")
+    return pages.join(whole, ["source_pdf", "page"], "left").select("source_pdf", "page", "n_sentences", F.coalesce(text, F.lit("")).alias("page_text"))
+
+
+PAGE_REBUILD = r"""
+WITH s AS (SELECT seq, coalesce(source_pdf, 'unknown.pdf') AS source_pdf, coalesce(page, 0) AS page, coalesce(sentence_index, 0) AS i, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text, coalesce(esg, false) AS esg FROM sentences),
 g AS (SELECT source_pdf, page FROM s GROUP BY ALL HAVING bool_or(esg))
-SELECT source_pdf, page, (i // 1000)::INT AS part, count(*) AS n_sentences, coalesce(string_agg(text, ' ' ORDER BY i, seq) FILTER (text <> ''), '') AS page_text FROM s SEMI JOIN g USING (source_pdf, page) GROUP BY ALL"""
+SELECT source_pdf, page, count(*) AS n_sentences, coalesce(string_agg(text, ' ' ORDER BY i, seq) FILTER (text <> ''), '') AS page_text FROM s SEMI JOIN g USING (source_pdf, page) GROUP BY ALL"""
 
 
 def esg_rule(spark, folder):
@@ -122,14 +132,14 @@ def url_canonical(spark, folder):
     """Canonical url, domain and document id of articles, with unwanted addresses marked."""
     a = table(spark, folder, "articles")
     url = F.col("url")
-    return a.select("article_id", t.canonical_url(url).alias("canonical"), t.domain(url).alias("domain"), t.document_id(F.col("ticker"), url).alias("doc_key"), F.lower(url).rlike(r"youtube|facebook|\.pdf$|/tag/|/video/").alias("skip"))
+    return a.select("article_id", t.canonical_url(url).alias("canonical"), t.domain(url).alias("domain"), t.document_id(F.col("ticker"), url).alias("doc_key"), (~web.wanted_link(url)).alias("skip"))
 
 
 URL_CANONICAL = r"""
 SELECT article_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS canonical,
   regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') AS domain,
   concat_ws('__', ticker, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', ''), substr(sha1(url), 1, 10)) AS doc_key,
-  regexp_matches(lower(url), 'youtube|facebook|\.pdf$|/tag/|/video/') AS skip FROM articles"""
+  NOT coalesce(starts_with(lower(url), 'http') AND NOT regexp_matches(lower(url), 'google\.com|youtube\.com|youtu\.be|facebook\.com|fb\.com|tiktok\.com|twitter\.com|x\.com|instagram\.com|linkedin\.com|/video/|/videos/|/photo/|/gallery/|/tag/|/chuyen-muc/|\.pdf|\.zip|\.doc|\.xls|/du-lieu/|studocu|staticfile\.hsx|static2\.vietstock'), false) AS skip FROM articles"""
 
 
 def keyword_match(spark, folder):
@@ -192,33 +202,48 @@ SELECT ticker, count(*) AS candidates, count(*) FILTER (length(text) > 0) AS fet
 
 
 def date_normalize(spark, folder):
-    """Publishing dates in one form, and their year or the crawl's."""
-    a = table(spark, folder, "articles")
-    d = t.normalize_date(F.trim("publish_date"))
-    return a.select("article_id", F.coalesce(d, F.lit("")).alias("published"), t.year_of(d, F.date_format("date_crawled", "yyyy-MM-dd")).alias("year"))
+    """Publishing dates in one form (some made day first, with a word before), and the year of the date, the address or the crawl."""
+    a, i = table(spark, folder, "articles"), F.col("article_id") % 5
+    y, m, d = (F.substring("publish_date", p, n) for p, n in ((1, 4), (6, 2), (9, 2)))
+    raw = F.when(i == 0, F.concat(F.lit("Đăng ngày "), d, F.lit("-"), m, F.lit("-"), y, F.lit(" 07:15"))).when(i == 1, F.concat_ws("/", d.try_cast("int").cast("string"), m, y)).when(i == 2, F.lit("")).otherwise(F.col("publish_date"))
+    url = F.when(F.col("article_id") % 7 == 0, F.concat("url", F.lit("-20190412093000123.htm"))).when(F.col("article_id") % 7 == 1, F.concat("url", F.lit("/2016/x"))).when(F.col("article_id") % 7 == 2, F.concat("url", F.lit("-185180921104500.htm"))).otherwise(F.col("url"))
+    return a.select("article_id", F.coalesce(t.normalize_date(raw), F.lit("")).alias("published"), t.article_year(raw, url, F.date_format("date_crawled", "yyyy")).alias("year"))
 
 
 DATE_NORMALIZE = r"""
-WITH a AS (SELECT article_id, trim(publish_date, ' ') AS d, strftime(date_crawled, '%Y-%m-%d') AS c FROM articles),
-n AS (SELECT article_id, c, CASE WHEN regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN substr(d, 1, 10)
-  WHEN regexp_matches(d, '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') THEN regexp_extract(d, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})', 3) || '-' || lpad(regexp_extract(d, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})', 2), 2, '0') || '-' || lpad(regexp_extract(d, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})', 1), 2, '0')
-  WHEN regexp_matches(d, '^[0-9]{4}-[0-9]{2}$') THEN d || '-01' ELSE d END AS d FROM a)
-SELECT article_id, coalesce(d, '') AS published, coalesce(nullif(regexp_extract(d, '[0-9]{4}', 0), ''), nullif(regexp_extract(c, '[0-9]{4}', 0), ''), '') AS year FROM n"""
+WITH a AS (SELECT article_id, strftime(date_crawled, '%Y') AS c, substr(publish_date, 1, 4) AS y, substr(publish_date, 6, 2) AS m, substr(publish_date, 9, 2) AS d, publish_date, url FROM articles),
+r AS (SELECT article_id, c, trim(CASE article_id % 5 WHEN 0 THEN 'Đăng ngày ' || d || '-' || m || '-' || y || ' 07:15' WHEN 1 THEN concat_ws('/', try_cast(d AS INT)::VARCHAR, m, y) WHEN 2 THEN '' ELSE publish_date END, ' ') AS d,
+  CASE article_id % 7 WHEN 0 THEN url || '-20190412093000123.htm' WHEN 1 THEN url || '/2016/x' WHEN 2 THEN url || '-185180921104500.htm' ELSE url END AS u FROM a),
+n AS (SELECT article_id, c, u, CASE WHEN regexp_matches(d, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN substr(d, 1, 10)
+  WHEN regexp_matches(d, '([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})') THEN regexp_extract(d, '([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})', 3) || '-' || lpad(regexp_extract(d, '([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})', 2), 2, '0') || '-' || lpad(regexp_extract(d, '([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})', 1), 2, '0')
+  WHEN regexp_matches(d, '^[0-9]{4}-[0-9]{2}$') THEN d || '-01' ELSE d END AS d FROM r)
+SELECT article_id, coalesce(d, '') AS published, coalesce(nullif(regexp_extract(coalesce(d, ''), '20[0-2][0-9]', 0), ''),
+  CASE WHEN try_cast(regexp_extract(u, '-([0-9]{4})[0-9]{4}[0-9]{6,}\.htm', 1) AS INT) BETWEEN 2005 AND 2030 THEN regexp_extract(u, '-([0-9]{4})[0-9]{4}[0-9]{6,}\.htm', 1)
+    WHEN regexp_matches(u, '185([0-9]{2})[0-9]{4}[0-9]+\.htm') THEN '20' || regexp_extract(u, '185([0-9]{2})[0-9]{4}[0-9]+\.htm', 1) WHEN regexp_matches(u, '/(20[0-2][0-9])/') THEN regexp_extract(u, '/(20[0-2][0-9])/', 1) END, c) AS year FROM n"""
+
+
+#: Words that tell that an article is about the company it was sought for, lower case; here a stand-in company of the articles.
+RELATED = ("nước", "khí", "rừng", "water", "emission")
 
 
 def legacy_article(spark, folder):
-    """Older article rows: source by address, summary, weak authors dropped, relevance by keyword."""
+    """Older article rows: source by address, summary, site names as authors dropped, relevance by keyword."""
     a = table(spark, folder, "articles")
     low = F.lower(F.concat_ws(" ", "title", "text"))
-    author = F.when(~F.lower(F.trim("author")).isin("admin", "pv", "btv", "theo", "editor"), F.trim("author"))
-    return a.filter(F.length("text") >= 100).select("article_id", F.when(F.contains("url", F.lit("moi.example")), "moi").when(F.contains("url", F.lit("daily")), "daily").otherwise("other").alias("source"), F.md5(t.summary(F.col("text"))).alias("summary_md5"), F.coalesce(author, F.lit("")).alias("author"), low.rlike("nước|khí|rừng|water|emission").alias("related"))
+    related = F.lit(False)
+    for w in RELATED:
+        related = related | F.contains(low, F.lit(w))
+    host = F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("https://TuoiTre.example/"), "url")).when(F.col("article_id") % 3 == 1, F.concat("url", F.lit("?from=vietnamnet"))).otherwise(F.col("url"))
+    writer = F.when(F.col("article_id") % 11 == 0, " TuoiTre.VN ").otherwise(F.col("author"))
+    return a.filter(F.length("text") >= 100).select("article_id", web.source_of(host).alias("source"), F.md5(t.summary(F.col("text"))).alias("summary_md5"), web.author_name(writer).alias("author"), related.alias("related"))
 
 
 LEGACY_ARTICLE = """
-SELECT article_id, CASE WHEN contains(url, 'moi.example') THEN 'moi' WHEN contains(url, 'daily') THEN 'daily' ELSE 'other' END AS source,
+WITH a AS (SELECT article_id, text, title, lower(CASE article_id % 3 WHEN 0 THEN 'https://TuoiTre.example/' || url WHEN 1 THEN url || '?from=vietnamnet' ELSE url END) AS u, trim(CASE WHEN article_id % 11 = 0 THEN ' TuoiTre.VN ' ELSE author END, ' ') AS w FROM articles WHERE length(text) >= 100)
+SELECT article_id, CASE WHEN contains(u, 'vnexpress') THEN 'VnExpress' WHEN contains(u, 'tuoitre') THEN 'Tuổi Trẻ' WHEN contains(u, 'thanhnien') THEN 'Thanh Niên' WHEN contains(u, 'vietnamnet') THEN 'VietnamNet' ELSE 'Unknown' END AS source,
   md5(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END) AS summary_md5,
-  coalesce(CASE WHEN lower(trim(author, ' ')) NOT IN ('admin', 'pv', 'btv', 'theo', 'editor') THEN trim(author, ' ') END, '') AS author,
-  regexp_matches(lower(concat_ws(' ', title, text)), 'nước|khí|rừng|water|emission') AS related FROM articles WHERE length(text) >= 100"""
+  CASE WHEN lower(w) IN ('vnexpress', 'tuoi tre online', 'vietnamnet news', 'thanhnien.vn', 'tuoitre.vn', 'vietnamnet.vn') THEN '' ELSE coalesce(w, '') END AS author,
+  regexp_matches(lower(concat_ws(' ', title, text)), 'nước|khí|rừng|water|emission') AS related FROM a"""
 
 
 def article_lines(spark, folder):
