@@ -34,6 +34,10 @@ sourcedFrom Material Location; ownedBy Project Organization; supersedes Organiza
 supersedes Person Person; supersedes Goal Goal; supersedes Standard Standard; supersedes Product Product;
 supersedes Material Material; supersedes Certification Certification; supersedes Regulation Regulation
 """
+#: Classes of single observations, which names alone never merge (fixed values).
+OBSERVATIONS = (
+    "KPIObservation", "Emission", "Waste", "SustainabilityClaim", "Controversy", "Penalty", "MediaReport", "Investment", "ThirdPartyVerification", "ScienceBasedTarget", "CarbonOffsetProject",
+)
 #: Keys of the validity that every class carries (fixed values).
 TEMPORAL = ("valid_from", "valid_to", "is_current")
 

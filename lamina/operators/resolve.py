@@ -6,42 +6,37 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.functions import text as t
 from lamina.operators import graph
-from lamina.operators.ontology import IDENTITY_KEYS, TEMPORAL
-
-#: Classes of single observations, which names alone never merge (fixed values).
-OBSERVATIONS = ("KPIObservation", "Emission", "Waste", "SustainabilityClaim", "Controversy", "Penalty", "MediaReport", "Investment", "ThirdPartyVerification", "ScienceBasedTarget", "CarbonOffsetProject")
+from lamina.operators.ontology import IDENTITY_KEYS, OBSERVATIONS, TEMPORAL
+from lamina.session import cut
 
 #: Values that state nothing, in lower case (fixed values).
 UNSTATED = ("", "none", "null")
 
 
-def _part(c: Column) -> Column:
-    v = F.trim(F.lower(F.coalesce(c, F.lit(""))))
-    return F.when(v.isin(*UNSTATED), "").otherwise(v)
+def signature(cls: Column, props: Column, normal: bool = False) -> Column:
+    """a class's identity values, trimmed, joined by bars, with ``normal`` in normal form; null where all are empty or the class has no keys."""
+    keys = F.create_map(*[F.lit(x) if k == 0 else F.array(*map(F.lit, x)) for pair in IDENTITY_KEYS.items() for k, x in enumerate(pair)])[cls]
+
+    def part(k: Column) -> Column:
+        v = t.trim_all(F.coalesce(props[k], F.lit("")))
+        v = F.when(F.lower(v).isin(*UNSTATED), "").otherwise(v)
+        return t.normalize_name(v) if normal else v
 
+    parts = F.transform(keys, part)
+    return F.when(F.exists(parts, lambda p: p != ""), F.array_join(parts, "|"))
 
-def signature(cls: Column, props: Column) -> Column:
-    """a class's identity values joined; null where all are empty or the class has no keys."""
-    whole = None
-    for name, keys in IDENTITY_KEYS.items():
-        parts = [_part(props[k]) for k in keys]
-        joined = F.concat_ws("|", *parts)
-        empty = parts[0] == ""
-        for p in parts[1:]:
-            empty = empty & (p == "")
-        value = F.when(~empty, joined)
-        whole = F.when(cls == name, value) if whole is None else whole.when(cls == name, value)
-    return whole
 
+def signature_sql(wrap=str) -> str:
+    """The same in SQL over node_class and properties; ``wrap`` puts each value's SQL in normal form."""
+    def part(k: str) -> str:
+        v = f"regexp_replace(coalesce(properties['{k}'], ''), '^\\s+|\\s+$', '', 'g')"
+        return wrap(f"CASE WHEN lower({v}) IN ('', 'none', 'null') THEN '' ELSE {v} END")
 
-def _sql_part(k: str) -> str:
-    v = f"trim(lower(coalesce(properties['{k}'], '')), ' ')"
-    return f"CASE WHEN {v} IN ('', 'none', 'null') THEN '' ELSE {v} END"
+    told = (f"WHEN '{c}' THEN CASE WHEN {' || '.join(map(part, ks))} <> '' THEN concat_ws('|', {', '.join(map(part, ks))}) END" for c, ks in IDENTITY_KEYS.items())
+    return "CASE node_class " + " ".join(told) + " END"
 
 
-SIGNATURE_SQL = "CASE node_class " + " ".join(
-    f"WHEN '{c}' THEN CASE WHEN {' || '.join(_sql_part(k) for k in ks)} <> '' THEN concat_ws('|', {', '.join(_sql_part(k) for k in ks)}) END" for c, ks in IDENTITY_KEYS.items()
-) + " END"
+SIGNATURE_SQL = signature_sql()
 
 
 def stated(props: Column) -> Column:
@@ -108,19 +103,19 @@ def resolve_graph(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, confir
     loops dropped, and of one pair, predicate and year the first stays.
     """
     title = F.lower(F.coalesce(F.col("props")["title"], F.col("props")["name"], F.lit("")))
-    told = nodes.select("node", "class", "props", signature(F.col("class"), F.col("props")).alias("sig"), F.when(F.col("class").isin(*OBSERVATIONS), title).otherwise("").alias("title"), t.normalize_name(F.col("props")["name"]).alias("plain"))
-    issuer = told.filter(F.col("class") == "Organization").join(F.broadcast(anchors.select(t.normalize_name(F.col("name")).alias("plain"), "ticker").distinct()), "plain").select("node", "ticker")
+    told = cut(nodes.select("node", "class", signature(F.col("class"), F.col("props")).alias("sig"), signature(F.col("class"), F.col("props"), normal=True).alias("norm"), F.when(F.col("class").isin(*OBSERVATIONS), title).otherwise("").alias("title"), t.normalize_name(F.col("props")["name"]).alias("plain")))
+    issuer = cut(told.filter(F.col("class") == "Organization").join(anchors.select(t.normalize_name(F.col("name")).alias("plain"), "ticker").distinct(), "plain").select("node", "ticker"))
 
     def stars(df: DataFrame, *keys: str) -> DataFrame:
         least = df.groupBy(*keys).agg(F.min("node").alias("a"))
         return df.join(least, list(keys)).select("a", F.col("node").alias("b"))
 
     free = told.join(issuer, "node", "left_anti").filter("sig is not null")
-    pairs = stars(free, "class", "sig", "title").unionByName(stars(free.filter(~F.col("class").isin(*OBSERVATIONS)).withColumn("norm", t.normalize_name(F.col("sig"))), "class", "norm")).unionByName(stars(issuer, "ticker"))
+    pairs = stars(free, "class", "sig", "title").unionByName(stars(free.filter(~F.col("class").isin(*OBSERVATIONS)).filter("norm is not null"), "class", "norm")).unionByName(stars(issuer, "ticker"))
     if confirmed is not None:
         loose = confirmed.join(issuer.select(F.col("node").alias("a")), "a", "left_anti").join(issuer.select(F.col("node").alias("b")), "b", "left_anti")
         pairs = pairs.unionByName(loose.select("a", "b"))
-    roots = graph.components(pairs.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    roots = cut(graph.components(cut(pairs.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))))))
     merged = consolidate(nodes.join(roots, "node").select(F.col("root").cast("string").alias("stable_id"), F.col("node").alias("snap_id"), F.col("props").alias("properties")))
     clusters = nodes.join(roots, "node").groupBy(F.col("root").alias("node")).agg(F.min_by("class", "node").alias("class"), F.count("*").alias("members"))
     out = clusters.join(merged.withColumn("node", F.col("stable_id").cast("bigint")).drop("stable_id"), "node", "left").join(issuer.join(roots, "node").groupBy(F.col("root").alias("node")).agg(F.min("ticker").alias("ticker")), "node", "left")

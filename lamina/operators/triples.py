@@ -65,6 +65,42 @@ def errors(spark: SparkSession) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def page_valid() -> Column:
+    """V3: what a page's extraction must hold: classes of the ontology, properties on both ends, a known predicate."""
+    labels = sorted({r[0] for r in ontology.rules()})
+    ends = [F.col(f"{s}_class").isin(*ontology.IDENTITY_KEYS) & F.col(f"{s}_props").isNotNull() for s in "so"]
+    return F.coalesce(ends[0] & ends[1] & F.col("predicate").isin(*labels), F.lit(False))
+
+
+def without_bookkeeping(props: Column) -> Column:
+    """No keys that begin with an underscore."""
+    return F.map_filter(props, lambda k, _: ~k.startswith("_"))
+
+
+def accepted(finish: Column) -> Column:
+    """Whether an answer that ended so is taken."""
+    return F.coalesce(finish.isin("", "STOP", "MAX_TOKENS"), F.lit(True))
+
+
+def _told(props: Column, key: Column) -> Column:
+    """A property as a key's part: empty where absent, None where null."""
+    return F.when(F.map_contains_key(props, key), F.coalesce(props[key], F.lit("None"))).otherwise("")
+
+
+def stable_id(cls: Column, props: Column) -> Column:
+    """class and identity values, each trimmed and lower-case, joined by bars."""
+    keys = F.create_map(*[F.lit(x) if k == 0 else F.array(*map(F.lit, x)) for pair in ontology.IDENTITY_KEYS.items() for k, x in enumerate(pair)])[cls]
+    parts = F.transform(keys, lambda k: F.when(F.map_contains_key(props, k), F.coalesce(F.lower(F.trim(props[k])), F.lit("None"))).otherwise(""))
+    return F.concat_ws("|", cls, F.array_join(parts, "|"))
+
+
+def version_key(cls: Column, props: Column) -> Column:
+    """the stable id with, of an observation, all its properties, of an entity, its validity."""
+    e = stable_id(cls, props)
+    span = F.concat_ws("|", e, _told(props, F.lit("valid_from")), _told(props, F.lit("valid_to")))
+    return F.when(cls.isin(*ontology.OBSERVATIONS), F.concat_ws("|", e, props_text(props))).otherwise(span)
+
+
 def validate(triples: DataFrame) -> DataFrame:
     """V4: direction fixed, then validated: adds ``errors``."""
     return fix_direction(triples).withColumn("errors", errors(triples.sparkSession))

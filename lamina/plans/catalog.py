@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lamina.operators import history
-from lamina.plans import graphs, indicators, issuers, textual
+from lamina.plans import graphs, indicators, issuers, loading, textual
 from lamina.sources.tables import table
 
 
@@ -45,7 +45,7 @@ SELECT stable_id, valid_from,
 """
 
 
-QUERIES = {"p2_found": (p2_found, P2_SQL)} | graphs.QUERIES | textual.QUERIES | issuers.QUERIES | indicators.queries_with(P2_SQL)
+QUERIES = {"p2_found": (p2_found, P2_SQL)} | graphs.QUERIES | textual.QUERIES | issuers.QUERIES | loading.QUERIES | indicators.queries_with(P2_SQL)
 
 
 def queries():
