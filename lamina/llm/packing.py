@@ -8,7 +8,7 @@ through the same again in fewer groups.
 
 Documents over the capacity are split into full containers and one remaining part;
 no other document is split. Null and empty texts take no room: they are listed with a
-null container. Repeated documents are packed each.
+null container. Repeated documents are packed each, whatever their ids.
 """
 
 from __future__ import annotations
@@ -71,18 +71,27 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> None:
                 loose.pop(bisect.bisect_left(loose, (sizes[i], i)))
                 del home[i]
 
+    def offers(own: list[int]):
+        """What a container may give: nothing, one item or two. Of equal sums one stands for all, as they gain the same;
+        a container holds at most about root(2 * capacity) different sizes, so there are no more sums than its capacity."""
+        by: dict[int, list[int]] = {}
+        for i in own:
+            by.setdefault(sizes[i], []).append(i)
+        out: dict[int, tuple[int, ...]] = {0: ()} | {s: (items[0],) for s, items in by.items()}
+        kinds = sorted(by)
+        for x, s in enumerate(kinds):
+            for other in kinds[x:]:
+                if s + other not in out and (s != other or len(by[s]) > 1):
+                    out[s + other] = (by[s][0], by[other][-1])
+        return out.items()
+
     moved = True
     while moved:
         moved = False
         for b in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b]):
             while bins[b] and fill[b] < capacity:
                 room, best = capacity - fill[b], None
-                offers = [()] + [(i,) for i in bins[b]]
-                if len(bins[b]) <= 40:
-                    own = bins[b]
-                    offers += [(own[x], own[y]) for x in range(len(own)) for y in range(x)]
-                for given in offers:
-                    out = sum(sizes[i] for i in given)
+                for out, given in offers(bins[b]):
                     got = best_within(out + room, b, out)
                     if got is None:
                         continue
@@ -112,20 +121,20 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> None:
                     break
 
 
-PACKED = "spec_id int, doc_id bigint, part int, n_tokens int, container_id string, fill int"
+PACKED = "spec_id int, uid bigint, doc_id bigint, part int, n_tokens int, container_id string, fill int"
 
 
 def _pack_group(level: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         spec, group = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(["doc_id", "part", "n_tokens"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["uid", "part"], kind="stable").reset_index(drop=True)
         sizes = pdf.n_tokens.tolist()
         name, filled = [None] * len(sizes), [0] * len(sizes)
         for k, items in enumerate(pack(sizes, int(pdf.capacity_tokens.iloc[0]))):
             total = sum(sizes[i] for i in items)
             for i in items:
                 name[i], filled[i] = f"{spec}-{level}-{group}-{k}", total
-        return pdf[["spec_id", "doc_id", "part", "n_tokens"]].assign(container_id=name, fill=filled)
+        return pdf[["spec_id", "uid", "doc_id", "part", "n_tokens"]].assign(container_id=name, fill=filled)
 
     return run
 
@@ -133,34 +142,33 @@ def _pack_group(level: int):
 def pack_documents(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, doc_id, part, n_tokens, container_id, fill) for sizes (doc_id, n_tokens) and
     specs (spec_id, capacity_tokens); specs are few. Part k of a split document starts at token k * capacity."""
-    sizes = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens"))
+    sizes = cut(sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens")))
+    sizes = sizes.withColumn("uid", F.monotonically_increasing_id())  # over a written table, so a retried task numbers its rows alike
     kinds = [(int(r[0]), int(r[1])) for r in specs.filter("capacity_tokens > 0 and spec_id is not null").select("spec_id", "capacity_tokens").distinct().collect()]
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     n, c = F.col("n_tokens"), F.col("capacity_tokens")
     if not kinds:
         return sizes.limit(0).select(F.lit(0).alias("spec_id"), "doc_id", F.lit(0).alias("part"), "n_tokens", F.lit("").alias("container_id"), F.lit(0).alias("fill"))
     of = F.explode(F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity_tokens")) for i, c in kinds])).alias("kind")
-    wanted = sizes.select("doc_id", "n_tokens", of).select("kind.*", "doc_id", "n_tokens")  # a row per kind of container, of which there are few
+    wanted = sizes.select("uid", "doc_id", "n_tokens", of).select("kind.*", "uid", "doc_id", "n_tokens")  # a row per kind of container, of which there are few
     none = wanted.filter(n == 0).select("spec_id", "doc_id", F.lit(0).alias("part"), "n_tokens", F.lit(None).cast("string").alias("container_id"), F.lit(0).alias("fill"))
-    parts = wanted.filter(n > 0).select("spec_id", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0), F.ceil(n / c).cast("int") - 1)).alias("part"), n.alias("whole"))
-    parts = parts.withColumn("n_tokens", F.least(c, F.col("whole") - F.col("part") * c).cast("int")).drop("whole")
-    full = parts.filter(n == c).select("spec_id", "doc_id", "part", "n_tokens", F.concat_ws("-", "spec_id", F.lit("whole"), F.col("doc_id").cast("string"), "part", F.monotonically_increasing_id()).alias("container_id"), n.alias("fill"))
-    rest, level, out = parts.filter(n < c), 0, none.unionByName(full)
+    parts = wanted.filter(n > 0).select("spec_id", "capacity_tokens", "uid", "doc_id", F.explode(F.sequence(F.lit(0), F.ceil(n / c).cast("int") - 1)).alias("part"), n.alias("whole"))
+    rest, level, out = parts.withColumn("n_tokens", F.least(c, F.col("whole") - F.col("part") * c).cast("int")).drop("whole"), 0, none
     groups = F.greatest(F.lit(1), F.ceil(F.lit(float(total)) / (c * GROUP_CONTAINERS))).cast("int")
     most = max(1, *(-(-total // (c_ * GROUP_CONTAINERS)) for _, c_ in kinds))
     while True:
         shrunk = F.ceil(groups / float(FOLD**level)).cast("int")
-        dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "part", F.lit(level)), shrunk))
+        dealt = rest.withColumn("group", F.pmod(F.xxhash64("uid", "part", F.lit(level)), shrunk))
         packed = dealt.groupBy("spec_id", "group").applyInPandas(_pack_group(level), PACKED)
         most = -(-most // FOLD) if level else most
         if most <= 1:
-            return out.unionByName(packed)
+            return out.unionByName(packed.drop("uid"))
         capacity = F.create_map(*[F.lit(x) for k in kinds for x in k])
         packed = cut(packed).withColumn("capacity_tokens", capacity[F.col("spec_id")])
         # One group left: nothing could be repacked with others, so all of it stays.
         open_ = (F.col("fill") < c * WELL_FILLED) & (shrunk > 1)
-        out = out.unionByName(packed.filter(~open_).drop("capacity_tokens"))
-        rest, level = packed.filter(open_).select("spec_id", "capacity_tokens", "doc_id", "part", "n_tokens"), level + 1
+        out = out.unionByName(packed.filter(~open_).drop("capacity_tokens", "uid"))
+        rest, level = packed.filter(open_).select("spec_id", "capacity_tokens", "uid", "doc_id", "part", "n_tokens"), level + 1
 
 
 def token_sizes(docs: DataFrame) -> DataFrame:
@@ -168,8 +176,7 @@ def token_sizes(docs: DataFrame) -> DataFrame:
 
 
 def p9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = cut(token_sizes(spark.read.parquet(f"{folder}/documents.parquet")))
-    return pack_documents(sizes, spark.read.parquet(f"{folder}/pack_specs.parquet"))
+    return pack_documents(token_sizes(spark.read.parquet(f"{folder}/documents.parquet")), spark.read.parquet(f"{folder}/pack_specs.parquet"))
 
 
 def p9_fill(spark: SparkSession, folder: str) -> DataFrame:

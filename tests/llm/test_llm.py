@@ -280,6 +280,20 @@ def test_packing():
     assert len(packing.pack([60, 60, 40, 40, 30, 30, 40], 100)) == 3
 
 
+def test_two_for_one_in_containers_of_many_items():
+    # Only giving a 2 and a 3 (or the like) for the other container's 6 fills the first one; it holds 60 items.
+    sizes = [2] * 30 + [3] * 30 + [6] + [50]
+    bins = [list(range(60)), [60, 61]]
+    packing.improve(bins, sizes, 151)
+    assert sum(sizes[i] for i in bins[0]) == 151 and sorted(i for b in bins for i in b) == list(range(62))
+
+
+def test_documents_of_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_CONTAINERS", 5)
+    rows = packing.pack_documents(spark.createDataFrame([(None, 40)] * 100 + [(7, 60)] * 100, "doc_id bigint, n_tokens int"), spark.createDataFrame([(1, 100)], "spec_id int, capacity_tokens int")).collect()
+    assert len(rows) == 200 and len({r.container_id.split("-")[2] for r in rows}) > 5
+
+
 def test_packing_splits_only_what_must_be(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_CONTAINERS", 3)
     sizes = [(i, (i * 37) % 90 + 1) for i in range(1, 200)] + [(500, 345), (501, 200), (502, None), (503, 0)]
