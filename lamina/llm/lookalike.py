@@ -231,9 +231,9 @@ def p3_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_found(spark, folder):
     s, a = p3_texts(spark, folder)
-    return unusual_rows(s.unionAll(a), garbled.count_pairs(s.select("text"))).select("key.source_table", "key.row_id")
+    return unusual_rows(s.unionAll(a), garbled.count_pairs(garbled.p1_texts(spark, folder).select("text"))).select("key.source_table", "key.row_id")
 
 
 def p3_normalized(spark, folder):
     s, a = p3_texts(spark, folder)
-    return normalized(s.unionAll(a), garbled.count_pairs(s.select("text"))).select("key.source_table", "key.row_id", "text")
+    return normalized(s.unionAll(a), garbled.count_pairs(garbled.p1_texts(spark, folder).select("text"))).select("key.source_table", "key.row_id", "text")

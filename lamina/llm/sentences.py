@@ -1,10 +1,12 @@
 """Sentence units across languages and scripts (problem 6).
 
-Breaks follow the character properties of the standard sentence-break rules: a terminator,
-its closing marks, blanks, then a character that can begin a sentence. Abbreviations,
-initials, list numbers and decimals suppress a break; a closing quotation mark keeps the
-words that name the speaker with the quotation. Scripts with full-width terminators break
-right after them; in Thai a blank separates. Line breaks always separate.
+Breaks follow the standard sentence-break rules over Unicode's Sentence_Break property: a
+terminator of any script (STerm, ATerm), its closing marks (Close), blanks, then a character
+that can begin a sentence and doesn't continue one (SContinue). The language of the line
+decides which abbreviations suppress a break; initials, list numbers and decimals do in all.
+A closing quotation mark keeps the words that name the speaker with the quotation. Scripts
+with full-width terminators break right after them; in Thai a blank separates. Line breaks
+always separate.
 
 Null and blank texts give no unit; rows that problem 1 finds garbled give no found breaks.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,33 +24,87 @@ from lamina.llm import garbled
 from lamina.llm.lookalike import ALIKE, INVISIBLE
 from lamina.session import spread
 
-#: Abbreviations that something always follows, folded to lower case (fixed values).
-ABBREVIATIONS = frozenset(
-    "tp tx tt kcn cty q p h tr đ ths ts pgs gs bs ks ls nxb stt ms mr mrs dr prof no nos fig figs sec art vol pp approx vs st ca cf e.g i.e eg ie "
-    "m mme mlle núm sr sra dra".split()
-)
-OPENING = "“«„‘\"'「『《¿¡([‹"
-QUOTES_OPENING = frozenset("“«„‘「『《‹")
-CLOSING = "”»’\"'」』》)]›"
-QUOTES_CLOSING = frozenset("”»’」』》›")
-WIDE = frozenset("。！？｡")
-
-#: Terminators of other scripts: Sentence_Break STerm below U+10000 without those above, and the small and full-width stops of ATerm (fixed values).
-SCRIPTS = (
-    "\u0589\u061d-\u061f\u06d4\u0700-\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809"
-    "\u1944\u1945\u1aa8-\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047-\u2049\u2e2e\u2e3c\u2e53\u2e54\ua4ff\ua60e\ua60f\ua6f3\ua6f7"
-    "\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d-\uaa5f\uabeb\ufe52\ufe56\ufe57\uff0e"
+#: Abbreviations that something always follows, by language, folded to lower case (fixed values).
+ABBREVIATIONS = {
+    "vi": frozenset("tp tx tt kcn cty q p h tr đ ths ts pgs gs bs ks ls nxb stt mr mrs ms dr".split()),
+    "en": frozenset("mr mrs ms dr prof st approx vs cf e.g i.e eg ie ca".split()),
+    "fr": frozenset("m mm mme mlle dr st ste ca cf".split()),
+    "es": frozenset("sr sra srta dr dra ud uds".split()),
+}
+#: Abbreviations that only a number follows, in any language (fixed values).
+NUMBERED = frozenset("no nos fig figs sec art vol p pp núm nr".split())
+#: Words that tell a text's language where its letters don't (fixed values).
+TELLING = {"fr": re.compile(r"\b(?:le|les|des|du|une|est|dans)\b", re.I), "es": re.compile(r"\b(?:el|los|las|del|una|por|con)\b|[¿¡ñ]", re.I)}
+_vietnamese = re.compile("[ăđơưĂĐƠƯ\u1ea0-\u1ef9]")
+
+#: Forms of address and words of saying that tell that what follows a quotation names its speaker (fixed values).
+ADDRESS = re.compile(r"(?:[ÔôBbAaCc](?:ng|à|nh|hị|ô)|ThS|TS|PGS|GS|BS|KS|LS|Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|M|Sr|Sra)\b")
+SAYING = re.compile(
+    "nói|kể|cho biết|cho hay|khẳng định|nhấn mạnh|chia sẻ|trả lời|hỏi|thừa nhận|phát biểu|giải thích|nhận định|phân trần|cam kết|cảnh báo|lưu ý|"
+    r"\b(?:said|says|told|added|asked|replied|explained|noted|wrote|warned|dit|déclar\w*|ajout\w*|dijo|declar\w*|añad\w*)\b|"
+    "说|說|表示|指出|称|介绍|述べ|話し|語っ|言っ|말했|밝혔|전했|กล่าว",
+    re.I,
 )
-STOPS = ".!?…。！？｡" + SCRIPTS
 
-_stop = re.compile(rf"[{STOPS}][{STOPS}]*[" + re.escape(CLOSING) + r"]*")
-_stops = re.compile(rf"[{STOPS}]+")
+
+@lru_cache(1)
+def properties() -> dict[str, str]:
+    """Characters by the Sentence_Break property, of all planes, as Unicode has them."""
+    import regex
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    return {n: "".join(regex.findall(rf"\p{{SB={n}}}", every)) for n in ("STerm", "ATerm", "Close", "SContinue")}
+
+
+def _kinds(name: str, *kinds: str) -> str:
+    return "".join(c for c in properties()[name] if unicodedata.category(c) in kinds)
+
+
+ATERM = frozenset(properties()["ATerm"])
+#: Terminators: STerm and ATerm; an ellipsis ends a sentence too where one can begin after it.
+STOPS = properties()["STerm"] + properties()["ATerm"] + "…"
+CONTINUES = frozenset(properties()["SContinue"])
+#: Of the property Close: marks that open and close, brackets and quotation marks apart; the straight ones do both.
+QUOTES_OPENING = frozenset(_kinds("Close", "Pi") + "„‚「『《〈〝｢") - set("»›")
+BRACKETS_OPENING = frozenset(_kinds("Close", "Ps")) - QUOTES_OPENING
+OPENING = QUOTES_OPENING | BRACKETS_OPENING | set("\"'¿¡")
+QUOTES_CLOSING = frozenset(_kinds("Close", "Pf") + "」』》〉〞〟｣")
+CLOSING = _kinds("Close", "Pe", "Pf") + "\"'"
+WIDE = frozenset("。！？｡")
+
+_class = "".join(f"\\U{ord(c):08x}" for c in STOPS)
+_stop = re.compile(f"[{_class}]+[" + re.escape(CLOSING) + r"]*")
+_stops = re.compile(f"[{_class}]+")
 _thai = re.compile(r"(?<=[฀-๿])[^\S\n]+(?=[฀-๿])")
 _before = re.compile(rf"[\w.{INVISIBLE}̀-ͯ]+$")
 _list = re.compile(r"[\W_]*(?:[IVXLC]+|\d{1,3}(?:\.\d{1,3})*|\w)[.)]?$")
 _fold = str.maketrans(ALIKE | dict.fromkeys(INVISIBLE, ""))
 
 
+def languages(text: str, line: str) -> list[str]:
+    """Languages whose abbreviations count in a line: Vietnamese by its letters (in the line, or in the text where the line has
+    no words of another), else French or Spanish by their commonest words, else English."""
+    if _vietnamese.search(line):
+        return ["vi", "en"]
+    told = [k for k, p in TELLING.items() if len(p.findall(line)) > 1]
+    return told + ["en"] + (["vi"] if _vietnamese.search(text) else [])
+
+
+def names_speaker(text: str, at: int) -> bool:
+    """Whether the words from ``at`` on, after a quotation, name its speaker: they go on in lower case, with a form of address, or with a word of saying."""
+    c = text[at]
+    if c.islower() or ADDRESS.match(text, at):
+        return True
+    end = _stop.search(text, at)
+    line = text.find("\n", at)
+    stop = min(end.start() if end else len(text), line if line >= 0 else len(text))
+    plain = unicodedata.normalize("NFKC", text[at:stop].translate(_fold))
+    return c == "と" or bool(SAYING.search(text, at, stop) or ADDRESS.match(plain) or SAYING.search(plain)) or not (c.isupper() or c.isdigit() or unicodedata.category(c) == "Lo")
+
+
+_any_abbreviation = frozenset().union(*ABBREVIATIONS.values())
+
+
 def _word_before(text: str, at: int) -> str:
     m = _before.search(text, max(0, at - 16), at)
     w = m[0] if m else ""
@@ -61,7 +118,7 @@ def _may_begin(text: str, at: int, gap: bool) -> bool:
     c = text[at]
     if c in OPENING:
         rest = text[at + 1 : at + 4].lstrip()
-        return c not in "([)'" and bool(rest) and (rest[0].isupper() or rest[0].isdigit() or unicodedata.category(rest[0]) == "Lo" or rest[0] in OPENING)
+        return c not in BRACKETS_OPENING and c != "'" and bool(rest) and (rest[0].isupper() or rest[0].isdigit() or unicodedata.category(rest[0]) == "Lo" or rest[0] in OPENING)
     if c.isupper():
         return True
     if c.isdigit():
@@ -96,23 +153,32 @@ def breaks(text: str) -> list[int]:
         gap = at > end
         if not quoted and text[at] in "»”" and gap:  # a closing mark set off by a blank
             continue
-        if quoted and text[at] not in QUOTES_OPENING and text[at] != '"':
-            continue  # the words that follow name the speaker
+        if quoted and text[at] not in QUOTES_OPENING and text[at] != '"' and names_speaker(text, at):
+            continue
+        if text[at] in CONTINUES:
+            continue
         if stop[-1] in WIDE:
             if text[at] not in CLOSING or text[at] == '"':
                 out.append(at)
             continue
         if not _may_begin(text, at, gap):
             continue
-        if stop[-1] in ".．﹒":
+        if stop[-1] in ATERM:
             if len(stop) > 3 and text[at].isdigit():
                 continue  # dot leaders
             word = _word_before(text, m.start())
             bare = word.rpartition(".")[2]
-            if word.lower() in ABBREVIATIONS or bare.lower() in ABBREVIATIONS and bare == word:
+            low = word.lower()
+            if low in NUMBERED and text[at].isdigit():
                 continue
-            if len(bare) == 1 and bare.isalpha() and not _east(bare):
-                continue  # an initial
+            if low in _any_abbreviation:
+                start = text.rfind("\n", 0, m.start()) + 1
+                end_ = text.find("\n", at)
+                if any(low in ABBREVIATIONS[k] for k in languages(text, text[start : end_ if end_ >= 0 else n])):
+                    continue
+            ahead = text[m.start() - len(word) - 1] if m.start() > len(word) else " "
+            if len(bare) == 1 and bare.isalpha() and not _east(bare) and ahead not in "/°":
+                continue  # an initial, not the end of a unit as in mg/l
             if not word and not closers:
                 previous = text[m.start() - 1 : m.start()]
                 if not previous or previous.isspace():
@@ -200,7 +266,7 @@ def p6_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     s, a = p6_texts(spark, folder)
-    return found_breaks(s.unionAll(a), garbled.count_pairs(s.select("text"))).select("key.source_table", "key.row_id", "next_start")
+    return found_breaks(s.unionAll(a), garbled.count_pairs(garbled.p1_texts(spark, folder).select("text"))).select("key.source_table", "key.row_id", "next_start")
 
 
 def p6_sentences(spark: SparkSession, folder: str) -> DataFrame:
