@@ -30,7 +30,7 @@ PAIR_COST, RUN_COST = 8.5, 2.0
 GAIN = 7.0
 REPLACEMENT = "�"
 
-SYMBOL, LETTER, ODD, FOREIGN = 1, 2, 3, 4
+SYMBOL, LETTER, ODD, FOREIGN, QUOTE = 1, 2, 3, 4, 5
 #: Cost in bits of a run from which a text of any script is looked into.
 WHOLE_RUN_COST = 16.0
 
@@ -38,7 +38,7 @@ WHOLE_RUN_COST = 16.0
 @lru_cache(1)
 def char_classes() -> np.ndarray:
     """Class of each character below 2**16: symbol (no letter, digit, blank or plain punctuation), odd,
-    letter, and foreign letter (Latin and not Vietnamese, or Cyrillic: what wrong readings give)."""
+    letter, foreign letter (Latin and not Vietnamese, or Cyrillic: what wrong readings give), and quotation mark."""
     out = np.zeros(1 << 16, np.uint8)
     home = set("aăâeêioôơuưy") | {unicodedata.normalize("NFC", v + m) for v in "aăâeêioôơuưy" for m in "̣̀́̉̃"} | {"đ"}
     home |= {c.upper() for c in home}
@@ -51,7 +51,19 @@ def char_classes() -> np.ndarray:
         elif 0x80 <= c < 0xA0 or c == 0xFFFD:
             out[c] = ODD
         elif kind[0] in "SP" or ch in "ªº" or kind == "No" or c == 0xAD:
-            out[c] = 0 if ch in plain or c > 0x2E80 else SYMBOL
+            out[c] = QUOTE if ch in "«»‹›“”" else 0 if ch in plain or c > 0x2E80 else SYMBOL
+    return out
+
+
+def odd_marks(k: np.ndarray) -> np.ndarray:
+    """Where classes ``k`` have a mark within a word as only wrong readings give: two symbols in a row beside a letter,
+    or a quotation mark after a letter and right before a letter, a symbol or another mark."""
+    letter, symbol, quote = (k == LETTER) | (k == FOREIGN), k == SYMBOL, k == QUOTE
+    out = np.zeros(len(k), bool)
+    if len(k) > 2:
+        pair = symbol[1:-1] & symbol[2:]
+        out[1:-1] |= pair & letter[:-2]
+        out[1:-1] |= quote[1:-1] & letter[:-2] & (letter[2:] | symbol[2:] | quote[2:])
     return out
 
 
@@ -70,7 +82,7 @@ def pair_slots(codes: np.ndarray) -> np.ndarray:
 def untrusted(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Texts with a symbol between letters or beside a foreign one, or an odd character; their pairs aren't counted."""
     k = char_classes()[codes & 0xFFFF]
-    bad = k == ODD
+    bad = (k == ODD) | odd_marks(k)
     bad[1:-1] |= (k[1:-1] == SYMBOL) & ((k[:-2] == LETTER) | (k[:-2] == FOREIGN)) & ((k[2:] == LETTER) | (k[2:] == FOREIGN))
     bad[1:] |= (k[1:] == SYMBOL) & (k[:-1] == FOREIGN) | (k[1:] == FOREIGN) & (k[:-1] == SYMBOL)
     total = np.concatenate([[0], np.cumsum(bad)])
@@ -283,7 +295,7 @@ def suspicious(model: PairModel, texts: list[str]) -> np.ndarray:
     best = total - np.minimum.accumulate(np.minimum(total, 0))
     k = char_classes()[codes & 0xFFFF]
     letter = (k == LETTER) | (k == FOREIGN)
-    told = (k == FOREIGN) | ((k == SYMBOL) & np.concatenate([[False], letter[:-1]])) | ((k == SYMBOL) & np.concatenate([letter[1:], [False]]))
+    told = odd_marks(k) | (k == FOREIGN) | ((k == SYMBOL) & np.concatenate([[False], letter[:-1]])) | ((k == SYMBOL) & np.concatenate([letter[1:], [False]]))
     ends = np.append(starts[1:] - 1, len(codes))
 
     def within(mask):
