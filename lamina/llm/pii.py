@@ -32,9 +32,9 @@ STRIDE, MARGIN = 128, 16
 WINDOW = STRIDE + 2 * MARGIN
 #: Characters of the stretches in which decoding is chosen.
 STRETCH = 32
-HIDDEN = 24
+HIDDEN = 16
 #: Emission of a mention's beginning over that of none, from which a stretch is decoded.
-LIVE = -5.0
+LIVE = -4.5
 
 # Characters ------------------------------------------------------------------------------
 
@@ -253,8 +253,6 @@ EMAIL = re.compile(
     r"|[\w.+-]+\s(?:at|a còng)\s[\w-]+(?:\s?[\[(]\s?dot\s?[\])]\s?[\w-]+|\s(?:dot|chấm)\s[\w-]+)+",
     re.A | re.I,
 )
-#: What stands between the user and the host of every address that EMAIL accepts.
-_at = re.compile(r"[@＠]|[\[(]\s?(?:at|a còng)\s?[\])]|\s(?:at|a còng)\s(?=[\w-]+(?:\s?[\[(]\s?dot|\s(?:dot|chấm)\s))", re.A | re.I)
 PHONE = re.compile(r"(?:\(\+?\d{1,4}\)|\+\d{1,3}|\d)(?:[ .\-–]?\(?\d+\)?)+")
 IDENTITY = re.compile(r"[A-Z]{0,2}\d+(?:[ .\-]\d+)*")
 NAME = re.compile(rf"{WORD}(?:[ ]{WORD})*")
@@ -329,7 +327,7 @@ def exact(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
 def mentions_of(texts: list[str], net: Network | None = None) -> list[list[tuple[str, int, int]]]:
     net = net or network()
     moves = np.where(allowed(), net.w["moves"], np.float32(-1e4)).astype(np.float32)
-    return [exact(t, s + [("email", *m.span()) for m in _at.finditer(t)]) for t, s in zip(texts, tag_texts(texts, net, moves))]
+    return [exact(t, s) for t, s in zip(texts, tag_texts(texts, net, moves))]
 
 
 def find_mentions(docs: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def varied(text: str, rng) -> tuple[str, list[tuple[str, int, int]]]:
         elif kind == "email" and "@" in s and s.count("@") == 1:
             user, host = (x.strip(" [()]") for x in s.split("@"))
             sign = str(rng.choice(["＠", " [AT] ", " (at) ", "[at]", " at ", " [a còng] ", " a còng ", "@", " (At) ", " AT "]))
-            dot = str(rng.choice([" chấm ", " [dot] ", " dot ", " DOT ", "[dot]"] if sign.strip(" ").lower() in ("at", "a còng") else [".", ".", " [dot] ", " chấm ", " (chấm) "]))
+            dot = str(rng.choice([" chấm ", " [dot] ", " dot ", " dot ", " DOT ", "[dot]"] if sign.strip(" ").lower() in ("at", "a còng") else [".", ".", " [dot] ", " chấm ", " (chấm) "]))
             new = user + sign + re.sub(r"\.", dot, host)
             if p.EMAIL.fullmatch(new):
                 s = new

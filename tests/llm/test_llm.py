@@ -326,6 +326,25 @@ def test_disguised_addresses(sign):
     assert [(k, text[a:b]) for k, a, b in pii.mentions_of([text])[0]] == [("email", sign)]
 
 
+def test_no_mention_is_cut():
+    email = ".".join(["phong-tiep-nhan", "ho-so-khieu-nai", "van-phong-dai-dien", "cum-cong-nghiep", "xa-mac-gao", "huyen-luc-bang"]) + "@congty.example"
+    address = "262/37 Vân Đài, " + ", ".join(["xã Mạc Gạo", "huyện Lục Bằng", "tỉnh Vọng Sậy"] * 8)
+    for kind, said, ahead in (("email", email, "Mọi góp ý xin gửi về "), ("address", address, "Bà Ngô Văn Rộc thường trú tại số ")):
+        text = "Đoàn thanh tra đã rà soát trạm cân. " * 5 + ahead + said + "\nHồ sơ gốc lưu tại xã."
+        assert len(said) > 100 and (kind, said) in [(k, text[a:b]) for k, a, b in pii.mentions_of([text])[0]]
+
+
+@pytest.mark.parametrize("text, name", [("Hôm đó the auditor José García signed the minutes.", "José García"), ("Kiểm toán viên Hứa Quyến ký biên bản sáng nay.", "Hứa Quyến"), ("That day our engineer Ann Lee measured it again.", "Ann Lee"), ("Kế toán Đàm Phương Uyển gửi hồ sơ.", "Đàm Phương Uyển")])
+def test_names_after_roles(text, name):
+    assert ("name", name) in [(k, text[a:b]) for k, a, b in pii.mentions_of([text])[0]]
+
+
+def test_windows_agree_with_the_whole_text():
+    text = "Người khiếu nại là bà Ngô Văn Rộc Uyển, điện thoại 0543 401294. " * 40
+    (got,) = pii.mentions_of([text])
+    assert [k for k, _, _ in got] == ["name", "phone"] * 40
+
+
 def test_names_beside_the_listed_surnames(data):
     from lamina.llm import train_pii
 
