@@ -1,17 +1,20 @@
 """Variant spellings of issuers' names (problem 5): a noisy channel.
 
-Every distinct spelling is scored against the issuers of the registry. A spelling's words
-are explained one by one: by a word of the issuer's name (written in full, by its initial,
-mistyped, in another language, in the keystrokes of an input method, or left out), by a
-legal form or the like, or not at all. Costs are negative log likelihoods; the issuer's
-prior is its share of the frequent spellings that name it without error, which are ranked
-as candidate forms and count as forms of the issuer. A spelling goes to its most probable
-issuer, or to none where a stranger is more probable: an unexplained word, a missing core
-or another entity's name (an exclusion or another company) says so.
-
-How common words are comes from a hashed table of fixed size, in which a spelling counts
-once however often it is repeated. Null, blank and wordless names mean no issuer; repeated
-names are scored once and count each.
+Frequent spellings that an issuer's reviewed names explain without error are its candidate
+forms; their shares are the prior. Every distinct spelling is then given the issuer of
+greatest posterior. The channel explains its words one by one: by a word of the issuer's
+core (in full, mistyped, in the keystrokes of an input method), by another of its words or
+one that goes with them (in full, by initials, glued, split, mistyped), by a legal form or
+the like, or not at all. Costs are negative log likelihoods. A spelling is nobody's where a
+stranger is more probable: an unexplained word, a missing core or another entity's name (an
+exclusion) says so.
+
+The lexicon is learnt from the registry and the harvested names: which words of a core stand
+together, and which words go with those of the reviewed names, as a trade's translation does;
+a stranger's words (land, holdings) stand beside issuers of every trade and go with none. How
+common words are comes from a hashed table of fixed size, in which a spelling counts once
+however often it is repeated. Null, blank and wordless names mean no issuer; repeated names
+are scored once and count each.
 """
 
 from __future__ import annotations
@@ -19,15 +22,22 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
-from itertools import permutations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lamina.session import cut
+
 WORD_BITS = 18
-#: Costs in nats: a mistyped letter, an initial, words left out, keystrokes, a mistyped legal form.
-TYPO, INITIAL, NO_SECTOR, NO_MODIFIER, KEYS, LEGAL_TYPO = 3.0, 1.5, 1.0, 0.5, 0.7, 1.5
+#: Costs in nats: a mistyped letter, initials, all words but the core left out, keystrokes, a mistyped legal form, a word that isn't the issuer's but goes with one.
+TYPO, INITIAL, BARE, KEYS, LEGAL_TYPO, AKIN = 3.0, 1.5, 1.0, 0.7, 1.5, 0.3
+#: Weight of the prior, and the share that an issuer without a frequent spelling counts with.
+PRIOR, UNSEEN = 0.2, 0.002
+#: Words go together where so many issuers have both, so great a share of those with the first, and so much more often than by
+#: chance (in reviewed names, in any names); or where two have both and hardly another has either.
+TOGETHER, SHARE, LIFT = 3, 0.3, (3.0, 4.0)
 #: A stranger's cost: where an issuer costs more than this, the name is nobody's.
 STRANGER = 9.5
 #: A mistyping costs no more than its letters while what it would stand for is so many times as common, itself seen so
@@ -36,16 +46,6 @@ RARER, SEEN, COMMON = 12.0, 12.0, 2.0
 
 #: Legal forms, and what else stands beside a name without changing who is meant (fixed values).
 LEGAL = frozenset("cong ty co phan cp ctcp ct cty tong nhom c jsc j s corp corporation company limited ltd joint stock group vn hose hnx upcom baocaothuongnien the and va".split())
-#: Sectors and attributes in Vietnamese and English (fixed values).
-SECTORS = {
-    "dien luc": "power", "cap nuoc": "water supply", "mia duong": "sugar", "hoa chat": "chemical", "cao su": "rubber", "duoc pham": "pharmaceutical",
-    "nhua": "plastic", "thuy san": "seafood", "det may": "textile", "go": "wood", "giay": "paper", "van tai bien": "shipping", "phan bon": "fertilizer",
-    "thep": "steel", "xi mang": "cement", "ca phe": "coffee", "sua": "dairy", "gach men": "ceramic tile",
-}
-MODIFIERS = {"quoc te": "international", "xanh": "green", "mien dong": "eastern", "song cai": "main river", "xay dung": "construction", "moi truong": "environment", "xuat nhap khau": "import export"}
-VIETNAMESE = {en: vn for vn, en in (SECTORS | MODIFIERS).items()}
-
-
 def fold(text: str) -> str:
     text = unicodedata.normalize("NFKD", text.lower().replace("đ", "d").replace("ƣ", "u").replace("ð", "d"))
     return "".join(c for c in text if not unicodedata.combining(c)).replace("ơ", "o").replace("ư", "u")
@@ -98,36 +98,148 @@ def _slot(word: str) -> int:
     return xxhash.xxh32_intdigest(word) >> (32 - WORD_BITS)
 
 
+class Registry:
+    """What the reviewed names say by themselves: each issuer's words, and phrases that several issuers share."""
+
+    def __init__(self, tickers: list[str], names: list[list[str]], core_tokens: list[list[str]]):
+        self.tickers, self.names = tickers, [[words_of(n) for n in ns] for ns in names]
+        pairs = Counter(p for ns in self.names for p in {p for ws in ns for p in zip(ws, ws[1:])})
+        shared = {p for p, n in pairs.items() if n >= TOGETHER}
+        self.core_tokens = [[fold(w) for w in ws or []] for ws in core_tokens]
+        # Core words that many issuers have next to each other tell a quality (international) and no issuer.
+        self.distinct = [[w for w in ws if not any((w, x) in shared or (x, w) in shared for x in ws)] or ws for ws in self.core_tokens]
+        self.words = [{w for ws in ns for w in ws if w not in LEGAL} | set(core) for ns, core in zip(self.names, self.core_tokens)]
+        self.runs = [Counter(r for ws in ns for r in runs_of(ws, core)) for ns, core in zip(self.names, self.distinct)]
+
+    def pairs(self) -> dict[tuple[str, ...], int]:
+        """The neighbours among core words, or the one core word, that tell one issuer alone."""
+        told: dict[tuple[str, ...], set[int]] = {}
+        for k, runs in enumerate(self.runs):
+            for r in runs:
+                if len(r) == min(2, max(map(len, runs))):
+                    told.setdefault(r, set()).add(k)
+        return {r: next(iter(ks)) for r, ks in told.items() if len(ks) == 1}
+
+
+def runs_of(words: list[str], core: list[str]) -> set[tuple[str, ...]]:
+    """Stretches of core words in a name."""
+    out = set()
+    for i in range(len(words)):
+        j = i
+        while j < len(words) and words[j] in core:
+            j += 1
+            out.add(tuple(words[i:j]))
+    return out
+
+
+def core_of(runs: Counter, otherwise: list[str]) -> tuple[str, ...]:
+    """Of an issuer's core words those that stand together in its names: the longest stretch among the commonest ones.
+    Words that only some names have beside them tell a trade or quality (green), not the issuer."""
+    most = max((n for r, n in runs.items() if len(r) > 1), default=0) or max(runs.values(), default=0)
+    return max((r for r, n in runs.items() if n >= 0.85 * most and len(r) > (max(map(len, runs)) > 1)), key=lambda r: (len(r), runs[r], r), default=tuple(otherwise))
+
+
+def evidence(wordings: DataFrame, registry: Registry) -> DataFrame:
+    """(issuer, kind, said, n): how many wordings (key) that hold words telling an issuer alone have which other
+    words (kind word) and which stretches of its core words (kind run)."""
+    pairs, distinct = registry.pairs(), registry.distinct
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: Counter = Counter()
+            for key in batch.column(0).to_pylist():
+                ws = key.split(" ")
+                ks = {pairs[p] for p in zip(ws, ws[1:]) if p in pairs} | {pairs[(w,)] for w in ws if (w,) in pairs}
+                for k in ks:
+                    out.update((k, "word", w) for w in set(ws) if w not in LEGAL)
+                    out.update((k, "run", " ".join(r)) for r in runs_of(ws, distinct[k]))
+            k, kind, said = map(list, zip(*out)) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(kind, pa.string()), pa.array(said, pa.string()), pa.array(list(out.values()), pa.int64())], ["issuer", "kind", "said", "n"])
+
+    return wordings.select("key").mapInArrow(run, "issuer int, kind string, said string, n bigint").groupBy("issuer", "kind", "said").agg(F.sum("n").alias("n"))
+
+
+def akin_words(said: DataFrame, registry: Registry) -> dict[str, dict[str, float]]:
+    """Word of reviewed names -> words that go with it, by their share: a trade and its translation. At most the
+    registry's words times those that a SHARE of a word's issuers have."""
+    spark, issuers = said.sparkSession, max(1, len(registry.words))
+    own = spark.createDataFrame([(k, w) for k, ws in enumerate(registry.words) for w in sorted(ws)] or [(-1, "")], "issuer int, v string")
+    with_ = said.filter("kind = 'word'").select("issuer", F.col("said").alias("w")).unionByName(own.select("issuer", F.col("v").alias("w"))).distinct()
+    common = with_.join(with_.groupBy("w").agg(F.count("*").alias("base")).filter("base > 1"), "w")
+    share = F.col("n") / F.col("have")
+    found = None
+    # An issuer has a word where its reviewed names hold it; and, as those are few, where any name does.
+    for lift, given in zip(LIFT, (own, common.join(own.select(F.col("v").alias("w")).distinct(), "w", "left_semi").select("issuer", F.col("w").alias("v")))):
+        both = given.join(common, "issuer").filter("v <> w").groupBy("v", "w").agg(F.count("*").alias("n"), F.first("base").alias("base")).filter("n > 1")
+        often = (F.col("n") >= TOGETHER) & (share >= SHARE) & (share >= lift * F.col("base") / issuers)
+        told = both.join(given.groupBy("v").agg(F.count("*").alias("have")), "v").filter(often | ((share == 1) & (F.col("base") <= F.col("n") + 1))).select("v", "w", share.alias("p"))
+        found = told if found is None else found.unionAll(told)
+    rows = found.groupBy("v", "w").agg(F.max("p").alias("p")).collect()
+    out: dict[str, dict[str, float]] = {}
+    for r in rows:
+        out.setdefault(r.v, {})[r.w] = r.p
+    return out
+
+
 class Issuer:
-    def __init__(self, ticker, names, core_tokens):
-        self.ticker = ticker.lower()
-        modifiers = {w for m in MODIFIERS for w in m.split()}
-        core = [fold(w) for w in core_tokens or []]
-        self.core = tuple(w for w in core if w not in modifiers) or tuple(core)
-        spelled = [words_of(n) for n in names if n]
-        joined = [" " + " ".join(ws) + " " for ws in spelled]
-
-        def told(table):
-            votes = {vn: sum(f" {vn} " in j or f" {en} " in j for j in joined) for vn, en in table.items()}
-            best = max(votes, key=lambda k: (votes[k], k))
-            return best if votes[best] else None
-
-        self.sector = told(SECTORS)
-        self.modifier = next((m for m in MODIFIERS if all(w in core for w in m.split()) and m != self.sector), None) or told(MODIFIERS)
-        # One word that is nobody's core, sector or legal form is a brand.
-        known = set(self.core) | LEGAL | {w for p in (*SECTORS, *SECTORS.values(), *MODIFIERS, *MODIFIERS.values()) for w in p.split()}
-        self.brands = {ws[0] for ws in ([w for w in ws if w not in LEGAL and w not in known] for ws in spelled) if len(ws) == 1 and len(ws[0]) >= 5 and ws[0] != self.ticker}
+    """An issuer's core, its other words with their costs, the initials they may be written by, and one-word brands."""
+
+    def __init__(self, registry: Registry, k: int, runs: Counter, akin: dict[str, dict[str, float]]):
+        self.ticker, spelled = registry.tickers[k].lower(), registry.names[k]
+        core = registry.core_tokens[k]
+        self.core = core_of(registry.runs[k] + runs, registry.distinct[k])
+        own = {w for w in registry.words[k] if w not in self.core and w != self.ticker}
+        self.lexicon = dict.fromkeys(sorted(own), 0.0)
+        for v in sorted(own):
+            for w, p in akin.get(v, {}).items():
+                if w not in self.core:
+                    self.lexicon[w] = min(self.lexicon.get(w, math.inf), AKIN - math.log(p))
+        # Neighbours among the issuer's own words: phrases that may be glued or written by their initials.
+        self.glued: dict[str, float] = {}
+        self.initials: set[str] = set()
+        for ws in spelled:
+            rest = [w if w in self.lexicon else "" for w in ws]
+            for i in range(len(rest)):
+                for j in range(i + 1, min(len(rest), i + 3) + 1):
+                    part = rest[i:j]
+                    if "" in part:
+                        break
+                    self.initials.add("".join(w[0] for w in part))
+                    self.initials.add(part[0][0] * 2)
+                    if len(part) > 1:
+                        self.glued["".join(part)] = 1.0
+        # One word that is nobody's core, no shared word and no legal form is a brand.
+        shared = Counter(w for ws in registry.words for w in ws)
+        known = set(self.core) | set(core) | LEGAL | {w for w, n in shared.items() if n > 1} | set(akin) | {w for d in akin.values() for w in d}
+        self.brands = {ws[0] for ws in ([w for w in ws if w not in LEGAL] for ws in spelled) if len(ws) == 1 and len(ws[0]) >= 5 and ws[0] != self.ticker and ws[0] not in known}
         self.brands = {b for b in self.brands if all(edits(b, k) > (2 if len(k) > 6 else 1) for k in known)}
+        for b in self.brands:
+            self.lexicon.pop(b, None)
 
 
-class Channel:
-    def __init__(self, issuers: list[Issuer], strangers: set[tuple], counts: np.ndarray, prior: dict[str, float] | None = None):
-        self.issuers, self.strangers, self.counts, self.prior = issuers, strangers, counts, prior or {}
+def without_letters(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
+
+class Channel:
+    def __init__(self, issuers: list[Issuer], strangers: set[tuple], counts: np.ndarray):
+        self.issuers, self.strangers, self.counts = issuers, strangers, counts
         self.marks: dict[str, set[int]] = {}
         for k, i in enumerate(issuers):
             for w in (i.ticker, *i.brands, *i.core, "".join(i.core)):
                 self.marks.setdefault(w, set()).add(k)
+        # Marks by what is left of them without some letters: a word within two edits leaves the same.
+        self.left: dict[str, set[str]] = {}
+        for m in self.marks:
+            for x in without_letters(m, 2 if len(m) > 5 else 1):
+                self.left.setdefault(x, set()).add(m)
         self._near: dict[str, set[int]] = {}
         self._letters: dict[tuple[str, str], float | None] = {}
 
@@ -136,11 +248,13 @@ class Channel:
         if word not in self._near:
             if len(self._near) > 200_000:
                 self._near.clear()
-            typed, found = keystrokes(word), set()
-            for m, ks in self.marks.items():
-                most = 2 if len(m) > 5 else 1
-                if abs(len(m) - len(word)) <= most and edits(word, m) <= most or typed != word and abs(len(m) - len(typed)) <= 1 and edits(typed, m) <= 1:
-                    found |= ks
+            found = set()
+            for typed, certain in ((word, True), (keystrokes(word), False)):
+                if len(typed) > 40:
+                    continue  # longer than any mark by more than an edit
+                for m in set().union(*(self.left.get(x, ()) for x in without_letters(typed, 2 if len(typed) > 3 else 1))):
+                    if edits(typed, m) <= ((2 if len(m) > 5 else 1) if certain else 1):
+                        found |= self.marks[m]
             self._near[word] = found
         return self._near[word]
 
@@ -173,20 +287,11 @@ class Channel:
             return KEYS + TYPO * n + self.own_word(given, meant)
         return None
 
-    def phrase(self, left: list[str], phrase: str, told: bool = False) -> tuple[float, list[str]] | None:
-        """Cost of finding a phrase's words next to each other in ``left``, and the words then left.
-
-        With ``told`` (a sector or attribute, of an issuer already named) one word beside right
-        ones may be mistyped into another common word.
-        """
-        parts = phrase.split()
+    def phrase(self, left: list[str], parts: tuple[str, ...]) -> tuple[float, list[str]] | None:
+        """Cost of finding words next to each other in ``left``, and the words then left."""
         best = None
         for i in range(len(left) - len(parts) + 1):
             costs = [self.letter_cost(left[i + k], p) for k, p in enumerate(parts)]
-            if told and len(parts) > 1 and costs.count(None) == 1 and all(c in (None, 0.0) for c in costs):
-                k = costs.index(None)
-                if edits(left[i + k], parts[k]) == 1:
-                    costs[k] = TYPO + 1.5
             if None not in costs and (best is None or sum(costs) < best[0]):
                 best = (sum(costs), left[:i] + left[i + len(parts) :])
         glued = "".join(parts)
@@ -199,21 +304,34 @@ class Channel:
                     best = (TYPO, left[:i] + left[i + len(parts) + 1 :])
         return best
 
-    def remainder(self, left: list[str], whole: list[str]) -> float:
-        """Cost of words that aren't the issuer's own: legal forms for little, anything else for a stranger's."""
-        cost = 0.0
-        for w in left:
-            if w in LEGAL or keystrokes(w) in LEGAL:
+    def word_cost(self, w: str, issuer: Issuer, beside: tuple[str, ...]) -> tuple[float, bool]:
+        """Cost of a word beside the core, and whether it is one of the issuer's; ``beside`` are its neighbours."""
+        if w in LEGAL or keystrokes(w) in LEGAL:
+            return 0.0, False
+        if w in issuer.lexicon:
+            return issuer.lexicon[w], True
+        if w in issuer.initials:
+            return INITIAL, True
+        best = issuer.glued.get(w, STRANGER)
+        sure = any(x in issuer.lexicon for x in beside)
+        for v, fee in issuer.lexicon.items():
+            if abs(len(v) - len(w)) > 4:
                 continue
-            near = [x for x in LEGAL if len(x) > 1 and edits(w, x) == 1 or edits(keystrokes(w), x) == 1 and len(x) > 2]
-            typo = LEGAL_TYPO + min((self.own_word(w, x) for x in near), default=STRANGER)
-            if typo < STRANGER:
-                cost += typo
-            elif any(len(x) > 6 and edits(w, x) == 2 for x in LEGAL):
-                cost += 2 * LEGAL_TYPO
-            else:
-                cost += STRANGER
-        return cost
+            c = self.letter_cost(w, v)
+            if c is not None and sure and edits(w, v) == 1:  # beside a right word one may be mistyped into another common one
+                c = min(c, TYPO + 1.5)
+            if c is not None or sure and len(v) > 1 and edits(w, v) == 1 and (c := TYPO + 1.5):
+                best = min(best, fee + c)
+        for v, fee in issuer.glued.items():
+            if (c := self.letter_cost(w, v)) is not None:
+                best = min(best, fee + c)
+        if best < STRANGER:
+            return best, True
+        near = [x for x in LEGAL if len(x) > 1 and edits(w, x) == 1 or edits(keystrokes(w), x) == 1 and len(x) > 2]
+        typo = LEGAL_TYPO + min((self.own_word(w, x) for x in near), default=STRANGER)
+        if typo < STRANGER:
+            return typo, False
+        return (2 * LEGAL_TYPO if any(len(x) > 6 and edits(w, x) == 2 for x in LEGAL) else STRANGER), False
 
     def cost(self, words: list[str], issuer: Issuer) -> float:
         best = math.inf
@@ -223,60 +341,39 @@ class Channel:
                 if c is not None:
                     if c > TYPO and w not in LEGAL:
                         c += self.own_word(w, mark)
-                    best = min(best, fee + c + self.rest(words[:i] + words[i + 1 :], issuer, words, False))
-        found = issuer.core and self.phrase(words, " ".join(issuer.core))  # without a core only a ticker or brand names it
-        if found:
-            best = min(best, found[0] + self.rest(found[1], issuer, words, True))
+                    best = min(best, fee + c + self.rest(words[:i] + words[i + 1 :], issuer, False))
+        found = issuer.core and self.phrase(words, issuer.core)  # without a core only a ticker or brand names it
+        if found and found[0] < STRANGER:
+            best = min(best, found[0] + self.rest(found[1], issuer, True))
         return best
 
-    def rest(self, left: list[str], issuer: Issuer, whole: list[str], by_core: bool) -> float:
+    def rest(self, left: list[str], issuer: Issuer, by_core: bool) -> float:
         """Cost of the words beside the core, the ticker or a brand."""
-        options = [(0.0, left)]
-        if not by_core:
-            found = self.phrase(left, " ".join(issuer.core))
-            options = [(0.0, left)] + ([found] if found else [])
-        for concept, absent, initial in ((issuer.sector, NO_SECTOR if by_core else 0.0, True), (issuer.modifier, NO_MODIFIER if by_core else 0.0, False)):
-            if not concept:
-                continue
-            more = []
-            for c, ws in options:
-                more.append((c + absent, ws))
-                for name in (concept, (SECTORS | MODIFIERS)[concept]):
-                    if (f := self.phrase(ws, name, True)) is not None:
-                        more.append((c + f[0], f[1]))
-                    parts = name.split()
-                    if len(parts) > 1:  # import and export, sea transport: in any order
-                        for order in list(permutations(parts))[1:2]:
-                            if (f := self.phrase(ws, " ".join(order))) is not None:
-                                more.append((c + f[0] + TYPO, f[1]))
-                if initial and (concept[0] in ws or concept[0] * 2 in ws):
-                    k = next(k for k, w in enumerate(ws) if w in (concept[0], concept[0] * 2))
-                    more.append((c + INITIAL, ws[:k] + ws[k + 1 :]))
-            options = more
-        return min(c + self.remainder(ws, whole) for c, ws in options)
-
-    def attribute(self, name: str) -> tuple[str | None, float]:
-        """The most probable issuer's ticker, or None, and its cost."""
+        if not by_core and issuer.core and (found := self.phrase(left, issuer.core)):
+            left = found[1] if found[0] < STRANGER else left
+        total, told, i = 0.0, False, 0
+        while i < len(left) and total < STRANGER:
+            c, own = self.word_cost(left[i], issuer, (*left[max(0, i - 1) : i], *left[i + 1 : i + 2]))
+            step = 1
+            if c >= TYPO and i + 1 < len(left) and (left[i] + left[i + 1] in issuer.lexicon or left[i] + left[i + 1] in LEGAL):
+                c, own, step = min(c, TYPO), True, 2  # one word split in two
+            total, told, i = total + c, told or own, i + step
+        return total + (BARE if by_core and issuer.lexicon and not told else 0.0)
+
+    def explained(self, name: str) -> list[tuple[str, float]]:
+        """(ticker, cost) of the issuers that explain the name better than a stranger does."""
         words = words_of(name)
         if not words or tuple(w for w in words if w not in LEGAL) in self.strangers:
-            return None, math.inf
-        scored = []
-        for issuer in (self.issuers[k] for k in sorted(set().union(*map(self.near, words)))):
-            if (c := self.cost(words, issuer)) < STRANGER:
-                scored.append((c - 0.2 * math.log(self.prior.get(issuer.ticker, 0.0) + 0.002), c, issuer.ticker))
-        if not scored:
-            return None, math.inf
-        scored.sort()
-        if len(scored) > 1 and scored[1][0] - scored[0][0] < 0.5 and scored[0][1] > 2 * TYPO:
-            return None, scored[0][1]  # two issuers as probable: nobody's
-        return scored[0][2].upper(), scored[0][1]
+            return []
+        near = sorted(set().union(*map(self.near, words)))
+        return [(i.ticker.upper(), c) for i in (self.issuers[k] for k in near) if (c := self.cost(words, i)) < STRANGER]
 
 
 def _keys(batches):
     import pyarrow as pa
 
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([" ".join(words_of(name or "")) for name in batch.column(0).to_pylist()], pa.string())], ["name"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(words_of(name or "")) for name in batch.column(0).to_pylist()], pa.string())], ["alias_name", "n", "key"])
 
 
 def _word_counts(batches):
@@ -295,47 +392,52 @@ def attribute_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     """(alias_name, ticker) of the distinct spellings of ``names`` (alias_name) that mean an issuer of
     ``registry``, a reviewed list of at most some thousands of rows."""
     rows = registry.select("ticker", "canonical_name", "core_tokens", "aliases", "exclusions").filter("ticker is not null").collect()
-    issuers = [Issuer(r.ticker, [r.canonical_name, *(r.aliases or [])], r.core_tokens) for r in rows]
+    told = [[n for n in (r.canonical_name, *(r.aliases or [])) if n] for r in rows]
+    book = Registry([r.ticker for r in rows], told, [r.core_tokens for r in rows])
     strangers = {tuple(w for w in words_of(e["name"] or "") if w not in LEGAL) for r in rows for e in r.exclusions or [] if e} - {()}
     # Copies and mere case or accents make no word more common: each wording counts once.
-    wordings = names.select("alias_name").distinct().mapInArrow(_keys, "name string").distinct()
-    got = wordings.mapInArrow(_word_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    spelled = names.filter(F.col("alias_name").rlike(r"\S")).groupBy("alias_name").agg(F.count("*").alias("n")).mapInArrow(_keys, "alias_name string, n bigint, key string")
+    spelled = cut(spelled.filter("key <> ''"))
+    wordings = spelled.groupBy("key").agg(F.sum("n").alias("n"))
+    said = cut(evidence(wordings, book))
+    runs: dict[int, Counter] = {}
+    for r in said.filter("kind = 'run'").collect():  # at most the stretches of each issuer's few core words
+        runs.setdefault(r.issuer, Counter())[tuple(r.said.split(" "))] = r.n
+    akin = akin_words(said, book)
+    issuers = [Issuer(book, k, runs.get(k, Counter()), akin) for k in range(len(rows))]
+    got = wordings.select("key").mapInArrow(_word_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << WORD_BITS, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     for i in issuers:  # the registry's own words count too
         for w in (*i.core, i.ticker, *i.brands):
             counts[_slot(w)] += 1
     sc = names.sparkSession.sparkContext
-    spellings = names.filter(F.col("alias_name").rlike(r"\S")).groupBy("alias_name").agg(F.count("*").alias("n")).repartition(sc.defaultParallelism)  # few bytes, much work
-
-    def runner(shared):
-        def run(batches):
-            import pyarrow as pa
-
-            channel, known = Channel(*shared.value), {}
-            for batch in batches:
-                out = []
-                for name in batch.column(0).to_pylist():
-                    key = " ".join(words_of(name))
-                    if key not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[key] = channel.attribute(key)
-                    out.append(known[key])
+    shared = sc.broadcast((issuers, strangers, counts))
+
+    def run(batches):
+        import pyarrow as pa
+
+        channel = Channel(*shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found = [channel.explained(key) for key in part.column(0).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+                flat = [x for f in found for x in f]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([t for t, _ in out], pa.string()), pa.array([c for _, c in out], pa.float64())],
-                    ["alias_name", "n", "ticker", "cost"],
+                    [part.column(0).take(at), part.column(1).take(at), pa.array([t for t, _ in flat], pa.string()), pa.array([c for _, c in flat], pa.float64())], ["key", "n", "ticker", "cost"]
                 )
 
-        return run
-
-    schema = "alias_name string, n bigint, ticker string, cost double"
-    # Candidate forms: frequent spellings that name an issuer without error give its prior.
-    frequent = spellings.filter("n > 1").mapInArrow(runner(sc.broadcast((issuers, strangers, counts))), schema)
-    shares = {r.ticker.lower(): r.n for r in frequent.filter(F.col("ticker").isNotNull() & (F.col("cost") < TYPO)).groupBy("ticker").agg(F.sum("n").alias("n")).collect()}
-    total = sum(shares.values()) or 1
-    channel = sc.broadcast((issuers, strangers, counts, {t: n / total for t, n in shares.items()}))
-    return spellings.mapInArrow(runner(channel), schema).filter("ticker is not null").select("alias_name", "ticker")
+    # Few bytes and much work: wordings are dealt evenly, each scored once, and what explains them is kept for the posterior.
+    explained = cut(wordings.repartition(4 * sc.defaultParallelism, "key").mapInArrow(run, "key string, n bigint, ticker string, cost double"))
+    forms = explained.filter((F.col("n") > 1) & (F.col("cost") < TYPO)).groupBy("ticker").agg(F.sum("n").alias("forms"))  # at most a row an issuer
+    total = forms.agg(F.sum("forms").alias("total"))
+    prior = forms.select("ticker", (F.col("forms") / F.lit(total.first()[0] or 1)).alias("share"))
+    scored = explained.join(prior, "ticker", "left").withColumn("score", F.col("cost") - PRIOR * F.log(F.coalesce("share", F.lit(0.0)) + UNSEEN))
+    ranked = scored.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "cost", "ticker"))), 1, 2).alias("r"))  # at most a row an issuer in each
+    second = F.when(F.size("r") > 1, F.col("r")[1]["score"] - F.col("r")[0]["score"])
+    best = ranked.filter(~(F.coalesce(second < 0.5, F.lit(False)) & (F.col("r")[0]["cost"] > 2 * TYPO)))  # two issuers as probable: nobody's
+    return spelled.join(best.select("key", F.col("r")[0]["ticker"].alias("ticker")), "key").select("alias_name", "ticker")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

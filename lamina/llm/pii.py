@@ -1,11 +1,10 @@
 """Personal information in free text (problem 10).
 
 A character-level bidirectional LSTM with CRF transitions tags names, email addresses,
-phone numbers, identity numbers and street addresses. Texts are cut into overlapping
-windows, all of which are scored, each character by the window it stands deepest in. Runs of
-neighbouring stretches in which a mention may begin are decoded as one, across windows, and again
-with the next stretch while a mention goes on to their end, so none is cut at an edge. The
-found spans are then set to the exact ends of what they are: the whole number, address or name.
+phone numbers, identity numbers and street addresses. Texts are laid in a row and cut into overlapping
+windows, all of which are scored, each character by the window it stands deepest in. The best
+path is found across windows wherever a mention may lie on it; a bound tells for certain where
+none can, so no mention is cut. The found spans are then set to the exact ends of what they are: the whole number, address or name.
 
 The network has hard gates, so a step costs few operations; it is trained in numpy by
 ``python -m lamina.llm.train_pii`` on spans labelled by patterns and kept as a file.
@@ -28,13 +27,9 @@ from lamina.session import spread
 MODEL = Path(__file__).parent / "models" / "pii.npz"
 KINDS = ("name", "email", "phone", "id", "address")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-STRIDE, MARGIN = 128, 16
+STRIDE, MARGIN = 256, 16
 WINDOW = STRIDE + 2 * MARGIN
-#: Characters of the stretches in which decoding is chosen.
-STRETCH = 32
 HIDDEN = 16
-#: Emission of a mention's beginning over that of none, from which a stretch is decoded.
-LIVE = -4.5
 
 # Characters ------------------------------------------------------------------------------
 
@@ -75,13 +70,14 @@ def char_table() -> np.ndarray:
     return out
 
 
-def lay_out(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts in one string, each from a multiple of STRIDE on and padded by MARGIN or more; its classes; the starts."""
-    sizes = [-(-(len(t) + MARGIN) // STRIDE) * STRIDE for t in texts]
-    whole = "".join(t.ljust(n, "\0") for t, n in zip(texts, sizes))
+def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the texts in a row, each followed by MARGIN of padding, filled up to whole strides; the texts' starts."""
+    whole = ("\0" * MARGIN).join([*texts, ""])
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = np.where(codes < 1 << 16, char_table()[codes & 0xFFFF], 1).astype(np.uint8)
-    return whole, classes, np.cumsum([0, *sizes])
+    classes = np.zeros(-(-len(codes) // STRIDE) * STRIDE, np.uint8)
+    classes[: len(codes)] = np.where(codes < 1 << 16, char_table()[codes & 0xFFFF], 1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + MARGIN
+    return classes, np.cumsum(sizes) - sizes
 
 
 # Network ---------------------------------------------------------------------------------
@@ -190,9 +186,25 @@ def windows(classes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[numbers * STRIDE]
 
 
+def coverable(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Where a mention may lie on the best path through emissions ``e`` (T, TAGS): everywhere else that path has O for certain.
+
+    Mentions side by side that score less than O in their place are on no best path. What they gain is bounded by the
+    beginning, what each further character adds at best by any tag and the best way into it, and the best way out; the
+    greatest bound over all that cover a character is a running maximum from either side.
+    """
+    begin, stay = np.arange(1, TAGS, 2), moves[0, 0]
+    first = (e[:, begin] + (moves[0, begin] - stay)).max(1) - e[:, 0] + float(moves[1:, 0].max() - stay)
+    further = (e[:, 1:] + (moves[1:, 1:].max(0) - stay)).max(1) - e[:, 0]
+    total = np.cumsum(further.astype(np.float64))
+    up_to = total + np.maximum.accumulate(first - total)  # the best that begins at or before and reaches here
+    onward = np.maximum.accumulate(total[::-1])[::-1] - total  # what going on may add
+    return up_to + onward > 0
+
+
 def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of each text, as decoded."""
-    whole, classes, starts = lay_out(texts)
+    classes, starts = lay_out(texts)
     out: list[list] = [[] for _ in texts]
     n = len(classes) // STRIDE
     if not n:
@@ -201,44 +213,27 @@ def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 10
     core = np.empty((n, STRIDE, TAGS), np.float32)
     for a in range(0, n, batch):
         core[a : a + batch] = net.emissions(x[a : a + batch], slice(MARGIN, MARGIN + STRIDE)).transpose(1, 0, 2)
-    core, n = core.reshape(-1, STRETCH, TAGS), n * STRIDE // STRETCH
-    owner = np.searchsorted(starts, np.arange(n) * STRETCH, "right") - 1
-    follows = np.concatenate([[False], owner[1:] == owner[:-1]])  # the stretch goes on with the text of the one before
-    # Where no character can begin a mention nothing is decoded; where one can, that stretch and its neighbours.
-    live = (core[:, :, 1::2].max(2) - core[:, :, 0]).max(1) > LIVE
-    begins = live.copy()
-    live[1:] |= begins[:-1] & follows[1:]
-    live[:-1] |= begins[1:] & follows[1:]
-    told: dict[tuple[int, int], np.ndarray] = {}
-    while True:
-        edge = live & ~(np.concatenate([[False], live[:-1]]) & follows)
-        firsts = np.flatnonzero(edge)
-        over = np.flatnonzero(live & ~np.concatenate([live[1:] & follows[1:], [False]])) + 1
-        runs = list(zip(firsts.tolist(), over.tolist()))
-        new = sorted((r for r in runs if r not in told), key=lambda r: r[1] - r[0])
-        for a in range(0, len(new), 512):
-            group = new[a : a + 512]
-            lengths = np.array([(hi - lo) * STRETCH for lo, hi in group])
-            e = np.zeros((len(group), int(lengths.max()), TAGS), np.float32)
-            for g, (lo, hi) in enumerate(group):
-                e[g, : lengths[g]] = core[lo:hi].reshape(-1, TAGS)
-            for r, size, t in zip(group, lengths, viterbi(e, lengths, moves)):
-                told[r] = t[:size]
-        # A mention that goes on to the end of what was decoded is decoded again with the stretch after it.
-        grown = [hi for lo, hi in runs if told[lo, hi][-1] and hi < n and follows[hi]]
-        if not grown:
-            break
-        live[grown] = True
-    for lo, hi in runs:
-        t, i = told[lo, hi], int(owner[lo])
-        shift = int(lo * STRETCH - starts[i])
-        for s in np.flatnonzero(t % 2 == 1).tolist():
-            end = s + 1
-            while end < len(t) and t[end] == t[s] + 1:
-                end += 1
-            if shift + s < len(texts[i]):
-                out[i].append((KINDS[(t[s] - 1) // 2], shift + s, min(len(texts[i]), shift + end)))
-    return out
+    core = core.reshape(-1, TAGS)
+    edges = np.diff(np.concatenate([[0], coverable(core, moves).view(np.int8), [0]]))
+    # The characters around a stretch have O for certain, so each is decoded by itself from O to O.
+    runs = list(zip(np.maximum(0, np.flatnonzero(edges == 1) - 1).tolist(), np.minimum(len(core), np.flatnonzero(edges == -1) + 1).tolist()))
+    runs.sort(key=lambda r: r[1] - r[0])
+    for a in range(0, len(runs), 512):
+        group = runs[a : a + 512]
+        lengths = np.array([hi - lo for lo, hi in group])
+        e = np.zeros((len(group), int(lengths.max()), TAGS), np.float32)
+        for g, (lo, hi) in enumerate(group):
+            e[g, : hi - lo] = core[lo:hi]
+        for (lo, hi), t in zip(group, viterbi(e, lengths, moves)):
+            for s in np.flatnonzero(t[: hi - lo] % 2 == 1).tolist():
+                end = s + 1
+                while end < hi - lo and t[end] == t[s] + 1:
+                    end += 1
+                i = int(np.searchsorted(starts, lo + s, "right")) - 1
+                first, last = lo + s - int(starts[i]), min(len(texts[i]), lo + end - int(starts[i]))
+                if first < last:
+                    out[i].append((KINDS[(t[s] - 1) // 2], first, last))
+    return [sorted(spans, key=lambda x: x[1]) for spans in out]
 
 
 # Exact ends ------------------------------------------------------------------------------
@@ -337,8 +332,8 @@ def find_mentions(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = [(i, *s) for i, spans in enumerate(mentions_of(texts)) for s in spans]
                 i, kind, start, end = map(list, zip(*rows)) if rows else [[]] * 4
@@ -357,8 +352,8 @@ def redact(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 texts, out = part.column(1).to_pylist(), []
                 for t, spans in zip(texts, mentions_of([t or "" for t in texts])):
                     for kind, a, b in reversed(spans):

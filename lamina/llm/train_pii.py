@@ -51,7 +51,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
 def examples(labelled: list[tuple[str, list]]) -> tuple[np.ndarray, np.ndarray]:
     """Classes and tags of all windows of texts with their spans."""
-    whole, classes, starts = p.lay_out([t for t, _ in labelled])
+    classes, starts = p.lay_out([t for t, _ in labelled])
     y = np.zeros(len(classes), np.uint8)
     for (_, told), start in zip(labelled, starts):
         for kind, a, b in told:

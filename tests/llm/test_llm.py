@@ -380,6 +380,18 @@ def test_decoding_is_the_best_path():
         assert tuple(got[n, : lengths[n]]) == best
 
 
+def test_bounds_lose_no_mention():
+    rng = np.random.default_rng(8)
+    moves = np.where(pii.allowed(), rng.normal(size=(pii.TAGS, pii.TAGS)), -1e4).astype(np.float32)
+    e = rng.normal(size=(4000, pii.TAGS)).astype(np.float32) * 2
+    moves[:, 1::2] -= 4
+    e[:, 0] += 6
+    e[::400, 1:] += 12
+    whole = pii.viterbi(e[None], np.array([len(e)]), moves)[0]
+    free = pii.coverable(e, moves)
+    assert (whole > 0).any() and free[whole > 0].all() and not free.all()
+
+
 def test_gradients():
     from lamina.llm import train_pii
 
