@@ -46,6 +46,8 @@ RARER, SEEN, COMMON = 12.0, 12.0, 2.0
 
 #: Legal forms, and what else stands beside a name without changing who is meant (fixed values).
 LEGAL = frozenset("cong ty co phan cp ctcp ct cty tong nhom c jsc j s corp corporation company limited ltd joint stock group vn hose hnx upcom baocaothuongnien the and va".split())
+#: Those of them that may be mistyped; a word near a mere conjunction is its own.
+FORMS = LEGAL - {"and", "the", "va", "vn"}
 def fold(text: str) -> str:
     text = unicodedata.normalize("NFKD", text.lower().replace("đ", "d").replace("ƣ", "u").replace("ð", "d"))
     return "".join(c for c in text if not unicodedata.combining(c)).replace("ơ", "o").replace("ư", "u")
@@ -327,11 +329,11 @@ class Channel:
                 best = min(best, fee + c)
         if best < STRANGER:
             return best, True
-        near = [x for x in LEGAL if len(x) > 1 and edits(w, x) == 1 or edits(keystrokes(w), x) == 1 and len(x) > 2]
+        near = [x for x in FORMS if len(x) > 1 and edits(w, x) == 1 or edits(keystrokes(w), x) == 1 and len(x) > 2]
         typo = LEGAL_TYPO + min((self.own_word(w, x) for x in near), default=STRANGER)
         if typo < STRANGER:
             return typo, False
-        return (2 * LEGAL_TYPO if any(len(x) > 6 and edits(w, x) == 2 for x in LEGAL) else STRANGER), False
+        return (2 * LEGAL_TYPO if any(len(x) > 6 and edits(w, x) == 2 for x in FORMS) else STRANGER), False
 
     def cost(self, words: list[str], issuer: Issuer) -> float:
         best = math.inf

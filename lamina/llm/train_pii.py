@@ -210,7 +210,7 @@ def main(path: str, minutes: float = 5.0, further: float = 0, out=p.MODEL) -> No
     held, used = texts[::10], [t for i, t in enumerate(texts) if i % 10]
     rng = np.random.default_rng(1)
     texts = used + moved_emails(used, rng)
-    x, y = examples([(t, spans(t)) for t in texts] + [varied(t, rng) for t in texts if spans(t)] + introduced(used, rng))
+    x, y = examples([(t, spans(t)) for t in texts] + [varied(t, rng) for t in texts if spans(t)] + [varied(t, rng) for t in moved_emails(used, rng, 4000)] + introduced(used, rng))
     # Windows without a mention teach less: keep a third of them.
     keep = (y > 0).any(1) | (rng.random(len(y)) < 0.33)
     x, y = x[keep], y[keep]
