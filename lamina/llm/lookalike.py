@@ -28,21 +28,31 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιρυκ", "ABEZHIKMNOPTYXovip
 ARMENIAN = dict(zip("օսոհցՕՍ", "ounhgOU"))
 LATIN = dict(zip("ƢƣƉÐɑɡʋɩ", "ƯưĐĐagvi"))
 ALIKE = CYRILLIC | GREEK | ARMENIAN | LATIN
-INVISIBLE = "­᠎​‌‍‎‏⁠﻿"
+INVISIBLE = "­᠎​‌‍‎‏⁠﻿\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 SPACES = "   -   　"
 FULL_WIDTH = "０-９Ａ-Ｚａ-ｚ"
-MARKS = "̀-ͯ"
+MARKS = "\u0300-\u036f\u3099\u309a"
+#: Parts of Korean syllables (leading consonants, vowels, trailing consonants), and letters in the styles of mathematics.
+JAMO, STYLED = "\u1100-\u1112\u1161-\u1175\u11a8-\u11c2", "\U0001d400-\U0001d7ff"
+LAST = 0x30000
+
+
+@lru_cache(1)
+def singletons() -> str:
+    """Letters that canonical composition replaces by another one (Kelvin and Angstrom signs, compatibility ideographs)."""
+    return "".join(c for c in map(chr, range(0x80, LAST)) if unicodedata.category(c) in ("Lu", "Ll", "Lo") and unicodedata.normalize("NFC", c) != c and len(unicodedata.normalize("NFC", c)) == 1 and unicodedata.normalize("NFC", c) != "\u03a9")
+
 
 WORD_CHARS = f"[{INVISIBLE}{FULL_WIDTH}{MARKS}{''.join(ALIKE)}]"
 _word = re.compile(f"[\\w{MARKS}{INVISIBLE}]+|[{SPACES}]")
-_odd = re.compile(f"[{SPACES}{INVISIBLE}{FULL_WIDTH}{MARKS}{''.join(ALIKE)}]")
+_odd = re.compile(f"[{SPACES}{INVISIBLE}{FULL_WIDTH}{MARKS}{JAMO}{STYLED}{''.join(ALIKE)}{singletons()}]")
 
 
 @lru_cache(1)
 def unusual_codes() -> np.ndarray:
-    """Whether each character below 2**16 is one that the tables change."""
-    out = np.zeros(1 << 16, bool)
-    for c in range(0x80, 1 << 16):
+    """Whether each character below LAST is one that the tables change; none beyond is."""
+    out = np.zeros(LAST + 1, bool)
+    for c in range(0x80, LAST):
         out[c] = bool(_odd.match(chr(c)))
     return out
 
@@ -51,12 +61,22 @@ def unusual_codes() -> np.ndarray:
 def decompositions() -> list[tuple[str, int, str, int, str]]:
     """(character, k, k-th character it stands for, that one's combining class, kind), by Unicode's own rules.
 
-    Kinds: canon, full (full width), mark, hidden, alike:<script>. As many rows as Unicode has such letters.
+    Kinds: canon, full (full width), styled (in a style of mathematics), single (replaced by composition), mark, jamo,
+    hidden, alike:<script>. As many rows as Unicode has such letters.
     """
-    rows = []
-    for c in range(0x80, 0x10000):
+    rows, jamo, alone = [], re.compile(f"[{JAMO}]"), set(singletons())
+    for c in range(0x80, LAST):
         ch = chr(c)
         kind = "canon"
+        if ch in alone:
+            rows.append((ch, 0, unicodedata.normalize("NFC", ch), 0, "single"))
+            continue
+        if 0x1D400 <= c < 0x1D800 and unicodedata.category(ch) in ("Lu", "Ll", "Nd") and unicodedata.normalize("NFKC", ch).isascii():
+            rows.append((ch, 0, unicodedata.normalize("NFKC", ch), 0, "styled"))
+            continue
+        if jamo.match(ch):
+            rows.append((ch, 0, ch, 0, "jamo"))
+            continue
         if ch in INVISIBLE:
             rows.append((ch, 0, "", 0, "hidden"))
             continue
@@ -67,7 +87,7 @@ def decompositions() -> list[tuple[str, int, str, int, str]]:
         if 0xFF10 <= c <= 0xFF5A and unicodedata.category(ch) in ("Lu", "Ll", "Nd"):
             rows.append((ch, 0, unicodedata.normalize("NFKC", ch), 0, "full"))
             continue
-        if unicodedata.combining(ch) and 0x300 <= c <= 0x36F:
+        if unicodedata.combining(ch) and (0x300 <= c <= 0x36F or c in (0x3099, 0x309A)):
             kind = "mark"
         parts = unicodedata.normalize("NFD", ch)
         if kind == "mark" or (len(parts) > 1 and not 0xAC00 <= c <= 0xD7A3):
@@ -79,7 +99,7 @@ def decompositions() -> list[tuple[str, int, str, int, str]]:
 def compositions() -> str:
     """JSON of (letter + mark) -> composed letter, for all that Unicode composes."""
     out = {}
-    for c in range(0xC0, 0x2000):
+    for c in range(0xC0, 0x3100):
         parts = unicodedata.decomposition(chr(c))
         if parts and "<" not in parts and " " in parts and unicodedata.normalize("NFC", chr(c)) == chr(c):
             out["".join(chr(int(x, 16)) for x in parts.split())] = chr(c)
@@ -92,11 +112,18 @@ def recompose(parts: Column) -> Column:
     empty = F.struct(F.lit("").alias("done"), F.lit("").alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("ccc"))
 
     def step(acc, x):
+        # A leading consonant and a vowel make a Korean syllable, a trailing consonant completes it: by arithmetic, as Unicode has it.
+        a, b = F.ascii(acc["letter"]), F.ascii(x["out"])
+        pair = (acc["rest"] == "") & a.between(0x1100, 0x1112) & b.between(0x1161, 0x1175)
+        third = (acc["rest"] == "") & a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(0x11A8, 0x11C2)
+        code = F.when(pair, F.lit(0xAC00) + ((a - 0x1100) * 21 + (b - 0x1161)) * 28).when(third, a + (b - 0x11A7))
+        syllable = F.decode(F.unhex(F.hex(code.cast("long"))), "UTF-16BE")
+        built = F.struct(acc["done"].alias("done"), syllable.alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("ccc"))
         joined = F.when((acc["rest"] == "") | (acc["ccc"] < x["ccc"]), F.element_at(table, F.concat(acc["letter"], x["out"])))
         started = F.struct(F.concat(acc["done"], acc["letter"], acc["rest"]).alias("done"), x["out"].alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("ccc"))
         grown = F.struct(acc["done"].alias("done"), joined.alias("letter"), acc["rest"].alias("rest"), acc["ccc"].alias("ccc"))
         kept = F.struct(acc["done"].alias("done"), acc["letter"].alias("letter"), F.concat(acc["rest"], x["out"]).alias("rest"), x["ccc"].alias("ccc"))
-        return F.when(x["ccc"] == 0, started).when(joined.isNotNull(), grown).otherwise(kept)
+        return F.when(pair | third, built).when(x["ccc"] == 0, started).when(joined.isNotNull(), grown).otherwise(kept)
 
     return F.aggregate(parts, empty, step, lambda a: F.concat(a["done"], a["letter"], a["rest"]))
 
@@ -115,8 +142,9 @@ def one_form(words: DataFrame) -> DataFrame:
     grouped = points.groupBy("word").agg(
         F.sort_array(F.collect_list(part)).alias("parts"),
         F.max(latin).alias("latin"), F.max(other).alias("other"),
-        F.max(F.coalesce(F.col("why") == "full", F.lit(False))).alias("full"),
-        F.max(F.coalesce(F.col("why") == "mark", F.lit(False))).alias("mark"),
+        F.max(F.coalesce(F.col("why").isin("full", "single"), F.lit(False))).alias("full"),
+        F.max(F.coalesce(F.col("why") == "styled", F.lit(False))).alias("styled"),
+        F.max(F.coalesce(F.col("why").isin("mark", "jamo"), F.lit(False))).alias("mark"),
         F.max(F.coalesce(F.col("why") == "alike:LATIN", F.lit(False))).alias("rare"),
         F.max(F.when(F.col("why").startswith("alike:") & (F.col("why") != "alike:LATIN"), script)).alias("script"),
     )
@@ -137,7 +165,7 @@ def one_form(words: DataFrame) -> DataFrame:
     bare = F.regexp_replace("word", f"[{INVISIBLE}]", "")
     inside = F.regexp_replace("word", f"^[{INVISIBLE}]+|[{INVISIBLE}]+$", "").rlike(f"[{INVISIBLE}]") & ~F.col("word").rlike(r"[\p{IsArabic}\p{IsDevanagari}\p{IsBengali}\p{IsTamil}\p{IsMalayalam}\p{IsKhmer}]")
     composed = F.col("mark") & (F.length("fixed") < F.length(bare))
-    sure = F.col("full") | inside | composed | F.col("rare") | (F.col("script").isNotNull() & F.col("latin") & ~F.col("other"))
+    sure = F.col("full") | (F.col("styled") & (F.length("word") > 1)) | inside | composed | F.col("rare") | (F.col("script").isNotNull() & F.col("latin") & ~F.col("other"))
     whole = F.col("script").isNotNull() & ~F.col("other") & ~F.col("latin")
     kind = F.when(sure, "sure").when(whole, F.col("script"))
     return done.select("word", "fixed", kind.alias("kind"))
@@ -147,17 +175,17 @@ def cut_words(text: str) -> list[str]:
     """The text in pieces, its unusual words and spaces at the odd places."""
     out, at = [], 0
     for m in _word.finditer(text):
-        if _odd.search(m[0]) and max(m[0]) < "\U00010000":
+        if _odd.search(m[0]):
             out += [text[at : m.start()], m[0]]
             at = m.end()
     out.append(text[at:])
     return out
 
 
-def cut_unusual(rows: DataFrame, model: garbled.PairModel | None, every: bool = False) -> DataFrame:
-    """(key, pieces) of the rows (key, text) with unusual characters, or with ``every`` of all rows.
+def cut_unusual(rows: DataFrame, model: garbled.PairModel | None, usual: bool = False) -> DataFrame:
+    """(key, pieces) of the rows (key, text) with unusual characters, or with ``usual`` of all the others, whole.
 
-    Sentences that problem 1 finds garbled by ``model`` are left out, or with ``every`` left whole.
+    Sentences that problem 1 finds garbled by ``model`` count as usual.
     """
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast((model.pairs, model.chars, model.total)) if model else None
@@ -173,7 +201,7 @@ def cut_unusual(rows: DataFrame, model: garbled.PairModel | None, every: bool =
             cut = {}
             if live:
                 codes, starts = garbled.codes_of([texts[i] for i in live])
-                odd = np.concatenate([[0], np.cumsum(table[codes & 0xFFFF] & (codes < 0x10000))])
+                odd = np.concatenate([[0], np.cumsum(table[np.minimum(codes, LAST)])])
                 ends = np.append(starts[1:] - 1, len(codes))
                 picked = [live[i] for i in np.flatnonzero(odd[ends] > odd[starts])]
                 if own and picked:
@@ -184,7 +212,7 @@ def cut_unusual(rows: DataFrame, model: garbled.PairModel | None, every: bool =
                         wrong = {i for i, h in zip(checked, hot) if h and garbled.restore_text(own, texts[i])[1]}
                         picked = [i for i in picked if i not in wrong]
                 cut = {i: cut_words(texts[i]) for i in picked}
-            at = list(range(len(texts))) if every else sorted(cut)
+            at = [i for i in range(len(texts)) if i not in cut] if usual else sorted(cut)
             out = [cut.get(i, None if texts[i] is None else [texts[i]]) for i in at]
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.string()))], ["key", "pieces"])
 
@@ -213,11 +241,13 @@ def unusual_rows(rows: DataFrame, model: garbled.PairModel | None = None) -> Dat
 
 
 def normalized(rows: DataFrame, model: garbled.PairModel | None = None) -> DataFrame:
-    """All rows (key, text) with the text in one form."""
-    cut = cut_unusual(rows, model, every=True)
-    fixes = judged(cut_unusual(rows, model)).filter("case").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("fixes"))
+    """All rows (key, text) with the text in one form. Texts without unusual characters pass by as they are read;
+    only those with some meet their words' other forms."""
+    cut = cut_unusual(rows, model)
+    fixes = judged(cut).filter("case").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("fixes"))
     pieces = F.transform("pieces", lambda p, i: F.coalesce(F.col("fixes")[i], p))
-    return cut.join(fixes, "key", "left").select("key", F.when(F.col("fixes").isNull(), F.array_join("pieces", "")).otherwise(F.array_join(pieces, "")).alias("text"))
+    changed = cut.join(fixes, "key", "left").select("key", F.when(F.col("fixes").isNull(), F.array_join("pieces", "")).otherwise(F.array_join(pieces, "")).alias("text"))
+    return cut_unusual(rows, model, usual=True).select("key", F.col("pieces")[0].alias("text")).unionByName(changed)
 
 
 def _key(name: str, column: str) -> Column:

@@ -35,6 +35,8 @@ WORD_BITS = 18
 TYPO, INITIAL, BARE, KEYS, LEGAL_TYPO, AKIN = 3.0, 1.5, 1.0, 0.7, 1.5, 0.3
 #: Weight of the prior, and the share that an issuer without a frequent spelling counts with.
 PRIOR, UNSEEN = 0.2, 0.002
+#: Words of more letters are compared with such marks one by one, as they leave too many parts.
+LONG = 30
 #: Words go together where so many issuers have both, so great a share of those with the first, and so much more often than by
 #: chance (in reviewed names, in any names); or where two have both and hardly another has either.
 TOGETHER, SHARE, LIFT = 3, 0.3, (3.0, 4.0)
@@ -240,8 +242,9 @@ class Channel:
         # Marks by what is left of them without some letters: a word within two edits leaves the same.
         self.left: dict[str, set[str]] = {}
         for m in self.marks:
-            for x in without_letters(m, 2 if len(m) > 5 else 1):
+            for x in without_letters(m, 2 if len(m) > 5 else 1) if len(m) <= LONG else ():
                 self.left.setdefault(x, set()).add(m)
+        self.long = [m for m in self.marks if len(m) > LONG]
         self._near: dict[str, set[int]] = {}
         self._letters: dict[tuple[str, str], float | None] = {}
 
@@ -252,9 +255,9 @@ class Channel:
                 self._near.clear()
             found = set()
             for typed, certain in ((word, True), (keystrokes(word), False)):
-                if len(typed) > 40:
-                    continue  # longer than any mark by more than an edit
-                for m in set().union(*(self.left.get(x, ()) for x in without_letters(typed, 2 if len(typed) > 3 else 1))):
+                left = without_letters(typed, 2 if len(typed) > 3 else 1) if len(typed) <= LONG + 2 else ()
+                long = [m for m in self.long if abs(len(m) - len(typed)) <= 2] if len(typed) >= LONG - 1 else []
+                for m in set(long).union(*(self.left.get(x, ()) for x in left)):
                     if edits(typed, m) <= ((2 if len(m) > 5 else 1) if certain else 1):
                         found |= self.marks[m]
             self._near[word] = found

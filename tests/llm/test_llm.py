@@ -118,6 +118,8 @@ def test_one_form(spark):
     cases = {
         "ＡＢ１２": ("AB12", True), unicodedata.normalize("NFD", "Nguyễn Ướt ế"): ("Nguyễn Ướt ế", True), "so​ng": ("song", True), "a b": ("a b", True), "сао cao": ("cao cao".replace("c", "c", 1), True),
         "thƣờng Ɖội": ("thường Đội", True), "Завод Рудник": ("Завод Рудник", False), "Ελαία ΔT": ("Ελαία ΔT", False), "👩‍🌾 x² H₂O ！": ("👩‍🌾 x² H₂O ！", False), "q̣x": ("q̣x", False), "CΟ₂ νa": ("CO₂ va", True), "": ("", False),
+        "ａ\U0001d401c": ("aBc", True), "x \U0001d465 y": ("x \U0001d465 y", False), unicodedata.normalize("NFD", "한국 공장"): ("한국 공장", True), "か\u3099ん": ("がん", True), "5 \u212a": ("5 K", True),
+        "a\u202eb": ("ab", True), "\U00020000ａ": ("\U00020000a", True), "\u2126": ("\u2126", False), "한국": ("한국", False),
     }
     rows = spark.createDataFrame([((("articles", i), t)) for i, t in enumerate(cases)] + [(("articles", 99), None)], "key struct<source_table:string,row_id:int>, text string")
     found = {r.key.row_id for r in lookalike.unusual_rows(rows).collect()}
