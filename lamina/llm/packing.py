@@ -186,3 +186,18 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("n").alias("n")).join(specs.select("spec_id", "capacity_tokens"), "spec_id").select(
         "spec_id", "containers", F.ceil(F.col("n") / F.col("capacity_tokens")).alias("least"), F.round(F.col("n") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("mean_fill")
     )
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What a packing must keep, for each kind of container: documents packed, and how many containers are overfull,
+    documents split that fit in one, and documents whose parts don't add up to their size."""
+    docs, specs = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/pack_specs.parquet").select("spec_id", "capacity_tokens")
+    sizes = cut(token_sizes(docs))
+    packed = cut(pack_documents(sizes, specs))
+    over = packed.filter("container_id is not null").groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(specs, "spec_id").groupBy("spec_id").agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("int")).alias("overfull"))
+    whole = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.sum((F.col("part") == 0).cast("int")).alias("times"), F.max("part").alias("parts"))
+    j = whole.join(sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")), "doc_id").join(specs, "spec_id")
+    kept = j.groupBy("spec_id").agg(
+        F.sum("times").alias("documents"), F.sum(((F.col("parts") > 0) & (F.col("most") <= F.col("capacity_tokens"))).cast("int")).alias("split_in_vain"), F.sum((F.col("got") != F.col("n")).cast("int")).alias("lost")
+    )
+    return kept.join(over, "spec_id", "left").select("spec_id", "documents", F.coalesce("overfull", F.lit(0)).cast("int").alias("overfull"), F.col("split_in_vain").cast("int"), F.col("lost").cast("int"))

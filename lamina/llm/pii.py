@@ -2,9 +2,9 @@
 
 A character-level bidirectional LSTM with CRF transitions tags names, email addresses,
 phone numbers, identity numbers and street addresses. Texts are laid in a row and cut into overlapping
-windows, all of which are scored, each character by the window it stands deepest in. The best
-path is found across windows wherever a mention may lie on it; a bound tells for certain where
-none can, so no mention is cut. The found spans are then set to the exact ends of what they are: the whole number, address or name.
+windows, all of which are scored, each character by the window it stands deepest in. Overlapping
+windows are then decoded; each gives the mentions that begin in it, and is decoded farther while
+one goes on to its end, so no mention is cut. The found spans are then set to the exact ends of what they are: the whole number, address or name.
 
 The network has hard gates, so a step costs few operations; it is trained in numpy by
 ``python -m lamina.llm.train_pii`` on spans labelled by patterns and kept as a file.
@@ -30,6 +30,9 @@ TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 STRIDE, MARGIN = 256, 16
 WINDOW = STRIDE + 2 * MARGIN
 HIDDEN = 16
+#: Characters of a window that is decoded, and those looked at on either side.
+BLOCK, REACH = 256, 64
+_outside = np.array([[0.0] + [-30.0] * (TAGS - 1)], np.float32)
 
 # Characters ------------------------------------------------------------------------------
 
@@ -83,6 +86,10 @@ def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 # Network ---------------------------------------------------------------------------------
 
 
+#: The ufunc behind np.clip, whose wrapper costs as much as a short pass.
+_clip = getattr(getattr(np, "_core", None), "umath", np).clip
+
+
 class Network:
     """Per direction: gate inputs by character class (CLASSES, 4H), recurrence (H, 4H); then emissions and transitions."""
 
@@ -96,19 +103,18 @@ class Network:
         h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
         out = np.empty((t_max, n, size), np.float32)
         g, given = np.empty((4, n, size), np.float32), np.empty((4, n, size), np.float32)
-        gates, new = g[:3], g[3]
+        gates, new, zero, one = g[:3], g[3], np.float32(0), np.float32(1)
         for t in range(t_max):
-            for k in range(4):
-                np.matmul(h, recur[k], out=g[k])
-                np.take(inputs[k], x[t], axis=0, out=given[k], mode="clip")
+            np.matmul(h, recur, out=g)
+            np.take(inputs, x[t], axis=1, out=given, mode="clip")
             g += given
-            np.clip(gates, 0.0, 1.0, out=gates)
-            np.clip(new, -1.0, 1.0, out=new)
+            _clip(gates, zero, one, out=gates)
+            _clip(new, -one, one, out=new)
             new *= g[0]
             c *= g[1]
             c += new
             h = out[t]
-            np.clip(c, -1.0, 1.0, out=h)
+            _clip(c, -one, one, out=h)
             h *= g[2]
         return out
 
@@ -145,7 +151,7 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
     begin, inside = np.r_[0, 1:k:2], np.arange(2, k, 2)  # O and B follow any tag, I only B and I of its kind
     into = moves[:, begin][:, :, None]
     stay, enter = moves[inside, inside][:, None], moves[inside - 1, inside][:, None]
-    scores = np.empty((t_max, k, n), np.float32)
+    scores, least = np.empty((t_max, k, n), np.float32), int(lengths.min(initial=t_max))
     scores[0] = e[0]
     scores[0, inside] = -1e4
     for t in range(1, t_max):
@@ -153,8 +159,8 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
         now[begin] = (before[:, None, :] + into).max(0)
         now[inside] = np.maximum(before[inside] + stay, before[inside - 1] + enter)
         now += e[t]
-        over = lengths <= t
-        if over.any():
+        if t >= least:
+            over = lengths <= t
             now[:, over] = before[:, over]
     tags = np.zeros((n, t_max), np.uint8)
     at = scores[-1].argmax(0)
@@ -186,22 +192,6 @@ def windows(classes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[numbers * STRIDE]
 
 
-def coverable(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Where a mention may lie on the best path through emissions ``e`` (T, TAGS): everywhere else that path has O for certain.
-
-    Mentions side by side that score less than O in their place are on no best path. What they gain is bounded by the
-    beginning, what each further character adds at best by any tag and the best way into it, and the best way out; the
-    greatest bound over all that cover a character is a running maximum from either side.
-    """
-    begin, stay = np.arange(1, TAGS, 2), moves[0, 0]
-    first = (e[:, begin] + (moves[0, begin] - stay)).max(1) - e[:, 0] + float(moves[1:, 0].max() - stay)
-    further = (e[:, 1:] + (moves[1:, 1:].max(0) - stay)).max(1) - e[:, 0]
-    total = np.cumsum(further.astype(np.float64))
-    up_to = total + np.maximum.accumulate(first - total)  # the best that begins at or before and reaches here
-    onward = np.maximum.accumulate(total[::-1])[::-1] - total  # what going on may add
-    return up_to + onward > 0
-
-
 def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of each text, as decoded."""
     classes, starts = lay_out(texts)
@@ -214,25 +204,33 @@ def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 10
     for a in range(0, n, batch):
         core[a : a + batch] = net.emissions(x[a : a + batch], slice(MARGIN, MARGIN + STRIDE)).transpose(1, 0, 2)
     core = core.reshape(-1, TAGS)
-    edges = np.diff(np.concatenate([[0], coverable(core, moves).view(np.int8), [0]]))
-    # The characters around a stretch have O for certain, so each is decoded by itself from O to O.
-    runs = list(zip(np.maximum(0, np.flatnonzero(edges == 1) - 1).tolist(), np.minimum(len(core), np.flatnonzero(edges == -1) + 1).tolist()))
-    runs.sort(key=lambda r: r[1] - r[0])
-    for a in range(0, len(runs), 512):
-        group = runs[a : a + 512]
-        lengths = np.array([hi - lo for lo, hi in group])
-        e = np.zeros((len(group), int(lengths.max()), TAGS), np.float32)
-        for g, (lo, hi) in enumerate(group):
-            e[g, : hi - lo] = core[lo:hi]
-        for (lo, hi), t in zip(group, viterbi(e, lengths, moves)):
-            for s in np.flatnonzero(t[: hi - lo] % 2 == 1).tolist():
-                end = s + 1
-                while end < hi - lo and t[end] == t[s] + 1:
-                    end += 1
-                i = int(np.searchsorted(starts, lo + s, "right")) - 1
-                first, last = lo + s - int(starts[i]), min(len(texts[i]), lo + end - int(starts[i]))
-                if first < last:
-                    out[i].append((KINDS[(t[s] - 1) // 2], first, last))
+    # Windows of BLOCK characters are decoded with REACH on either side; each gives the mentions that begin in it. One that goes
+    # on to the end of what was decoded is decoded again with twice as much after it.
+    padded = np.concatenate([core[:0], np.tile(_outside, (REACH, 1)), core, np.tile(_outside, (BLOCK + REACH, 1))])
+    todo, size = list(range(0, len(core), BLOCK)), BLOCK + 2 * REACH
+    while todo:
+        longer = []
+        for a in range(0, len(todo), 512):
+            part = np.asarray(todo[a : a + 512])
+            e = padded[np.minimum(part[:, None] + np.arange(size), len(padded) - 1)]
+            for at, t in zip(part.tolist(), viterbi(e, np.full(len(part), size), moves)):
+                begins = REACH + np.flatnonzero(t[REACH : REACH + BLOCK] % 2 == 1)
+                ends = [int(x) for x in begins]
+                for k, s in enumerate(begins.tolist()):
+                    end = s + 1
+                    while end < size and t[end] == t[s] + 1:
+                        end += 1
+                    ends[k] = end
+                if ends and ends[-1] == size and at - REACH + size < len(core):
+                    longer.append(at)
+                    continue
+                for s, end in zip(begins.tolist(), ends):
+                    first = at - REACH + s
+                    i = int(np.searchsorted(starts, first, "right")) - 1
+                    first, last = first - int(starts[i]), min(len(texts[i]), at - REACH + end - int(starts[i]))
+                    if first < last:
+                        out[i].append((KINDS[(t[s] - 1) // 2], first, last))
+        todo, size = longer, 2 * size
     return [sorted(spans, key=lambda x: x[1]) for spans in out]
 
 

@@ -298,3 +298,19 @@ def encode_documents(docs: DataFrame, path: str = TOKENIZERS, name: str = TOKENI
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's ids decoded again: the round trip gives the text itself, null for null."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    vocab = spark.sparkContext.broadcast(vocabulary())
+
+    def run(batches):
+        import pyarrow as pa
+
+        decode = _encoding(vocab.value).decode
+        for batch in batches:
+            for part in _sliced([batch]):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if i is None else decode(i) for i in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return encode_documents(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
