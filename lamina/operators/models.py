@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,15 +36,26 @@ def keyword_logits(texts: list[str]) -> np.ndarray:
     return out
 
 
-def extract(pages: DataFrame, extractor: Callable[[str], list[dict]], schema: str) -> DataFrame:
-    """An extractor over pages (key, text): its rows with the key; a failing page gives a row with its error."""
+def attempts(call: Callable, given, tries: int, wait: float = 0.0):
+    """The call's answer, tried again after an error, with a wait that grows each time; the last error is raised."""
+    for k in range(tries):
+        try:
+            return call(given)
+        except Exception:
+            if k + 1 == tries:
+                raise
+            time.sleep(wait * (k + 1))
+
+
+def extract(pages: DataFrame, extractor: Callable[[str], list[dict]], schema: str, tries: int = 2) -> DataFrame:
+    """An extractor over pages (key, text): its rows with the key; a page that fails every time gives a row with its error."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["key"], pdf["text"]):
                 try:
-                    rows += [{"key": key, **r, "error": None} for r in extractor(text or "")]
+                    rows += [{"key": key, **r, "error": None} for r in attempts(extractor, text or "", tries)]
                 except Exception as e:  # the page is retried on the next run
                     rows.append({"key": key, "error": str(e)[:200]})
             yield pd.DataFrame(rows, columns=names)
@@ -53,29 +65,45 @@ def extract(pages: DataFrame, extractor: Callable[[str], list[dict]], schema: st
     return pages.select("key", "text").mapInPandas(run, f"key {dict(pages.dtypes)['key']}, {schema}, error string")
 
 
-def embed(texts: Column, size: int = 64) -> Column:
-    """A stand-in embedding: hashed character trigrams, of length one; zero for an empty text."""
+def trigram_vectors(texts: list[str], size: int = 64) -> list[np.ndarray]:
+    """A stand-in embedder: hashed character trigrams, of length one; zero for an empty text."""
+    import zlib
+
+    out = []
+    for t in texts:
+        v = np.zeros(size, np.float32)
+        for i in range(len(t) - 2):
+            v[zlib.crc32(t[i : i + 3].encode()) % size] += 1
+        out.append(v / max(1e-9, float(np.linalg.norm(v))))
+    return out
+
+
+def embed(texts: Column, size: int = 64, embedder: Callable[[list[str], int], list] = trigram_vectors, batch: int = 100, tries: int = 4) -> Column:
+    """Vectors of texts in batches, each tried again after an error; a batch that fails every time gives zero vectors."""
 
     @F.pandas_udf("array<float>")
-    def run(batch: pd.Series) -> pd.Series:
-        import zlib
-
-        out = []
-        for t in batch.fillna(""):
-            v = np.zeros(size, np.float32)
-            for i in range(len(t) - 2):
-                v[zlib.crc32(t[i : i + 3].encode()) % size] += 1
-            out.append(v / max(1e-9, float(np.linalg.norm(v))))
+    def run(given: pd.Series) -> pd.Series:
+        out, told = [], given.fillna("").tolist()
+        for a in range(0, len(told), batch):
+            part = told[a : a + batch]
+            try:
+                out += list(attempts(lambda p: embedder(p, size), part, tries))
+            except Exception:  # what can't be embedded is like nothing
+                out += [np.zeros(size, np.float32)] * len(part)
         return pd.Series(out)
 
     return run(texts)
 
 
-def adjudicate(pairs: list[tuple[float, int, int]], same: Callable[[int, int], bool], budget: int) -> list[tuple[int, int]]:
-    """Pairs by falling similarity, asked about until the budget is spent; a pair that earlier merges joined costs nothing.
+def adjudicate_pairs(pairs: DataFrame, same: Callable[[int, int], bool], budget: int) -> list[tuple[int, int]]:
+    """``adjudicate`` over a table of pairs (cosine, a, b), streamed to the driver in order, a part at a time, until the budget is spent."""
+    head = pairs.orderBy(F.desc("cosine"), "a", "b").select("cosine", "a", "b")
+    return adjudicate(((float(r[0]), int(r[1]), int(r[2])) for r in head.toLocalIterator()), same, budget)
+
 
-    ``pairs`` is bounded by the caller: it is the sorted head of the candidates.
-    """
+def adjudicate(pairs: Iterable[tuple[float, int, int]], same: Callable[[int, int], bool], budget: int) -> list[tuple[int, int]]:
+    """``pairs`` by falling similarity, asked about until the budget is spent; a pair that earlier merges joined costs
+    nothing. A judge that fails says no. Pairs are taken one by one, and merges alone are kept."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -85,13 +113,17 @@ def adjudicate(pairs: list[tuple[float, int, int]], same: Callable[[int, int], b
         return x
 
     out = []
-    for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+    for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])) if isinstance(pairs, list) else pairs:
         if find(a) == find(b):
             continue
         if budget <= 0:
             break
         budget -= 1
-        if same(a, b):
+        try:
+            agreed = same(a, b)
+        except Exception:
+            agreed = False
+        if agreed:
             root[max(find(a), find(b))] = min(find(a), find(b))
             out.append((a, b))
     return out

@@ -4,52 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.functions import text as t
+from lamina.functions import definitions, text as t
 from lamina.operators import history
 from lamina.plans import graphs
 from lamina.sources.tables import table
 
-#: Indicator definitions of two documents: id, name as printed, pillar, document (fixed values).
-DEFINITIONS = [
-    ("TT-6.1.1", "Báo cáo tổng lượng phát thải khí nhà kính / Report total greenhouse gas emissions", "Environmental", "Circular - Section 6"), ("TT-6.1.2", "Báo cáo các sáng kiến giảm phát thải / Initiatives to reduce emissions", "Environmental", "Circular - Section 6"),
-    ("TT-6.4.1", "Tổng lượng nước sử dụng / Total water used", "Environmental", "Circular - Section 6"), ("TT-6.6.1", "Số lượng lao động, mức lương trung bình", "Social", "Circular - Section 6"),
-    ("GD-1", "Chỉ tiêu lao động", "Social", "Guide - Annex"), ("GD-2", "Quản trị công ty / Corporate governance", "Governance", "Guide - Annex"),
-]
-#: What a second source adds to each definition (fixed values).
-ENRICHED = [("TT-6.1.1", "tCO2e of scopes 1 and 2"), ("TT-6.1.2", "Báo cáo các sáng kiến giảm phát thải / Initiatives to reduce emissions"), ("TT-6.4.1", "m3 by source"), ("GD-1", "Chỉ tiêu lao động"), ("GD-9", "not defined")]
+#: Pillars by the letter of a definition's number (fixed values).
+PILLARS = {"E": "Môi trường", "S": "Xã hội", "G": "Quản trị"}
 
 
-def _values(name: str, columns: str, rows) -> str:
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows) + ")"
+def definitions_of(spark, folder):
+    """(id, pillar, definition, document, doc_id) told by the documents that define indicators: a number, a colon, a sentence."""
+    d = table(spark, folder, "documents").filter("doc_type = 'kpi_definition'")
+    pattern = r"(?s)^\s*(KX-([A-Z])\.\d+):\s*([^.\n]*)"
+    told = d.select(*[F.regexp_extract("text", pattern, k).alias(n) for k, n in ((1, "id"), (2, "letter"), (3, "definition"))], F.coalesce("source", F.lit("")).alias("document"), "doc_id").filter("id <> ''")
+    pillar = F.coalesce(*[F.when(F.col("letter") == k, v) for k, v in PILLARS.items()], F.lit(""))
+    return told.select("id", pillar.alias("pillar"), definitions.fixed(F.concat(F.lit("Báo cáo "), F.col("definition"))).alias("definition"), "document", "doc_id")
+
+
+def kpi_vocabulary(spark, folder):
+    """Each indicator's first definition, its name, and whether its number is used again."""
+    d = definitions_of(spark, folder)
+    first = d.groupBy("id").agg(F.min_by(F.struct("pillar", "definition"), "doc_id").alias("f"), F.count("*").alias("n"))
+    return first.select("id", "f.pillar", F.md5(definitions.label_name(F.col("f.definition"))).alias("name"), (F.col("n") > 1).alias("again"))
+
+
+_DEFINED = r"""d AS (SELECT doc_id, regexp_extract(text, '^\s*(KX-[A-Z]\.[0-9]+):\s*([^.\n]*)', 1) AS id, CASE regexp_extract(text, '^\s*KX-([A-Z])\.[0-9]+:', 1) WHEN 'E' THEN 'Môi trường' WHEN 'S' THEN 'Xã hội' WHEN 'G' THEN 'Quản trị' ELSE '' END AS pillar,
+  regexp_replace(regexp_extract(text, '^\s*(KX-[A-Z]\.[0-9]+):\s*([^.\n]*)', 2), '[\s\p{Z}]+$', '') AS s, coalesce(source, '') AS document FROM documents WHERE doc_type = 'kpi_definition' AND regexp_matches(text, '^\s*KX-[A-Z]\.[0-9]+:'))"""
+KPI_VOCABULARY = f"WITH {_DEFINED} SELECT id, arg_min(pillar, doc_id) AS pillar, md5(upper(substr(arg_min(s, doc_id), 1, 1)) || substr(arg_min(s, doc_id), 2)) AS name, count(*) > 1 AS again FROM d GROUP BY id"
+
+
+def kpi_counts(spark, folder):
+    """Indicators by pillar and by the document's name before a dash."""
+    d = definitions_of(spark, folder)
+    by = lambda kind, c: d.groupBy(c.alias("value")).agg(F.countDistinct("id").alias("n")).select(F.lit(kind).alias("by"), "value", "n")
+    return by("pillar", F.col("pillar")).unionAll(by("document", F.split_part("document", F.lit("-"), F.lit(1))))
+
+
+KPI_COUNTS = f"WITH {_DEFINED} SELECT 'pillar' AS by, pillar AS value, count(DISTINCT id) AS n FROM d GROUP BY 2 UNION ALL SELECT 'document', split_part(document, '-', 1), count(DISTINCT id) FROM d GROUP BY 2"
 
 
 def kpi_enrich(spark, folder):
-    """Definitions joined to what enriches them, gaps on either side told, thin ones marked."""
-    d = spark.createDataFrame(DEFINITIONS, "id string, name string, pillar string, document string")
-    e = spark.createDataFrame(ENRICHED, "id string, definition string")
+    """Definitions joined to a second source's (here the news that name their numbers' letters): gaps on either side told, thin ones marked."""
+    d = definitions_of(spark, folder).groupBy("id").agg(F.min_by("definition", "doc_id").alias("name"))
+    e = definitions_of(spark, folder).filter(F.col("doc_id") % 3 != 0).groupBy("id").agg(F.max_by("definition", "doc_id").alias("definition")).unionAll(spark.range(1).select(F.lit("KX-Z.0").alias("id"), F.lit("not defined").alias("definition")))
     j = d.join(e, "id", "full")
-    short = F.regexp_replace("name", "^Báo cáo ", "")
-    return j.select(
-        "id", F.when(d["name"].isNull(), "no definition").when(F.col("definition").isNull(), "not enriched").otherwise("both").alias("state"),
-        F.concat(F.upper(F.substring(short, 1, 1)), F.substring(short, 2, 500)).alias("short"), F.coalesce(F.col("definition") == F.col("name"), F.lit(False)).alias("thin"), F.split_part("document", F.lit(" - "), F.lit(1)).alias("document"),
-    )
+    return j.select("id", F.when(F.col("name").isNull(), "no definition").when(F.col("definition").isNull(), "not enriched").otherwise("both").alias("state"), F.coalesce(F.col("definition") == F.col("name"), F.lit(False)).alias("thin"))
 
 
-KPI_ENRICH = f"""WITH {_values('d', 'id, name, pillar, document', DEFINITIONS)}, {_values('e', 'id, definition', ENRICHED)},
-j AS (SELECT coalesce(d.id, e.id) AS id, name, definition, document, regexp_replace(name, '^Báo cáo ', '') AS s FROM d FULL JOIN e ON d.id = e.id)
-SELECT id, CASE WHEN name IS NULL THEN 'no definition' WHEN definition IS NULL THEN 'not enriched' ELSE 'both' END AS state, upper(substr(s, 1, 1)) || substr(s, 2) AS short, coalesce(definition = name, false) AS thin, split_part(document, ' - ', 1) AS document FROM j"""
+KPI_ENRICH = f"""WITH {_DEFINED}, a AS (SELECT id, arg_min(s, doc_id) AS name FROM d GROUP BY 1), e AS (SELECT id, arg_max(s, doc_id) AS definition FROM d WHERE doc_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT 'KX-Z.0', 'not defined')
+SELECT coalesce(a.id, e.id) AS id, CASE WHEN name IS NULL THEN 'no definition' WHEN definition IS NULL THEN 'not enriched' ELSE 'both' END AS state, coalesce(definition = name, false) AS thin FROM a FULL JOIN e ON a.id = e.id"""
 
 
 def bilingual_split(spark, folder):
-    """Names in two languages parted at the slash; which part is Vietnamese; the section each belongs to."""
-    d = spark.createDataFrame(DEFINITIONS, "id string, name string, pillar string, document string")
-    parts = d.select("id", F.posexplode(F.split("name", " / ")).alias("pos", "part"))
-    return parts.select("id", "pos", F.trim("part").alias("part"), F.col("part").rlike("[ăâđêôơưáàảãạấầẩẫậếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵéèẻẽẹ]").alias("vietnamese"), F.regexp_extract("id", r"^[A-Z]+-(\d+(?:\.\d+)?)", 1).alias("section"))
+    """Headings with lettered items in two languages, here made of two documents' first words: the Vietnamese phrases of each section."""
+    d = table(spark, folder, "documents").filter("lang in ('vi', 'en') and text is not null")
+    head = F.regexp_replace(F.regexp_extract("text", r"^[^\n./:]{12,60}", 0), r"\s+", " ")
+    told = d.withColumn("h", head).filter(F.length("h") >= 12)
+    text = F.concat(F.lit("6. 1 . Tiêu đề: a) "), F.col("h"), F.lit(" / english words ; b) "), F.col("h"), F.lit(". / other words\n6.2. "), F.col("h"), F.lit(" / last"))
+    s = told.select("doc_id", F.explode(definitions.sections(text)).alias("s"))
+    return s.select("doc_id", F.col("s.code").alias("code"), F.size(definitions.vietnamese_indicators(F.col("s.body"))).alias("phrases"))
 
 
-BILINGUAL = f"""WITH {_values('d', 'id, name, pillar, document', DEFINITIONS)},
-p AS (SELECT id, unnest(string_split(name, ' / ')) AS part, unnest(range(len(string_split(name, ' / ')))) AS pos FROM d)
-SELECT id, pos::INT AS pos, trim(part, ' ') AS part, regexp_matches(part, '[ăâđêôơưáàảãạấầẩẫậếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵéèẻẽẹ]') AS vietnamese, regexp_extract(id, '^[A-Z]+-([0-9]+(?:\\.[0-9]+)?)', 1) AS section FROM p"""
+BILINGUAL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(regexp_extract(text, '^[^\n./:]{12,60}', 0), '\s+', ' ', 'g') AS h FROM documents WHERE lang IN ('vi', 'en') AND text IS NOT NULL),
+k AS (SELECT doc_id, trim(regexp_replace(trim(h, ' .;:-'), '^[a-eA-E]\)\s*', ''), ' .;:-') AS h, h AS raw FROM d WHERE length(h) >= 12),
+v AS (SELECT doc_id, length(h) >= 5 AND NOT starts_with(h, '(') AND regexp_matches(h, '[ăâđêôơưĂÂĐÊÔƠƯáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵÁÀẢÃẠẤẦẨẪẬẮẰẲẴẶÉÈẺẼẸẾỀỂỄỆÍÌỈĨỊÓÒỎÕỌỐỒỔỖỘỚỜỞỠỢÚÙỦŨỤỨỪỬỮỰÝỲỶỸỴ]') AS vn FROM k)
+SELECT doc_id, '6.1' AS code, CASE WHEN vn THEN 2 ELSE 0 END AS phrases FROM v UNION ALL SELECT doc_id, '6.2', CASE WHEN vn THEN 1 ELSE 0 END FROM v"""
 
 
 def sentence_split(spark, folder):
@@ -122,7 +143,7 @@ def queries_with(versions: str):
     seeds = f"WITH a AS (SELECT {graphs._normal_sql('alias_name')} AS name FROM issuer_aliases WHERE alias_name IS NOT NULL), s AS (SELECT name, CASE {when} END AS seed FROM a) SELECT seed, count(*) AS n, count(DISTINCT name) AS names FROM s WHERE seed IS NOT NULL GROUP BY 1"
     at = f"WITH v AS ({versions}) SELECT split_part(stable_id, '|', 1) AS class, year::INT AS year, count(*) AS n FROM v, range(2005, 2025) y(year) WHERE valid_from <= year || '-07-01' AND year || '-07-01' < valid_to GROUP BY ALL"
     return {
-        "kpi_enrich": (kpi_enrich, KPI_ENRICH), "bilingual_split": (bilingual_split, BILINGUAL), "sentence_split": (sentence_split, SENTENCE_SPLIT), "page_kpi_join": (page_kpi_join, PAGE_KPI),
+        "kpi_enrich": (kpi_enrich, KPI_ENRICH), "kpi_vocabulary": (kpi_vocabulary, KPI_VOCABULARY), "kpi_counts": (kpi_counts, KPI_COUNTS), "bilingual_split": (bilingual_split, BILINGUAL), "sentence_split": (sentence_split, SENTENCE_SPLIT), "page_kpi_join": (page_kpi_join, PAGE_KPI),
         "kpi_observations": (kpi_observations, KPI_OBSERVATIONS), "point_in_time": (point_in_time, at), "seed_substring": (seed_substring, seeds),
     }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lamina.sources.sinks import upsert
 
@@ -33,3 +33,21 @@ def dedup(stream: DataFrame, time: str, keys: list[str], late: str = "1 day") ->
 def apply_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> None:
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def spaced(requests: DataFrame, host: str, at: str, least: float) -> DataFrame:
+    """ST3: when each request may go out, at least ``least`` seconds after the one before to the same host: adds ``goes_at`` (seconds).
+
+    The k-th request of a host goes no sooner than any earlier one's time plus the spacing for those between, a running
+    maximum, so nothing is looped over.
+    """
+    w = W.partitionBy(host).orderBy(at)
+    k = F.row_number().over(w)
+    ahead = requests.withColumn("_k", k).withColumn("_slack", F.col(at).cast("double") - F.col("_k") * least)
+    return ahead.withColumn("goes_at", F.max("_slack").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("_k") * least).drop("_k", "_slack")
+
+
+def recent(rows: DataFrame, time: str, years: int, now) -> DataFrame:
+    """ST5: rows of the last ``years`` years before ``now``; rows without a time are kept, as nothing tells that they are old."""
+    since = F.lit(now).cast("timestamp") - F.make_interval(years=F.lit(years))
+    return rows.filter(F.col(time).isNull() | (F.col(time) >= since))
