@@ -4,7 +4,8 @@ A character-level bidirectional LSTM with CRF transitions tags names, email addr
 phone numbers, identity numbers and street addresses. Texts are laid in a row and cut into overlapping
 windows, all of which are scored, each character by the window it stands deepest in. Overlapping
 windows are then decoded; each gives the mentions that begin in it, and is decoded farther while
-one goes on to its end, so no mention is cut. The found spans are then set to the exact ends of what they are: the whole number, address or name.
+one goes on to its end, so no mention is cut. Where the scores themselves prove that the best path
+has no mention in a window, it isn't decoded (see ``coverable``). The found spans are then set to the exact ends of what they are: the whole number, address or name.
 
 The network has hard gates, so a step costs few operations; it is trained in numpy by
 ``python -m lamina.llm.train_pii`` on spans labelled by patterns and kept as a file.
@@ -30,9 +31,11 @@ TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 STRIDE, MARGIN = 256, 16
 WINDOW = STRIDE + 2 * MARGIN
 HIDDEN = 16
-#: Characters of a window that is decoded, and those looked at on either side.
-BLOCK, REACH = 256, 64
-_outside = np.array([[0.0] + [-30.0] * (TAGS - 1)], np.float32)
+#: Characters looked at on either side of a window that is decoded.
+REACH = 64
+#: More than rounding can add to a path's score over a window.
+SLACK = 0.1
+_outside = np.array([[0.0]] + [[-30.0]] * (TAGS - 1), np.float32)
 
 # Characters ------------------------------------------------------------------------------
 
@@ -119,13 +122,13 @@ class Network:
         return out
 
     def emissions(self, x: np.ndarray, core: slice = slice(None)) -> np.ndarray:
-        """(T, N, TAGS) for classes x (N, T), of the steps in ``core``."""
+        """(T, TAGS, N) for classes x (N, T), of the steps in ``core``."""
         xt = np.ascontiguousarray(x.T, dtype=np.int64)
         f = self.direction(xt, "f")[core]
         b = self.direction(xt[::-1], "b")[::-1][core]
-        e = np.matmul(f, self.w["out_f"])
-        e += np.matmul(b, self.w["out_b"])
-        e += self.w["bias"]
+        e = np.matmul(self.w["out_f"].T, f.transpose(0, 2, 1))
+        e += np.matmul(self.w["out_b"].T, b.transpose(0, 2, 1))
+        e += self.w["bias"][:, None]
         return e
 
 
@@ -152,24 +155,25 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
     into = moves[:, begin][:, :, None]
     stay, enter = moves[inside, inside][:, None], moves[inside - 1, inside][:, None]
     scores, least = np.empty((t_max, k, n), np.float32), int(lengths.min(initial=t_max))
+    ways = np.empty((k, len(begin), n), np.float32)
     scores[0] = e[0]
     scores[0, inside] = -1e4
     for t in range(1, t_max):
         before, now = scores[t - 1], scores[t]
-        now[begin] = (before[:, None, :] + into).max(0)
+        now[begin] = np.add(before[:, None, :], into, out=ways).max(0)
         now[inside] = np.maximum(before[inside] + stay, before[inside - 1] + enter)
         now += e[t]
         if t >= least:
             over = lengths <= t
             now[:, over] = before[:, over]
-    tags = np.zeros((n, t_max), np.uint8)
+    tags = np.zeros((t_max, n), np.uint8)
     at = scores[-1].argmax(0)
     for t in range(t_max - 1, -1, -1):
-        tags[:, t] = at
+        tags[t] = at
         if t:
             came = (scores[t - 1] + moves[:, at]).argmax(0)
-            at = np.where(t < lengths, came, at)
-    return tags
+            at = came if t < least else np.where(t < lengths, came, at)
+    return tags.T
 
 
 @lru_cache(1)
@@ -192,6 +196,38 @@ def windows(classes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[numbers * STRIDE]
 
 
+def coverable(core: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Windows of ``core`` (STRIDE, TAGS, N), which follow each other, that a mention may touch on the best path through all of them.
+
+    Mentions side by side that score less than O in their place are on no best path. What they gain is bounded by the
+    beginning, what each further character adds at best by any tag and the best way into it, and the best way out; the
+    greatest bound over all that cover a character is a running maximum from either side. Where it is below nothing, the
+    best path has O for certain.
+    """
+    stay, (_, _, n) = moves[0, 0], core.shape
+    enter, onward, leave = (moves[0, 1::2] - stay)[:, None], (moves[1:, 1:].max(0) - stay)[:, None], moves[1:, 0].max() - stay
+    first, further = np.empty((2, n, STRIDE), np.float32)
+    for a in range(0, n, 1024):
+        e = core[:, :, a : a + 1024]
+        first[a : a + 1024] = ((e[:, 1::2] + enter).max(1) - e[:, 0] + leave).T
+        further[a : a + 1024] = ((e[:, 1:] + onward).max(1) - e[:, 0]).T
+    total = np.cumsum(further, dtype=np.float64)
+    reach = np.maximum.accumulate(first.ravel() - total)  # with total: the best that begins at or before and reaches here
+    reach += np.maximum.accumulate(total[::-1])[::-1]  # less total: what going on may add
+    return (reach > -SLACK).reshape(-1, STRIDE).any(1)
+
+
+def stretches(core: np.ndarray, numbers: np.ndarray, size: int) -> np.ndarray:
+    """``size`` steps (size, TAGS, N) of ``core`` (STRIDE, TAGS, 1 + windows + 1; first and last lie outside) from REACH before the windows ``numbers``."""
+    e, done = np.empty((size, TAGS, len(numbers)), np.float32), 0
+    while done < size:
+        ahead, low = divmod(done - REACH, STRIDE)
+        more = min(STRIDE - low, size - done)
+        np.take(core[low : low + more], numbers + 1 + ahead, axis=2, out=e[done : done + more], mode="clip")
+        done += more
+    return e
+
+
 def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of each text, as decoded."""
     classes, starts = lay_out(texts)
@@ -200,37 +236,37 @@ def tag_texts(texts: list[str], net: Network, moves: np.ndarray, batch: int = 10
     if not n:
         return out
     x = windows(classes, np.arange(n))
-    core = np.empty((n, STRIDE, TAGS), np.float32)
+    core = np.empty((STRIDE, TAGS, n + 2), np.float32)
+    core[:, :, [0, -1]] = _outside
     for a in range(0, n, batch):
-        core[a : a + batch] = net.emissions(x[a : a + batch], slice(MARGIN, MARGIN + STRIDE)).transpose(1, 0, 2)
-    core = core.reshape(-1, TAGS)
-    # Windows of BLOCK characters are decoded with REACH on either side; each gives the mentions that begin in it. One that goes
+        part = x[a : a + batch]
+        core[:, :, a + 1 : a + 1 + len(part)] = net.emissions(part, slice(MARGIN, MARGIN + STRIDE))
+    # Windows are decoded with REACH on either side; each gives the mentions that begin in it. One that goes
     # on to the end of what was decoded is decoded again with twice as much after it.
-    padded = np.concatenate([core[:0], np.tile(_outside, (REACH, 1)), core, np.tile(_outside, (BLOCK + REACH, 1))])
-    todo, size = list(range(0, len(core), BLOCK)), BLOCK + 2 * REACH
-    while todo:
+    todo, size = np.flatnonzero(coverable(core[:, :, 1:-1], moves)), STRIDE + 2 * REACH
+    while len(todo):
         longer = []
         for a in range(0, len(todo), 512):
-            part = np.asarray(todo[a : a + 512])
-            e = padded[np.minimum(part[:, None] + np.arange(size), len(padded) - 1)]
-            for at, t in zip(part.tolist(), viterbi(e, np.full(len(part), size), moves)):
-                begins = REACH + np.flatnonzero(t[REACH : REACH + BLOCK] % 2 == 1)
-                ends = [int(x) for x in begins]
-                for k, s in enumerate(begins.tolist()):
+            part = todo[a : a + 512]
+            tags = viterbi(stretches(core, part, size).transpose(2, 0, 1), np.full(len(part), size), moves)
+            begin = tags[:, REACH : REACH + STRIDE] % 2 == 1
+            for g in np.flatnonzero(begin.any(1)).tolist():
+                number, t = int(part[g]), tags[g]
+                at, begins, ends = number * STRIDE - REACH, (REACH + np.flatnonzero(begin[g])).tolist(), []
+                for s in begins:
                     end = s + 1
                     while end < size and t[end] == t[s] + 1:
                         end += 1
-                    ends[k] = end
-                if ends and ends[-1] == size and at - REACH + size < len(core):
-                    longer.append(at)
+                    ends.append(end)
+                if ends[-1] == size and at + size < n * STRIDE:
+                    longer.append(number)
                     continue
-                for s, end in zip(begins.tolist(), ends):
-                    first = at - REACH + s
-                    i = int(np.searchsorted(starts, first, "right")) - 1
-                    first, last = first - int(starts[i]), min(len(texts[i]), at - REACH + end - int(starts[i]))
+                for s, end in zip(begins, ends):
+                    i = int(np.searchsorted(starts, at + s, "right")) - 1
+                    first, last = at + s - int(starts[i]), min(len(texts[i]), at + end - int(starts[i]))
                     if first < last:
                         out[i].append((KINDS[(t[s] - 1) // 2], first, last))
-        todo, size = longer, 2 * size
+        todo, size = np.array(longer, np.int64), 2 * size
     return [sorted(spans, key=lambda x: x[1]) for spans in out]
 
 

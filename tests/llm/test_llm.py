@@ -388,6 +388,38 @@ def test_decoding_is_the_best_path():
         assert tuple(got[n, : lengths[n]]) == best
 
 
+def test_only_windows_that_may_hold_a_mention_are_decoded(data, monkeypatch):
+    texts = [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    texts += ["Đoàn thanh tra đã rà soát trạm cân. " * 200, "7" * 3000, "a.b" * 700 + "@congty.example", "Bà Ngô Văn Rộc Uyển " * 100, "\0" * 600]
+    decoded, viterbi = [0], pii.viterbi
+
+    def counted(emissions, lengths, moves):
+        decoded[0] += len(emissions)
+        return viterbi(emissions, lengths, moves)
+
+    monkeypatch.setattr(pii, "viterbi", counted)
+    got, some = pii.mentions_of(texts), decoded[0]
+    windows = len(pii.lay_out(texts)[0]) // pii.STRIDE
+    assert any(got) and some < 0.6 * windows
+    monkeypatch.setattr(pii, "coverable", lambda core, moves: np.ones(core.shape[2], bool))
+    assert pii.mentions_of(texts) == got and decoded[0] - some >= windows
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_windows_left_undecoded_have_no_mention_on_the_best_path(seed):
+    rng = np.random.default_rng(seed)
+    moves = np.where(pii.allowed(), rng.normal(-1, 1, (pii.TAGS, pii.TAGS)), -1e4).astype(np.float32)
+    moves[0, 0] = 0
+    core = rng.normal(0, 1, (pii.STRIDE, pii.TAGS, 40)).astype(np.float32)
+    core[:, 0] += rng.uniform(2, 9, 40)  # some windows nearer to having mentions than others
+    e = np.tile(np.array([0.0] + [-30.0] * (pii.TAGS - 1), np.float32), (1, 40 * pii.STRIDE + 2, 1))  # O before and after
+    e[0, 1:-1] = core.transpose(2, 0, 1).reshape(-1, pii.TAGS)
+    (tags,) = pii.viterbi(e, np.array([e.shape[1]]), moves)
+    held = (tags[1:-1] > 0).reshape(40, -1).any(1)
+    may = pii.coverable(core, moves)
+    assert may[held].all() and held.any() and not may.all()
+
+
 def test_gradients():
     from lamina.llm import train_pii
 
